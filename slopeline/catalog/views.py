@@ -109,6 +109,46 @@ VIEWS: dict[str, tuple[str, str]] = {
         SELECT src, dst, min(km * CASE WHEN risk_multiplier <= 0 THEN 1 ELSE risk_multiplier END)
                  AS cost
         FROM edge WHERE NOT blocked GROUP BY 1, 2"""),
+    "risk_input": ("", """
+        SELECT o_orderkey, CASE WHEN o_orderkey % 997 <> 0 THEN 'e' || (o_orderkey % 500) END AS event_id,
+          o_custkey AS osm_id, CAST(o_orderdate AS DATE) AS prediction_time,
+          CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS label,
+          CASE o_orderkey % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'same_road_control'
+            ELSE 'observed_open_negative' END AS sample_kind,
+          CASE WHEN o_orderkey % 3 = 0 THEN 'real_confirmed_temporal'
+            WHEN o_orderpriority = '1-URGENT' THEN 'assumed_unaffected_real_pool'
+            WHEN o_orderpriority = '2-HIGH' THEN 'real_same_road_control'
+            ELSE 'real_observed_unaffected' END AS label_source,
+          o_orderkey % 31 - CASE WHEN o_orderkey % 401 = 0 THEN 40e0 ELSE 0e0 END AS rainfall_1day,
+          CASE WHEN o_orderkey % 89 <> 0 THEN o_orderkey % 50 * 3e0 END AS rainfall_3day,
+          CASE WHEN o_orderkey % 101 = 0 THEN 20000e0 ELSE o_orderkey % 70 * 4e0 END AS rainfall_7day,
+          o_orderkey % 90 * 5e0 AS rainfall_14day,
+          CASE WHEN o_orderkey % 83 <> 0 THEN o_orderkey % 120 * 6e0 END AS rainfall_30day,
+          CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 1000 * 10e0 - 600e0 END AS elevation_m,
+          CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderkey % 95 AS DOUBLE) END AS slope_degrees,
+          o_orderkey % 200 - 100e0 AS latitude, o_orderkey % 400 - 200e0 AS longitude,
+          CASE o_orderkey % 5 WHEN 0 THEN 'teleporter' WHEN 1 THEN ' Trunk' WHEN 2 THEN 'primary' END
+            AS highway,
+          CAST(o_orderkey % 33 AS DOUBLE) AS rainfall_days_available,
+          'S' || (o_custkey % 8) AS state, 'NH' || (o_custkey % 25) AS ref
+        FROM orders"""),
+    "event_entry": ("", """
+        SELECT CASE WHEN o_orderkey % 41 <> 0 THEN 'ev' || (o_orderkey - o_orderkey % 2) END AS event_id,
+          CASE WHEN o_orderkey % 19 = 0 THEN '13/05/2020' ELSE strftime(o_orderdate, '%Y-%m-%d') END
+            AS event_date,
+          CASE WHEN o_orderkey % 13 = 0 THEN 'storm' WHEN o_orderkey % 13 < 6 THEN 'landslide'
+            ELSE 'flood' END AS event_type,
+          CASE WHEN o_orderkey % 17 = 0 THEN 'Atlantis' WHEN o_orderkey % 17 < 9 THEN 'Assam'
+            ELSE 'Sikkim' END AS state,
+          CASE WHEN o_orderkey % 23 = 0 THEN ' ' ELSE 'somewhere' END AS location_name,
+          CASE WHEN o_orderkey % 29 = 0 THEN 'north' ELSE CAST(o_orderkey % 140 / 10e0 + 18 AS VARCHAR) END
+            AS latitude,
+          CAST(o_orderkey % 140 / 10e0 + 86 AS VARCHAR) AS longitude, o_orderpriority AS source,
+          CASE o_orderkey % 4 WHEN 0 THEN 'NH' || (o_orderkey % 90)
+            WHEN 1 THEN 'sh ' || (o_orderkey % 90) || 'b' WHEN 2 THEN 'NH  ' || (o_orderkey % 90)
+            ELSE 'MDR7' END AS ref,
+          o_custkey AS osm_id, o_orderkey
+        FROM orders"""),
     "scored": ("", """
         SELECT d.doc_id AS id, quality AS y, round(CAST(n_chars % 97 AS DOUBLE) / 97, 2) AS s,
                lang AS "window"

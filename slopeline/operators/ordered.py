@@ -158,3 +158,20 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
         frac = F.max(pos - F.floor(pos))
         aggs.append((at(lo) + (at(hi) - at(lo)) * frac).alias(name))
     return placed.groupBy(*by).agg(*aggs)
+
+
+def consecutive(df: DataFrame, by: Sequence[str], order: Sequence[OrderItem],
+                value: str) -> DataFrame:
+    """Consecutive pairs (by..., pos, a, b) of ``value`` along a unique order in each group.
+
+    Neighbours meet by position, so a long group is never walked by one task.
+    """
+    by = list(by)
+    ranked = rank_rows(df, by, order, "pos").select(*by, "pos", F.col(value).alias("_v"))
+    role = F.explode(F.array(F.struct(F.col("pos").alias("p"), F.lit(0).alias("r")),
+                             F.struct((F.col("pos") - 1).alias("p"), F.lit(1).alias("r"))))
+    both = ranked.select(*by, "_v", role.alias("_e"))
+    met = both.groupBy(*by, F.col("_e.p").alias("pos")).agg(
+        F.max(F.when(F.col("_e.r") == 0, F.col("_v"))).alias("a"),
+        F.max(F.when(F.col("_e.r") == 1, F.col("_v"))).alias("b"))
+    return met.where(F.col("a").isNotNull() & F.col("b").isNotNull())

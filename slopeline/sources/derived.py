@@ -173,3 +173,49 @@ def scored_big(t) -> DataFrame:
     return t.lineitem.select(
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"),
         F.round(F.col("l_discount") * 10, 2).alias("s"), F.col("l_linestatus").alias("window"))
+
+
+def risk_input(t) -> DataFrame:
+    """Sample rows with features from orders; some break a rule on purpose."""
+    k = F.col("o_orderkey")
+    d = lambda c: c.cast("double")
+    return t.orders.select(
+        k, F.when(k % 997 != 0, F.concat(F.lit("e"), (k % 500).cast("string"))).alias("event_id"),
+        F.col("o_custkey").alias("osm_id"), _as_date("o_orderdate").alias("prediction_time"),
+        F.when(k % 3 == 0, 1).otherwise(0).alias("label"),
+        F.when(k % 3 == 0, "positive").when(k % 3 == 1, "same_road_control")
+        .otherwise("observed_open_negative").alias("sample_kind"),
+        F.when(k % 3 == 0, "real_confirmed_temporal")
+        .when(F.col("o_orderpriority") == "1-URGENT", "assumed_unaffected_real_pool")
+        .when(F.col("o_orderpriority") == "2-HIGH", "real_same_road_control")
+        .otherwise("real_observed_unaffected").alias("label_source"),
+        (d(k % 31) - F.when(k % 401 == 0, 40.0).otherwise(0.0)).alias("rainfall_1day"),
+        F.when(k % 89 != 0, d(k % 50) * 3.0).alias("rainfall_3day"),
+        F.when(k % 101 == 0, 20000.0).otherwise(d(k % 70) * 4.0).alias("rainfall_7day"),
+        (d(k % 90) * 5.0).alias("rainfall_14day"),
+        F.when(k % 83 != 0, d(k % 120) * 6.0).alias("rainfall_30day"),
+        F.when(k % 7 != 0, d(k % 1000) * 10.0 - 600.0).alias("elevation_m"),
+        F.when(k % 6 != 0, d(k % 95)).alias("slope_degrees"),
+        (d(k % 200) - 100.0).alias("latitude"), (d(k % 400) - 200.0).alias("longitude"),
+        F.when(k % 5 == 0, "teleporter").when(k % 5 == 1, " Trunk").when(k % 5 == 2, "primary").alias("highway"),
+        (k % 33).cast("double").alias("rainfall_days_available"),
+        F.concat(F.lit("S"), (F.col("o_custkey") % 8).cast("string")).alias("state"),
+        F.concat(F.lit("NH"), (F.col("o_custkey") % 25).cast("string")).alias("ref"))
+
+
+def event_entry(t) -> DataFrame:
+    """Collected events as text fields from orders."""
+    k = F.col("o_orderkey")
+    return t.orders.select(
+        F.when(k % 41 != 0, F.concat(F.lit("ev"), (k - k % 2).cast("string"))).alias("event_id"),
+        F.when(k % 19 == 0, "13/05/2020").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("event_date"),
+        F.when(k % 13 == 0, "storm").when(k % 13 < 6, "landslide").otherwise("flood").alias("event_type"),
+        F.when(k % 17 == 0, "Atlantis").when(k % 17 < 9, "Assam").otherwise("Sikkim").alias("state"),
+        F.when(k % 23 == 0, " ").otherwise("somewhere").alias("location_name"),
+        F.when(k % 29 == 0, "north").otherwise(((k % 140) / 10 + 18).cast("string")).alias("latitude"),
+        ((k % 140) / 10 + 86).cast("string").alias("longitude"),
+        F.col("o_orderpriority").alias("source"),
+        F.when(k % 4 == 0, F.concat(F.lit("NH"), (k % 90).cast("string")))
+        .when(k % 4 == 1, F.concat(F.lit("sh "), (k % 90).cast("string"), F.lit("b")))
+        .when(k % 4 == 2, F.concat(F.lit("NH  "), (k % 90).cast("string"))).otherwise("MDR7").alias("ref"),
+        F.col("o_custkey").alias("osm_id"), k)
