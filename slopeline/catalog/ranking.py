@@ -270,7 +270,7 @@ GATE_METRICS = f"""
     CAST(events < ev AS INT) + CAST(auc < ra AS INT) + CAST(ap < pa AS INT)
       + CAST(coalesce(recall < rc, false) AS INT) AS n_reasons
   FROM m JOIN e USING ("window") JOIN p USING ("window"), (VALUES
-    ('demo', 3, 0.65, 0.5, NULL, 'DEMO_READY_LIMITED_CONFIDENCE', 'DEMO_GATE_FAILED'),
+    ('demo', 3, 0.65, 0.5, NULL, 'HACKATHON_DEMO_READY_LIMITED_CONFIDENCE', 'DEMO_GATE_FAILED'),
     ('production', 30, 0.75, 0.6, 0.7, 'PRODUCTION_READY_EVIDENCE_SUPPORTED', 'NOT_PRODUCTION_READY'))
     v(gate, ev, ra, pa, rc, good, bad)""")
 def gates(t):

@@ -123,7 +123,7 @@ GATES = {"demo": {"events": 3, "roc_auc": 0.65, "avg_precision": 0.50},
          "production": {"events": 30, "recall": 0.70, "roc_auc": 0.75, "avg_precision": 0.60}}
 GATE_TEXT = {"events": "test events", "roc_auc": "test ROC-AUC", "avg_precision": "test avg_precision",
              "recall": "test recall"}
-GATE_STATUS = {"demo": ("DEMO_READY_LIMITED_CONFIDENCE", "DEMO_GATE_FAILED"),
+GATE_STATUS = {"demo": ("HACKATHON_DEMO_READY_LIMITED_CONFIDENCE", "DEMO_GATE_FAILED"),
                "production": ("PRODUCTION_READY_EVIDENCE_SUPPORTED", "NOT_PRODUCTION_READY")}
 
 
