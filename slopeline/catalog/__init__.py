@@ -1,6 +1,6 @@
 """Runnable queries over the given tables, one module per operator family."""
 
-from slopeline.catalog import joins, quality, ranking, scalars, temporal, text  # noqa: F401
+from slopeline.catalog import joins, quality, ranking, scalars, spatial, temporal, text  # noqa: F401
 from slopeline.catalog.registry import QUERIES, Tables, run
 
 __all__ = ["QUERIES", "Tables", "run"]

@@ -80,9 +80,9 @@ def mid_centroid(t):
 
 
 @query("h37_coordinate_snap", sql="""
-  SELECT event_id, round_even(value / 8, 4) AS k FROM events""")
+  SELECT event_id, round_even(floor(value * 32) / 32, 4) AS k FROM events""")
 def snap(t):
-    return t.events.select("event_id", geo.snap(F.col("value") / 8, 4).alias("k"))
+    return t.events.select("event_id", geo.snap(F.floor(F.col("value") * 32) / 32, 4).alias("k"))
 
 
 RATIOS = {"rain_intensity_1_vs_7": (1, 7), "rain_intensity_3_vs_14": (3, 14), "rain_concentration_3_in_7": (3, 7),
@@ -136,7 +136,7 @@ def aspect_categories(t):
 
 @query("h26_h27_freshness", sql="""
   WITH b AS (SELECT event_id, ts AS p, CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 10 = 1
-      THEN ts + INTERVAL 1 HOUR ELSE ts - to_hours(CAST(value AS BIGINT)) END AS o,
+      THEN ts + INTERVAL 1 HOUR ELSE ts - to_hours(CAST(floor(value) AS BIGINT)) END AS o,
     strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Z' WHEN 2 THEN '+05:30'
       ELSE '-0400' END AS iso FROM events),
   h AS (SELECT *, epoch(p - o) / 3600 AS h FROM b)
@@ -151,7 +151,7 @@ def freshness(t):
     from slopeline.functions.zoned import parse_zoned, zoned_ok
     k = F.col("event_id")
     observed = (F.when(k % 10 == 0, None).when(k % 10 == 1, F.col("ts") + F.expr("interval 1 hour"))
-                .otherwise(F.expr("timestampadd(HOUR, -cast(round(value) as bigint), ts)")))
+                .otherwise(F.expr("timestampadd(HOUR, -cast(floor(value) as bigint), ts)")))
     zone = F.when(k % 4 == 0, "").when(k % 4 == 1, "Z").when(k % 4 == 2, "+05:30").otherwise("-0400")
     df = t.events.select("event_id", "ts", observed.alias("o"),
                          F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), zone).alias("iso"))
