@@ -47,15 +47,39 @@ def project(lon: Column, lat: Column, meridian: Column | float) -> Column:
     return F.struct((F.lit(500000.0) + k * east).alias("x"), (k * north).alias("y"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; lambda bodies get no common-subexpression pass."""
+    return F.transform(F.array(value), body)[0]
+
+
 def project_line(coords: Column, meridian: Column | float) -> Column:
-    return F.transform(coords, lambda p: project(p["lon"], p["lat"], meridian))
+    """Projected polyline; every intermediate of the series is bound once per point."""
+    k = F.lit(SCALE * _RADIUS)
+
+    def angles(p):
+        s = F.sin(F.radians(p["lat"]))
+        return F.struct(F.sinh(F.atanh(s) - F.lit(_E) * F.atanh(F.lit(_E) * s)).alias("t"),
+                        F.radians(p["lon"] - meridian).alias("lam"))
+
+    def sphere(v):
+        return F.struct(F.atan2(v["t"], F.cos(v["lam"])).alias("xi"),
+                        F.atanh(F.sin(v["lam"]) / F.sqrt(F.lit(1.0) + v["t"] * v["t"])).alias("eta"))
+
+    def plane(v):
+        east, north = v["eta"], v["xi"]
+        for j, a in enumerate(_ALPHA, 1):
+            east = east + F.lit(a) * F.cos(2 * j * v["xi"]) * F.sinh(2 * j * v["eta"])
+            north = north + F.lit(a) * F.sin(2 * j * v["xi"]) * F.cosh(2 * j * v["eta"])
+        return F.struct((F.lit(500000.0) + k * east).alias("x"), (k * north).alias("y"))
+
+    return F.transform(F.transform(F.transform(coords, angles), sphere), plane)
 
 
 def pairs(coords: Column) -> Column:
     """Consecutive point pairs as structs (a, b)."""
-    n = F.size(coords)
-    return F.zip_with(F.slice(coords, 1, F.greatest(n - 1, F.lit(0))), F.slice(coords, 2, n),
-                      lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return let(coords, lambda v: F.zip_with(
+        F.slice(v, F.lit(1), F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, F.lit(2), F.size(v)),
+        lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
 
 def _total(values: Column) -> Column:
@@ -120,12 +144,13 @@ def point_segment(px: Column, py: Column, a: Column, b: Column) -> Column:
     sq = dx * dx + dy * dy
     u = F.when(sq > 0, ((px - a["x"]) * dx + (py - a["y"]) * dy) / sq).otherwise(F.lit(0.0))
     u = F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0))
-    return F.hypot(px - a["x"] - u * dx, py - a["y"] - u * dy)
+    return let(u, lambda w: F.hypot(px - a["x"] - w * dx, py - a["y"] - w * dy))
 
 
 def point_line(px: Column, py: Column, xy: Column) -> Column:
     """Planar distance of a point to a polyline."""
-    return F.array_min(F.transform(pairs(xy), lambda s: point_segment(px, py, s["a"], s["b"])))
+    return let(F.struct(px.alias("x"), py.alias("y")), lambda p: F.array_min(F.transform(
+        pairs(xy), lambda s: point_segment(p["x"], p["y"], s["a"], s["b"]))))
 
 
 def _cross(o: Column, a: Column, b: Column) -> Column:

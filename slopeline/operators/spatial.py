@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slopeline.functions import geo
 from slopeline.operators.ordered import first_rows
+from slopeline.session import durable
 
 METRES_PER_DEGREE = 111_320.0
 
@@ -89,44 +90,49 @@ def event_road_distance(event_lon: Column, event_lat: Column, coords: Column) ->
 
 
 def nearest_per_event(events: DataFrame, roads: DataFrame, n: int = 50, *, event: str = "event_id",
-                      road: str = "osm_id", start_degrees: float = 0.5, max_rounds: int = 12) -> DataFrame:
+                      road: str = "osm_id", max_rounds: int = 12) -> DataFrame:
     """Exact n nearest roads of every event, without pairing every event with every road.
 
-    Each round joins events to the roads in the 3 x 3 cells around them. An event is finished when n
-    roads lie within the distance that the neighbourhood fully covers; the others go on with cells of
-    twice the size. The loop ends when the cells exceed the extent of the data, where the
-    neighbourhood is everything.
+    Each round joins events to the roads in the 3 x 3 cells around them; the first cell size follows
+    the road density. An event is finished when n roads lie within the distance that the neighbourhood
+    fully covers; the others go on with cells of twice the size. The loop ends when the cells exceed
+    the extent of the data, where the neighbourhood is everything.
     """
     lon, lat = F.col("coords.lon"), F.col("coords.lat")
     shaped = roads.select(road, "coords", F.array_min(lon).alias("_x0"), F.array_max(lon).alias("_x1"),
                           F.array_min(lat).alias("_y0"), F.array_max(lat).alias("_y1"))
-    ext = shaped.agg(F.min("_x0"), F.max("_x1"), F.min("_y0"), F.max("_y1")).first()
+    ext = shaped.agg(F.min("_x0"), F.max("_x1"), F.min("_y0"), F.max("_y1"), F.count(F.lit(1))).first()
     pts = events.select(event, F.col("longitude").alias("_ex"), F.col("latitude").alias("_ey"))
     pe = pts.agg(F.min("_ex"), F.max("_ex"), F.min("_ey"), F.max("_ey")).first()
+    if ext[0] is None or pe[0] is None:
+        return pts.limit(0).select(event, F.lit(None).cast(roads.schema[road].dataType).alias(road),
+                                   F.lit(None).cast("double").alias("distance_m"), F.lit(0).alias("rank"))
+    width, height = max(ext[1] - ext[0], 1e-3), max(ext[3] - ext[2], 1e-3)
     span = max(max(ext[1], pe[1]) - min(ext[0], pe[0]), max(ext[3], pe[3]) - min(ext[2], pe[2]))
-    todo, size, done = pts, start_degrees, None
+    size = (n * width * height / max(ext[4], 1)) ** 0.5
+    distance = event_road_distance(F.col("_m._ex"), F.col("_m._ey"), F.col("_m.coords"))
+    todo, done = pts, None
     for i in range(max_rounds):
         last = size > span or i == max_rounds - 1
         if last:
             size = max(size, span + 1)
-        step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        around = (todo.withColumn("_cx", F.floor(F.col("_ex") / size) + step)
-                  .withColumn("_cy", F.floor(F.col("_ey") / size) + F.explode(F.sequence(F.lit(-1), F.lit(1)))))
+        around = box_cells(todo, F.col("_ex") - size, F.col("_ey") - size, F.col("_ex") + size, F.col("_ey") + size, size)
         cells = box_cells(shaped, F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), size)
         pairs = around.join(cells.select(road, "coords", "_cx", "_cy"), ["_cx", "_cy"])
         # a road met in several cells has the same distance in each
         measured = pairs.groupBy(event, road).agg(F.first(F.struct("_ex", "_ey", "coords")).alias("_m"))
-        measured = measured.select(event, road, F.col("_m._ey").alias("_ey"), event_road_distance(
-            F.col("_m._ex"), F.col("_m._ey"), F.col("_m.coords")).alias("distance_m"))
+        measured = measured.select(event, road, F.col("_m._ey").alias("_ey"), distance.alias("distance_m"))
         top = first_rows(measured, [event], ["distance_m", road], n)
+        if not last:
+            # the round is read by the result and by the next round: at most n rows per open event
+            top = durable(top)
+        found = top.drop("_ey")
         if last:
-            result = top.drop("_ey")
-            return result if done is None else done.unionByName(result)
+            return found if done is None else done.unionByName(found)
         # every road closer than one cell is in the neighbourhood; 0.95 covers projection scale
         safe = F.lit(size * METRES_PER_DEGREE * 0.95) * F.cos(F.radians(F.abs("_ey") + size))
         full = top.where((F.col("rank") == n) & (F.col("distance_m") <= safe)).select(event)
-        top = top.drop("_ey")
-        finished = top.join(full, event, "left_semi")
+        finished = found.join(full, event, "left_semi")
         done = finished if done is None else done.unionByName(finished)
         todo = todo.join(full, event, "left_anti")
         if todo.isEmpty():
