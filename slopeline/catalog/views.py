@@ -83,8 +83,8 @@ VIEWS: dict[str, tuple[str, str]] = {
                CASE o_orderkey % 5 WHEN 1 THEN 'yes' WHEN 2 THEN '-1' END AS oneway,
                CASE WHEN o_orderkey % 3 = 0 THEN -1e0 ELSE CAST(o_orderkey % 4 AS DOUBLE) END
                  AS risk_multiplier,
-               o_totalprice > 60000 AS blocked
-        FROM orders WHERE o_orderstatus <> 'P'"""),
+               o_totalprice > 40000 AS blocked
+        FROM orders WHERE o_orderstatus <> 'P' OR o_totalprice >= 20000"""),
     "hop": ("way_seq segment", """
         SELECT w.way_id, w.pos, w.node AS a, n.node AS b,
                2 * 6371.0088e0 * asin(sqrt(

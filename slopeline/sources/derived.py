@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slopeline.operators.ordered import consecutive
+
 # Road class per part type (one type is left without a known class).
 HIGHWAY_BY_TYPE = {
     "STANDARD": "trunk", "SMALL": "track", "PROMO": "primary",
@@ -139,11 +141,17 @@ def points(t) -> DataFrame:
 WAY_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
 
 
-def way_nodes(t) -> DataFrame:
-    """Ways as ordered node lists: an order's parts, in line order."""
-    item = F.struct(*WAY_ORDER, F.col("l_partkey").alias("node"))
-    return (t.lineitem.groupBy(F.col("l_orderkey").alias("way_id"))
-            .agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["node"]).alias("nodes")))
+def way_hops(t) -> DataFrame:
+    """Consecutive node pairs of the ways: the parts of an order in line order."""
+    # order values count copies, so that fully equal lines keep one position each
+    lines = (t.lineitem.groupBy("l_orderkey", *WAY_ORDER).agg(F.count(F.lit(1)).alias("_copies"))
+             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))
+    lines = lines.select(F.col("l_orderkey").alias("way_id"), "l_linenumber", "l_partkey", "l_suppkey",
+                         F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                                          F.col("l_shipdate")).alias("shipped"),
+                         "l_extendedprice", "l_quantity", "_copy", F.col("l_partkey").alias("node"))
+    return consecutive(lines, ["way_id"], ["l_linenumber", "l_partkey", "l_suppkey", "shipped",
+                                           "l_extendedprice", "l_quantity", "_copy"], "node")
 
 
 def nodes(t) -> DataFrame:
@@ -151,13 +159,13 @@ def nodes(t) -> DataFrame:
 
 
 def way_attributes(t) -> DataFrame:
-    """Attributes of ways from orders; open and partial ways carry none."""
+    """Attributes of ways from orders; some ways carry none."""
     k = F.col("o_orderkey")
-    return t.orders.where(F.col("o_orderstatus") != "P").select(
+    return t.orders.where((F.col("o_orderstatus") != "P") | (F.col("o_totalprice") >= 20000)).select(
         k.alias("way_id"), F.col("o_orderpriority").alias("highway"),
         F.when(k % 5 == 1, "yes").when(k % 5 == 2, "-1").alias("oneway"),
         F.when(k % 3 == 0, F.lit(-1.0)).otherwise((k % 4).cast("double")).alias("risk_multiplier"),
-        (F.col("o_totalprice") > 60000).alias("blocked"))
+        (F.col("o_totalprice") > 40000).alias("blocked"))
 
 
 def scored(t) -> DataFrame:
