@@ -1,6 +1,8 @@
 """Runnable queries over the given tables, one module per operator family."""
 
-from slopeline.catalog import graph, joins, quality, ranking, scalars, spatial, temporal, text  # noqa: F401
+from slopeline.catalog import (  # noqa: F401
+    assembly, graph, joins, quality, ranking, scalars, spatial, temporal, text,
+)
 from slopeline.catalog.registry import QUERIES, Tables, run
 
 __all__ = ["QUERIES", "Tables", "run"]

@@ -1,11 +1,11 @@
 """Running sums, ranks, quantiles over an order, without one task per group.
 
 A plain ``Window.partitionBy(group)`` sends a whole group to one task, so a group holding a third
-of the rows stalls the job. Here the order is first cut into slices (from a bounded sample of
-sort keys, or by a caller-given monotone expression such as the day of a timestamp). Windows run
-inside ``(group, slice)``; the totals of earlier slices, at most one row per slice and group, are
-added by a join on the same key. Any monotone cut gives the same exact result, so sampling only
-affects balance.
+of the rows stalls the job. The largest group is therefore counted first (a partial aggregate of the
+key). While it is small, one window over one shuffle is the best plan. Beyond ``MAX_GROUP_ROWS`` the
+order is cut into slices, from a bounded sample of sort keys. Windows then run inside
+``(group, slice)``; the totals of earlier slices, at most one row per slice and group, are added by a
+join on the same key. Any monotone cut gives the same exact result, so sampling only affects balance.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ OrderItem = str | tuple[str, bool]
 
 SAMPLE_PER_SLICE = 40
 MAX_SLICES = 256
+# Rows of one group that a single window task may sort.
+MAX_GROUP_ROWS = 2_000_000
 
 
 def _items(order: Sequence[OrderItem]) -> list[tuple[str, bool]]:
@@ -78,17 +80,25 @@ def with_slices(df: DataFrame, order: Sequence[OrderItem], slices: int | None =
     return df.withColumn(name, search(0, len(bounds)))
 
 
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest group; one number reaches the driver."""
+    per = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.max("n").alias("n")).first()["n"] or 0
+
+
 def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[OrderItem],
-                 sums: dict[str, str | Column], slice_by: Column | None = None,
-                 slices: int | None = None) -> DataFrame:
+                 sums: dict[str, str | Column], slices: int | None = None) -> DataFrame:
     """Add, per output name, the inclusive running sum of its column along ``order`` in each group.
 
-    ``order`` must be unique inside a group and free of NULLs.
+    ``order`` must be unique inside a group and free of NULLs. ``slices`` forces the sliced plan.
     """
     by = list(by)
-    sliced = (df.withColumn("_slice", slice_by) if slice_by is not None
-              else with_slices(df, order, slices))
     values = {n: (F.col(c) if isinstance(c, str) else c) for n, c in sums.items()}
+    if slices is None and largest_group(df, by) <= MAX_GROUP_ROWS:
+        whole = Window.partitionBy(*by).orderBy(*sort_columns(order)).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *[F.sum(v).over(whole).alias(n) for n, v in values.items()])
+    sliced = with_slices(df, order, slices)
     inner = Window.partitionBy(*by, "_slice").orderBy(*sort_columns(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     totals = sliced.groupBy(*by, "_slice").agg(
