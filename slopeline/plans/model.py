@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from slopeline.functions.scoring import calibrate, contribution_records, top_factors
 from slopeline.operators.quality import count_if
+from slopeline.session import durable
 
 # Size and pace of the boosted ensemble, and the early-stopping floor.
 BOOSTING = {"maxIter": 200, "maxDepth": 2, "stepSize": 0.03, "subsamplingRate": 0.8, "minInstancesPerNode": 5, "seed": 2026}
@@ -64,13 +65,15 @@ def fit_boosted(train: DataFrame, validation: DataFrame | None, features: Sequen
                 balance: str | float = "auto", **params) -> PipelineModel:
     """Boosted trees. Validation rows steer early stopping only when they hold both classes and enough
     positives; otherwise the whole bounded ensemble is kept."""
-    rows, _ = class_weight(numeric_inputs(train, features), label, balance)
+    # the learner passes over its rows many times: they are written once
+    base = durable(numeric_inputs(train.select(*features, label), features))
+    rows, _ = class_weight(base, label, balance)
     rows = rows.withColumn("is_validation", F.lit(False))
     gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", **{**BOOSTING, **params})
     if validation is not None:
         pos, neg = validation.agg(count_if(F.col(label) == 1), count_if(F.col(label) == 0)).first()
         if pos >= MIN_VALIDATION_POSITIVES and neg > 0:
-            extra = numeric_inputs(validation, features).withColumn("weight", F.lit(1.0)).withColumn(
+            extra = numeric_inputs(validation.select(*features, label), features).withColumn("weight", F.lit(1.0)).withColumn(
                 "is_validation", F.lit(True))
             rows = rows.unionByName(extra, allowMissingColumns=True)
             gbt = gbt.setValidationIndicatorCol("is_validation")
@@ -82,7 +85,7 @@ def fit_boosted(train: DataFrame, validation: DataFrame | None, features: Sequen
 
 def fit_logistic(train: DataFrame, features: Sequence[str], label: str = "label", max_iter: int = 100) -> PipelineModel:
     """Logistic baseline: median fill, missing flags, standardised, balanced."""
-    rows, _ = class_weight(numeric_inputs(train, features), label)
+    rows, _ = class_weight(durable(numeric_inputs(train.select(*features, label), features)), label)
     stages = _stages(rows, features, "raw_features") + [
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
         LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter, standardization=False)]
@@ -165,11 +168,10 @@ def grouped_cv(df: DataFrame, features: Sequence[str], fit: Fit, *, event: str =
     The driver loops over folds, one fit each; single-class training folds are skipped.
     """
     from slopeline.operators.splits import event_groups, expanding_folds
-    from slopeline.session import durable
     groups = event_groups(df, event, time, label).select("first_time", "group_no")
     first = df.groupBy(event).agg(F.min(time).alias("first_time"))
     # the fold loop reads this table many times
-    placed = durable(df.join(first.join(groups, "first_time").select(event, "group_no"), event))
+    placed = durable(df.select(*features, label, event).join(first.join(groups, "first_time").select(event, "group_no"), event))
     folds = expanding_folds(groups, min_train, n_val).orderBy("train_upto").collect()
     out = None
     for f in folds:
@@ -178,22 +180,21 @@ def grouped_cv(df: DataFrame, features: Sequence[str], fit: Fit, *, event: str =
         test = placed.where(F.col("group_no") == f.test_group)
         if train.select(label).distinct().count() < 2:
             continue
-        s = score(fit(train, val), test, features).select(
-            F.lit(f.train_upto).alias("fold"), F.col(label).alias("label"), "raw_probability")
+        s = durable(score(fit(train, val), test, features).select(
+            F.lit(f.train_upto).alias("fold"), F.col(label).alias("label"), "raw_probability"))
         out = s if out is None else out.unionByName(s)
     return out
 
 
 def leave_one_out_cv(df: DataFrame, features: Sequence[str], fit: Fit, fold: str, label: str = "label") -> DataFrame | None:
     """Out-of-fold scores with one corridor held out at a time."""
-    from slopeline.session import durable
-    placed = durable(df)
+    placed = durable(df.select(*features, label, fold))
     out = None
     for (value,) in placed.select(fold).where(F.col(fold).isNotNull()).distinct().orderBy(fold).collect():
         train, test = placed.where(F.col(fold) != value), placed.where(F.col(fold) == value)
         if train.select(label).distinct().count() < 2:
             continue
-        s = score(fit(train, test), test, features).select(
-            F.lit(value).alias("fold"), F.col(label).alias("label"), "raw_probability")
+        s = durable(score(fit(train, test), test, features).select(
+            F.lit(value).alias("fold"), F.col(label).alias("label"), "raw_probability"))
         out = s if out is None else out.unionByName(s)
     return out

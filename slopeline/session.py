@@ -1,8 +1,10 @@
-"""Session settings and the reliable checkpoint used to cut long lineages."""
+"""Session settings and the written tables that cut long lineages."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,13 +41,23 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="spark-slopeline-")
+        folder = _local_folder(sc.applicationId)
     return folder
 
 
+@lru_cache(maxsize=4)
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-slopeline-")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so lost executors do not replay its lineage."""
+    """Write ``df`` once to the shared folder and read it back.
+
+    Lost executors re-read the table instead of replaying its lineage, and later stages still prune its
+    columns. A reliable RDD checkpoint would compute the plan twice. All tables of an application sit in
+    one folder, so that they can be dropped with it.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/slopeline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
