@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_SECONDS = 86_400
-EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+EPOCH = "1970-01-01 00:00:00"
 
 
 def micros(value: Column) -> Column:
     """Microseconds since 1970 of a date or zone-less timestamp, in any session zone."""
-    return F.timestamp_diff("MICROSECOND", EPOCH, value.cast("timestamp_ntz"))
+    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), value.cast("timestamp_ntz"))
 
 
 def unique_observations(obs: DataFrame, key: str, time: str, cols: Sequence[str],
