@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slopeline.catalog.registry import query
 from slopeline.operators import graph
+from slopeline.session import durable
 from slopeline.sources import derived
 
 
@@ -14,7 +15,8 @@ def _edges(t):
 
 
 def _costs(t):
-    return graph.effective_costs(_edges(t))
+    # read by every step of the iterative jobs
+    return durable(graph.effective_costs(_edges(t)))
 
 
 def _open(t):
@@ -76,7 +78,7 @@ def attribute_qa(t):
 
 @query("i8_effective_edge_cost", views="cost_edge", sql="SELECT src, dst, round(cost, 6) AS cost FROM cost_edge")
 def effective_cost(t):
-    return _costs(t).select("src", "dst", F.round("cost", 6).alias("cost"))
+    return graph.effective_costs(_edges(t)).select("src", "dst", F.round("cost", 6).alias("cost"))
 
 
 COMPONENTS = """
@@ -105,7 +107,7 @@ def component_sizes(t):
     (SELECT max(n) FROM (SELECT count(*) AS n FROM cc GROUP BY component)) AS largest_component, count(*) AS edges,
     round(sum(km), 3) AS total_km FROM edge WHERE NOT blocked""")
 def graph_summary(t):
-    e = _open(t)
+    e = durable(_open(t).select("src", "dst", "base_distance_km"))
     return graph.graph_summary(e, graph.weak_components(e)).withColumn("total_km", F.round("total_km", 3))
 
 

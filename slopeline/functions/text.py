@@ -222,8 +222,8 @@ def snippets(x: Column, patterns: Sequence[str], before: int = 180, after: int =
         found.append(F.transform(match_spans(t, f"(?i){p}"), cut))
     every = F.filter(F.concat(*found), lambda s: F.length(s["snippet"]) > 0)
     texts = F.transform(every, lambda s: s["snippet"])
-    first = F.filter(every, lambda s, i: F.array_position(texts, s["snippet"]) == i + 1)
-    return F.slice(first, 1, limit)
+    chosen = F.slice(F.array_distinct(texts), 1, limit)
+    return F.transform(chosen, lambda s: F.element_at(every, F.array_position(texts, s).cast("int")))
 
 
 def dated_blocks(x: Column, header: str = DATED_HEADER) -> Column:

@@ -111,8 +111,8 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds
     and keeps the edges between different representatives. The graph shrinks by a constant factor per
     round in expectation whatever its shape, and only minima are aggregated, so hubs are no problem.
     """
-    pair = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v")
-    live = durable(pair.distinct())
+    links = durable(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct())
+    live = links.where("u <> v")
     steps: list[DataFrame] = []
     for i in range(max_rounds):
         if live.isEmpty():
@@ -127,7 +127,7 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds
         live = durable(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     else:
         raise RuntimeError("components did not converge")
-    everyone = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
+    everyone = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
     if nodes is not None:
         everyone = everyone.unionByName(nodes.select(F.col("id").alias("node")))
     label = everyone.distinct().withColumn("rep", F.col("node"))

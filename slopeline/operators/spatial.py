@@ -24,6 +24,12 @@ def box_cells(df: DataFrame, xmin: Column, ymin: Column, xmax: Column, ymax: Col
             .withColumn("_cy", F.explode(_cells(ymin, ymax, size))))
 
 
+def first_common_cell(xmin_a: Column, ymin_a: Column, xmin_b: Column, ymin_b: Column, size: float) -> Column:
+    """True in the lowest cell two boxes share: keeps each joined pair once, without a shuffle."""
+    return ((F.col("_cx") == F.floor(F.greatest(xmin_a, xmin_b) / size))
+            & (F.col("_cy") == F.floor(F.greatest(ymin_a, ymin_b) / size)))
+
+
 def assign_districts(roads: DataFrame, districts: DataFrame, *, meridian: float, cell_degrees: float = 0.25,
                      road: str = "osm_id", district: str = "district_id") -> DataFrame:
     """District holding the longest part of each road, with its length and share.
@@ -46,11 +52,9 @@ def assign_districts(roads: DataFrame, districts: DataFrame, *, meridian: float,
         F.array_min(ring["lon"]).alias("_x0"), F.array_max(ring["lon"]).alias("_x1"),
         F.array_min(ring["lat"]).alias("_y0"), F.array_max(ring["lat"]).alias("_y1"))
     dist_cells = box_cells(dist, F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), cell_degrees)
-    near = seg_cells.join(dist_cells.drop("ring", "_x0", "_x1", "_y0", "_y1"), ["_cx", "_cy"])
-    # a segment may share several cells with a district: keep the pair once, in its first common cell
-    once = near.groupBy(road, "_i", district).agg(
-        F.min(F.struct("_cx", "_cy", "_pa", "_pb", "_ring", "_len")).alias("_m"))
-    inside = geo.overlap_share(F.col("_m._pa"), F.col("_m._pb"), F.col("_m._ring")) * F.col("_m._len")
+    once = seg_cells.join(dist_cells.drop("ring", "_x1", "_y1"), ["_cx", "_cy"]).where(first_common_cell(
+        F.least("_a.lon", "_b.lon"), F.least("_a.lat", "_b.lat"), F.col("_x0"), F.col("_y0"), cell_degrees))
+    inside = geo.overlap_share(F.col("_pa"), F.col("_pb"), F.col("_ring")) * F.col("_len")
     per = (once.select(road, district, inside.alias("_in")).groupBy(road, district)
            .agg(F.sum("_in").alias("length"), F.count(F.when(F.col("_in") > 0, 1)).alias("_touch"))
            .where("_touch > 0"))
@@ -110,18 +114,24 @@ def nearest_per_event(events: DataFrame, roads: DataFrame, n: int = 50, *, event
     width, height = max(ext[1] - ext[0], 1e-3), max(ext[3] - ext[2], 1e-3)
     span = max(max(ext[1], pe[1]) - min(ext[0], pe[0]), max(ext[3], pe[3]) - min(ext[2], pe[2]))
     size = (n * width * height / max(ext[4], 1)) ** 0.5
-    distance = event_road_distance(F.col("_m._ex"), F.col("_m._ey"), F.col("_m.coords"))
+    # both sides are projected before they meet: an event once, a road once per zone in reach
+    pts = pts.withColumn("_zone", geo.utm_zone(F.col("_ex"))).withColumn(
+        "_p", geo.project(F.col("_ex"), F.col("_ey"), geo.central_meridian(F.col("_zone"))))
+    distance = geo.point_line(F.col("_p.x"), F.col("_p.y"), F.col("_xy"))
     todo, done = pts, None
     for i in range(max_rounds):
         last = size > span or i == max_rounds - 1
         if last:
             size = max(size, span + 1)
         around = box_cells(todo, F.col("_ex") - size, F.col("_ey") - size, F.col("_ex") + size, F.col("_ey") + size, size)
-        cells = box_cells(shaped, F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), size)
-        pairs = around.join(cells.select(road, "coords", "_cx", "_cy"), ["_cx", "_cy"])
-        # a road met in several cells has the same distance in each
-        measured = pairs.groupBy(event, road).agg(F.first(F.struct("_ex", "_ey", "coords")).alias("_m"))
-        measured = measured.select(event, road, F.col("_m._ey").alias("_ey"), distance.alias("distance_m"))
+        zones = F.sequence(geo.utm_zone(F.col("_x0") - 2 * size), geo.utm_zone(F.col("_x1") + 2 * size))
+        zoned = shaped.withColumn("_zone", F.explode(zones)).select(
+            road, "_x0", "_x1", "_y0", "_y1", "_zone",
+            geo.project_line(F.col("coords"), geo.central_meridian(F.col("_zone"))).alias("_xy"))
+        cells = box_cells(zoned, F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), size)
+        pairs = around.join(cells, ["_cx", "_cy", "_zone"]).where(first_common_cell(
+            F.col("_ex") - size, F.col("_ey") - size, F.col("_x0"), F.col("_y0"), size))
+        measured = pairs.select(event, road, "_ey", distance.alias("distance_m"))
         top = first_rows(measured, [event], ["distance_m", road], n)
         if not last:
             # the round is read by the result and by the next round: at most n rows per open event
