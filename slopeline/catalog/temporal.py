@@ -322,12 +322,12 @@ def corridor_counts(t):
 
 @query("e16_split_by_events", views="hazard", sql="""
   WITH s AS (SELECT affected_segment_id AS g, CAST(event_time AS DATE) AS p,
-                    CAST(value > 150 AS INT) AS label FROM hazard),
+                    CAST(value > 100 AS INT) AS label FROM hazard),
   e AS (SELECT g, min(p) AS f FROM s GROUP BY g),
   grp AS (SELECT f, count(*) AS n, sum(count(*)) OVER (ORDER BY f) AS cum FROM e GROUP BY f),
   tot AS (SELECT max(cum) AS n FROM grp),
-  tst AS (SELECT min(f) AS f, min(cum - grp.n) AS start FROM grp, tot WHERE cum > tot.n - 20),
-  v0 AS (SELECT min(cum - grp.n) AS start FROM grp, tst WHERE cum > tst.start - 20),
+  tst AS (SELECT min(f) AS f, min(cum - grp.n) AS start FROM grp, tot WHERE cum > tot.n - 3),
+  v0 AS (SELECT min(cum - grp.n) AS start FROM grp, tst WHERE cum > tst.start - 3),
   cls AS (SELECT cum - grp.n AS start, max(label) AS hi, min(label) AS lo
           FROM grp JOIN e USING (f) JOIN s USING (g) GROUP BY 1),
   v AS (SELECT max(c.start) AS start FROM cls c, v0, tst WHERE c.start <= v0.start
@@ -340,8 +340,8 @@ def event_split(t):
     from slopeline.operators.splits import split_by_events
     df = derived.hazard(t).select(
         F.col("affected_segment_id").alias("g"), F.col("event_time").cast("date").alias("p"),
-        (F.col("value") > 150).cast("int").alias("label"))
-    return split_by_events(df, 20, 20, event="g", time="p")
+        (F.col("value") > 100).cast("int").alias("label"))
+    return split_by_events(df, 3, 3, event="g", time="p")
 
 
 @query("e17_fold_layout", views="hazard", sql="""

@@ -1,7 +1,8 @@
 """Point-in-time joins: the nearest earlier (or later) observation of the same key.
 
-Both sides meet once, hashed on (key, time slice). The nearest observation of other slices comes
-from a carry table with one row per key and slice, so a hot key is spread over its slices.
+Both sides meet once, hashed on the key. When the rows of one key exceed what a window task should
+sort, time is cut into slices and the hash is on (key, slice); the nearest observation of other slices
+then comes from a carry table with one row per key and slice, so a hot key is spread over its slices.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slopeline.operators import ordered
+
 DAY_SECONDS = 86_400
 EPOCH = "1970-01-01 00:00:00"
 
@@ -20,6 +23,18 @@ def micros(value: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), value.cast("timestamp_ntz"))
 
 
+def time_slices(df: DataFrame, key: str, micro: str, slice_seconds: int | None = None) -> tuple[DataFrame, bool]:
+    """Adds ``_slice`` and tells whether there may be more than one of them.
+
+    Slices follow the density of the rows; equal times always share a slice.
+    """
+    if slice_seconds is not None:
+        return df.withColumn("_slice", F.floor(F.col(micro) / (slice_seconds * 1_000_000))), True
+    if ordered.largest_group(df, [key]) <= ordered.MAX_GROUP_ROWS:
+        return df.withColumn("_slice", F.lit(0)), False
+    return ordered.with_slices(df, [micro], ordered.MAX_SLICES), True
+
+
 def unique_observations(obs: DataFrame, key: str, time: str, cols: Sequence[str],
                         seq: str | None = None) -> DataFrame:
     """One row per (key, time): the last by ``seq`` (or by value), as a partial aggregate."""
@@ -31,27 +46,33 @@ def unique_observations(obs: DataFrame, key: str, time: str, cols: Sequence[str]
 
 def asof_join(samples: DataFrame, observations: DataFrame, *, key: str = "key", on: str = "p",
               time: str = "t", cols: Sequence[str], seq: str | None = None,
-              direction: str = "backward", slice_seconds: int = 30 * DAY_SECONDS,
+              direction: str = "backward", slice_seconds: int | None = None,
               found_time: str = "feature_latest_ts") -> DataFrame:
     """Keep every sample row and add the nearest observation with ``t <= on`` (or ``t >= on``)."""
     if direction not in ("backward", "forward"):
         raise ValueError("direction must be 'backward' or 'forward'")
     back = direction == "backward"
     obs = unique_observations(observations, key, time, cols, seq)
-    width = slice_seconds * 1_000_000
     left = samples.select(F.col(key).alias("_k"), micros(F.col(on)).alias("_m"),
                           F.struct(*samples.columns).alias("_row"))
     right = obs.select(F.col(key).alias("_k"), micros(F.col("_t")).alias("_m"),
                        F.struct(F.col("_t").alias("t"), F.col("_o").alias("o")).alias("_hit"))
     # at equal times an observation must be visible to the sample
     both = (right.withColumn("_side", F.lit(0 if back else 1))
-            .unionByName(left.withColumn("_side", F.lit(1 if back else 0)), allowMissingColumns=True)
-            .withColumn("_slice", F.floor(F.col("_m") / width)))
+            .unionByName(left.withColumn("_side", F.lit(1 if back else 0)), allowMissingColumns=True))
+    both, sliced = time_slices(both, "_k", "_m", slice_seconds)
     w = Window.partitionBy("_k", "_slice").orderBy("_m", "_side")
     if back:
         local = F.last("_hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     else:
         local = F.first("_hit", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    probed = both.withColumn("_h", local).where(F.col("_row").isNotNull())
+
+    def output(df: DataFrame) -> DataFrame:
+        return df.select("_row.*", *[F.col(f"_h.o.{c}").alias(c) for c in cols], F.col("_h.t").alias(found_time))
+
+    if not sliced:
+        return output(probed)
     pick = F.max_by if back else F.min_by
     edge = both.groupBy("_k", "_slice").agg(pick("_hit", F.when(F.col("_hit").isNotNull(),
                                                                 F.col("_m"))).alias("_edge"))
@@ -63,11 +84,7 @@ def asof_join(samples: DataFrame, observations: DataFrame, *, key: str = "key",
         carried = F.first("_edge", ignorenulls=True).over(
             across.rowsBetween(1, Window.unboundedFollowing))
     carry = edge.select("_k", "_slice", carried.alias("_carry"))
-    probed = both.withColumn("_local", local).where(F.col("_row").isNotNull())
-    hit = F.coalesce("_local", "_carry")
-    return (probed.join(carry, ["_k", "_slice"], "left").withColumn("_h", hit)
-            .select("_row.*", *[F.col(f"_h.o.{c}").alias(c) for c in cols],
-                    F.col("_h.t").alias(found_time)))
+    return output(probed.join(carry, ["_k", "_slice"], "left").withColumn("_h", F.coalesce("_h", "_carry")))
 
 
 def forward_pin(samples: DataFrame, observations: DataFrame, *, key: str = "key", on: str = "p",

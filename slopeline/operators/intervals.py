@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slopeline.operators.asof import DAY_SECONDS, micros
+from slopeline.operators.asof import DAY_SECONDS, micros, time_slices
 
 
 def qualifying_events(events: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def qualifying_events(events: DataFrame, types: Sequence[str] | None = None) ->
 def label_samples(samples: DataFrame, events: DataFrame, *, segment: str = "road_segment_id",
                   prediction: str = "prediction_time", event_segment: str = "affected_segment_id",
                   event_time: str = "event_time", horizon_days: float = 7,
-                  slice_seconds: int = 30 * DAY_SECONDS) -> DataFrame:
+                  slice_seconds: int | None = None) -> DataFrame:
     """label, matching_event_count, earliest_event_time and lead seconds per distinct sample.
 
     No sample meets its events one by one. Event counts are run-summed over time and read at both
@@ -31,7 +31,6 @@ def label_samples(samples: DataFrame, events: DataFrame, *, segment: str = "road
     third of both; slices of time split such a segment over tasks.
     """
     horizon = int(horizon_days * DAY_SECONDS * 1_000_000)
-    width = slice_seconds * 1_000_000
     ev = (events.where(F.col(event_segment).isNotNull() & F.col(event_time).isNotNull())
           .groupBy(F.col(event_segment).alias("_k"), micros(F.col(event_time)).alias("_m"))
           .agg(F.count(F.lit(1)).alias("_n")))
@@ -43,8 +42,8 @@ def label_samples(samples: DataFrame, events: DataFrame, *, segment: str = "road
                           F.struct((F.col("_p") + horizon).alias("m"), F.lit(1).alias("sign"))))
         .alias("_e")).select("_k", "_p", "_pt", F.col("_e.m").alias("_m"), F.col("_e.sign").alias("_sign"))
     both = (ev.withColumn("_side", F.lit(0))
-            .unionByName(probes.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-            .withColumn("_slice", F.floor(F.col("_m") / width)))
+            .unionByName(probes.withColumn("_side", F.lit(1)), allowMissingColumns=True))
+    both, sliced = time_slices(both, "_k", "_m", slice_seconds)
     w = Window.partitionBy("_k", "_slice").orderBy("_m", "_side")
     event_at = F.when(F.col("_n").isNotNull(), F.col("_m"))
     local = both.select(
@@ -53,16 +52,11 @@ def label_samples(samples: DataFrame, events: DataFrame, *, segment: str = "road
                    F.lit(0)).alias("_seen"),
         F.first(event_at, ignorenulls=True).over(
             w.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
-    per_slice = both.groupBy("_k", "_slice").agg(
-        F.sum("_n").alias("_n"), F.min(event_at).alias("_first"))
-    across = Window.partitionBy("_k").orderBy("_slice")
-    carry = per_slice.select(
-        "_k", "_slice",
-        F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_before"),
-        F.first("_first", ignorenulls=True).over(
-            across.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
-    probed = local.where(F.col("_sign").isNotNull()).join(carry, ["_k", "_slice"])
+    probed = local.where(F.col("_sign").isNotNull())
+    if sliced:
+        probed = _with_carry(probed, both, event_at)
+    else:
+        probed = probed.select("*", F.lit(0).alias("_before"), F.lit(None).cast("bigint").alias("_later"))
     counted = probed.groupBy("_k", "_p", "_pt").agg(
         F.sum(F.col("_sign") * (F.col("_seen") + F.col("_before"))).alias("c"),
         F.max(F.when(F.col("_sign") < 0, F.coalesce("_next", "_later"))).alias("_first"))
@@ -74,3 +68,17 @@ def label_samples(samples: DataFrame, events: DataFrame, *, segment: str = "road
                                     F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")))
         .alias("earliest_event_time"),
         F.when(hit, (F.col("_first") - F.col("_p")) / F.lit(1e6)).alias("lead_seconds"))
+
+
+def _with_carry(probed: DataFrame, both: DataFrame, event_at: Column) -> DataFrame:
+    """Adds the events of earlier slices and the first event of later ones."""
+    per_slice = both.groupBy("_k", "_slice").agg(
+        F.sum("_n").alias("_n"), F.min(event_at).alias("_first"))
+    across = Window.partitionBy("_k").orderBy("_slice")
+    carry = per_slice.select(
+        "_k", "_slice",
+        F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_before"),
+        F.first("_first", ignorenulls=True).over(
+            across.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    return probed.join(carry, ["_k", "_slice"])
