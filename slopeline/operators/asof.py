@@ -30,9 +30,10 @@ def time_slices(df: DataFrame, key: str, micro: str, slice_seconds: int | None =
     """
     if slice_seconds is not None:
         return df.withColumn("_slice", F.floor(F.col(micro) / (slice_seconds * 1_000_000))), True
-    if ordered.largest_group(df, [key]) <= ordered.MAX_GROUP_ROWS:
+    biggest = ordered.largest_group(df, [key])
+    if biggest <= ordered.MAX_GROUP_ROWS:
         return df.withColumn("_slice", F.lit(0)), False
-    return ordered.with_slices(df, [micro], ordered.MAX_SLICES), True
+    return ordered.with_slices(df, [micro], ordered.slices_for(df, biggest)), True
 
 
 def unique_observations(obs: DataFrame, key: str, time: str, cols: Sequence[str],

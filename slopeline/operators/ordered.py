@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 OrderItem = str | tuple[str, bool]
 
 SAMPLE_PER_SLICE = 40
-MAX_SLICES = 256
+MAX_SLICES = 1024
 # Rows of one group that a single window task may sort.
 MAX_GROUP_ROWS = 2_000_000
 
@@ -86,6 +86,12 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     return per.agg(F.max("n").alias("n")).first()["n"] or 0
 
 
+def slices_for(df: DataFrame, biggest: int) -> int:
+    """Slices that bring the largest group well under ``MAX_GROUP_ROWS`` per slice."""
+    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_SLICES, max(parallel, 4 * -(-biggest // max(MAX_GROUP_ROWS, 1))))
+
+
 def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[OrderItem],
                  sums: dict[str, str | Column], slices: int | None = None) -> DataFrame:
     """Add, per output name, the inclusive running sum of its column along ``order`` in each group.
@@ -94,11 +100,12 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[OrderItem],
     """
     by = list(by)
     values = {n: (F.col(c) if isinstance(c, str) else c) for n, c in sums.items()}
-    if slices is None and largest_group(df, by) <= MAX_GROUP_ROWS:
+    biggest = largest_group(df, by) if slices is None else 0
+    if slices is None and biggest <= MAX_GROUP_ROWS:
         whole = Window.partitionBy(*by).orderBy(*sort_columns(order)).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[F.sum(v).over(whole).alias(n) for n, v in values.items()])
-    sliced = with_slices(df, order, slices)
+    sliced = with_slices(df, order, slices or slices_for(df, biggest))
     inner = Window.partitionBy(*by, "_slice").orderBy(*sort_columns(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     totals = sliced.groupBy(*by, "_slice").agg(

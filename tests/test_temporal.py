@@ -93,7 +93,11 @@ def test_labels_type_filter(spark):
     assert (out.label, out.matching_event_count) == (1, 1)
 
 
-def test_labels_small_slices_match_pairs(spark):
+@pytest.mark.parametrize("seconds,limit", [(36_000, None), (None, None), (None, 0)])
+def test_labels_small_slices_match_pairs(spark, monkeypatch, seconds, limit):
+    if limit is not None:
+        monkeypatch.setattr(ordered, "MAX_GROUP_ROWS", limit)
+        monkeypatch.setattr(ordered, "MAX_SLICES", 6)
     rng = np.random.default_rng(3)
     base = dt.datetime(2024, 1, 1)
     ev = [(i, base + dt.timedelta(minutes=int(rng.integers(0, 40000))), 0 if rng.random() < 0.5 else int(rng.integers(1, 5)))
@@ -101,7 +105,7 @@ def test_labels_small_slices_match_pairs(spark):
     sm = list({(int(rng.integers(0, 5)), base + dt.timedelta(minutes=int(rng.integers(0, 40000)))) for _ in range(150)})
     e = spark.createDataFrame(ev, "event_id long, event_time timestamp_ntz, affected_segment_id long")
     p = spark.createDataFrame(sm, "road_segment_id long, prediction_time timestamp_ntz")
-    out = intervals.label_samples(p, e, horizon_days=3, slice_seconds=36_000).collect()
+    out = intervals.label_samples(p, e, horizon_days=3, slice_seconds=seconds).collect()
     assert len(out) == len(sm)
     for r in out:
         hit = [t for _, t, k in ev if k == r.road_segment_id and r.prediction_time < t <= r.prediction_time + dt.timedelta(days=3)]
@@ -110,7 +114,10 @@ def test_labels_small_slices_match_pairs(spark):
 
 
 @pytest.mark.parametrize("direction", ["backward", "forward"])
-def test_asof_matches_merge_asof(spark, direction):
+@pytest.mark.parametrize("seconds,limit", [(24 * 3600, None), (None, None), (None, 0)])
+def test_asof_matches_merge_asof(spark, monkeypatch, direction, seconds, limit):
+    if limit is not None:
+        monkeypatch.setattr(ordered, "MAX_GROUP_ROWS", limit)
     rng = np.random.default_rng(11)
     base = pd.Timestamp("2024-01-01")
     obs = pd.DataFrame({"key": rng.integers(0, 3, 120), "t": base + pd.to_timedelta(rng.integers(0, 2000, 120), "h")})
@@ -121,7 +128,7 @@ def test_asof_matches_merge_asof(spark, direction):
     want = pd.merge_asof(smp.sort_values("p"), obs.sort_values("t"), left_on="p", right_on="t", by="key", direction=direction)
     o = spark.createDataFrame(obs).withColumn("t", F.col("t").cast("timestamp_ntz"))
     s_ = spark.createDataFrame(smp).withColumn("p", F.col("p").cast("timestamp_ntz"))
-    out = asof.asof_join(s_, o, cols=["v"], direction=direction, slice_seconds=24 * 3600).collect()
+    out = asof.asof_join(s_, o, cols=["v"], direction=direction, slice_seconds=seconds).collect()
     assert {r.i: r.v for r in out} == {int(i): None if pd.isna(v) else int(v) for i, v in zip(want.i, want.v)}
 
 
