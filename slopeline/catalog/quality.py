@@ -453,12 +453,15 @@ def observation_quality(t):
 
 
 @query("a14_column_roles", sql="""
-  SELECT column_name, normalised, role FROM (VALUES ('Event Date', 'event_date', 'date'),
+  SELECT column_name, normalised, role, (SELECT count(*) FROM orders) AS row_count,
+    CASE WHEN column_name = 'notes' THEN (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') ELSE 0 END AS null_count
+  FROM (VALUES ('Event Date', 'event_date', 'date'),
     ('Lat.DD', 'lat_dd', 'latitude'), ('lng', 'lng', 'longitude'), ('Hazard-Type', 'hazard_type', 'event_type'),
-    ('notes', 'notes', NULL)) v(column_name, normalised, role)
-  WHERE EXISTS (SELECT 1 FROM orders)""")
+    ('notes', 'notes', NULL)) v(column_name, normalised, role)""")
 def column_roles(t):
     df = t.orders.select(F.col("o_orderdate").alias("Event Date"), F.col("o_totalprice").alias("Lat.DD"),
                          F.col("o_totalprice").alias("lng"), F.col("o_orderstatus").alias("Hazard-Type"),
-                         F.col("o_orderpriority").alias("notes"))
-    return quality.column_roles(df)
+                         F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("notes"))
+    # the roles come from the schema, their use from the rows
+    profile = quality.table_profile(df).select("column_name", "row_count", "null_count")
+    return quality.column_roles(df).join(profile, "column_name")
