@@ -27,7 +27,7 @@ def count_if(cond: Column) -> Column:
 
 def table_profile(df: DataFrame) -> DataFrame:
     """column, type, rows and NULL count per column, from one aggregate."""
-    one = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(c)).alias(f"k_{i}")
+    one = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c.replace('`', '``')}`")).alias(f"k_{i}")
                                                  for i, c in enumerate(df.columns)])
     items = F.array(*[F.struct(F.lit(f.name).alias("column_name"),
                                F.lit(f.dataType.simpleString()).alias("data_type"),
