@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slopeline.llm.common import ready
 from slopeline.llm.packing import pack_documents
 from slopeline.llm.sharding import shard_documents
+from slopeline.llm.simhash import as_hex, near_copies
+from slopeline.llm.substring import remove_repeats
 from slopeline.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,5 +34,33 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_token_counts, op5_packing)}
-SQL: dict[str, str] = {}
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_copies(_table(spark, folder, "documents"))
+    return found.select("doc_id", as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def op8_substring(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_sharding, op2_token_counts, op5_packing, op7_simhash, op8_substring)}
+#: Independent SQL for what SQL can express over the whole tables.
+SQL: dict[str, str] = {
+    "op8_substring": r"""
+        WITH words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w : w <> '') AS w FROM documents),
+        places AS (SELECT doc_id, w, unnest(range(len(w) - 34)) AS p FROM words WHERE len(w) >= 35),
+        windows AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 35], ' ') AS t FROM places),
+        twice AS (SELECT t FROM windows GROUP BY t HAVING count(*) > 1),
+        hits AS (SELECT doc_id, list(DISTINCT p) AS ps FROM windows JOIN twice USING (t) GROUP BY doc_id),
+        gone AS (SELECT doc_id, list_distinct(flatten(list_transform(ps, lambda p : range(p, p + 35)))) AS g FROM hits),
+        kept AS (
+            SELECT doc_id, w, CASE WHEN g IS NULL THEN w
+                ELSE list_transform(list_filter(range(len(w)), lambda i : NOT list_contains(g, i)), lambda i : w[i + 1]) END AS k
+            FROM words LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(k) AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
+        FROM kept""",
+}
