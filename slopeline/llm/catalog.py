@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slopeline.llm.common import ready
+from slopeline.llm.embed_dedup import near_vectors
 from slopeline.llm.packing import pack_documents
 from slopeline.llm.sharding import shard_documents
 from slopeline.llm.simhash import as_hex, near_copies
@@ -44,8 +45,12 @@ def op8_substring(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_embed_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_sharding, op2_token_counts, op5_packing, op7_simhash, op8_substring)}
+    op1_sharding, op2_token_counts, op5_packing, op7_simhash, op8_substring, op10_embed_dedup)}
 #: Independent SQL for what SQL can express over the whole tables.
 SQL: dict[str, str] = {
     "op8_substring": r"""
