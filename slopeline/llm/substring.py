@@ -34,6 +34,8 @@ MIN_BITS, MAX_BITS, SLICE_BITS = 20, 29, 20
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Windows or anchors that a task gathers before it sends them on; bytes of text for each bucket.
 UNIT, BUCKET_BYTES = 400_000, 12_000_000
+#: Key of a text (two numbers), word number, and hash of a window (two numbers).
+KINDS = ("<i8", "<i4", "<i4", "<u8", "<u8")
 
 
 class Windows:
@@ -143,7 +145,7 @@ def sketch(slim: DataFrame, width: int, bits: int) -> list[np.ndarray]:
 
 def repeated_places(slim: DataFrame, width: int) -> DataFrame:
     """_k1, _k2, places: for each text (``_k1``, ``_k2``, ``_text``) packed word numbers where a window
-    starts that starts elsewhere too; several rows for one text."""
+    starts that starts elsewhere too; one row for a text that has any."""
     size = slim.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, size / 20)))))
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
@@ -152,8 +154,7 @@ def repeated_places(slim: DataFrame, width: int) -> DataFrame:
     names = ["bucket", "k1", "k2", "place", "h1", "h2"]
 
     def rows(bucket: list[int], groups: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        kinds = ("<i8", "<i4", "<i4", "<u8", "<u8")
-        columns = [pa.array([np.ascontiguousarray(g[i], k).tobytes() for g in groups], pa.binary()) for i, k in enumerate(kinds)]
+        columns = [pa.array([np.ascontiguousarray(g[i], k).tobytes() for g in groups], pa.binary()) for i, k in enumerate(KINDS)]
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), *columns], names=names)
 
     def split(part: np.ndarray, *values: np.ndarray) -> tuple[list[int], list[tuple[np.ndarray, ...]]]:
@@ -209,29 +210,36 @@ def repeated_places(slim: DataFrame, width: int) -> DataFrame:
         if many:
             yield from sent()
 
+    def read(table: pa.Table) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(table.column(n).to_pylist()), k) for n, k in zip(names[1:], KINDS, strict=True)]
+
     def settle(key: tuple, table: pa.Table) -> pa.Table:
-        k1, k2, place, h1, h2 = (np.frombuffer(b"".join(table.column(n).to_pylist()), k)
-                                 for n, k in zip(names[1:], ("<i8", "<i4", "<i4", "<u8", "<u8"), strict=True))
-        hit = np.ones(len(k1), bool)
-        if key[0].as_py() >= 0:
-            order = np.lexsort((h2, h1))
-            a, b = h1[order], h2[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            group = np.cumsum(new) - 1
-            hit[order] = (np.bincount(group) > 1)[group]
-            hit &= place >= 0
-            # a mark alone stands for two places that its own task has reported
-            k1, k2, place = k1[hit], k2[hit], place[hit]
+        """Places of a bucket that are repeated, packed by where their texts' places are gathered."""
+        k1, k2, place, h1, h2 = read(table)
+        if (bucket := key[0].as_py()) < 0:
+            return pa.Table.from_batches([rows([-1 - bucket], [(k1, k2, place, h1, h2)])])
+        order = np.lexsort((h2, h1))
+        a, b = h1[order], h2[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        hit = np.zeros(len(order), bool)
+        group = np.cumsum(new) - 1
+        hit[order] = (np.bincount(group) > 1)[group]
+        hit &= place >= 0  # a mark stands for places that its own task has reported
+        at, groups = split((k1[hit].view(np.uint64) % np.uint64(buckets)).astype(np.int64), k1[hit], k2[hit], place[hit])
+        return pa.Table.from_batches([rows(at, [(*g, h1[:0], h2[:0]) for g in groups])])
+
+    def gather(key: tuple, table: pa.Table) -> pa.Table:
+        k1, k2, place, _, _ = read(table)
         order = np.lexsort((place, k2, k1))
-        k1, k2, place = k1[order], k2[order], place[order].astype("<i4")
+        k1, k2, place = k1[order], k2[order], place[order]
         edge = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]), [True]])) if len(k1) else np.zeros(1, int)
         first = edge[:-1]
         return pa.table({"_k1": pa.array(k1[first], pa.int64()), "_k2": pa.array(k2[first], pa.int32()),
                          "places": pa.array([place[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())})
 
     found = slim.select("_text", "_k1", "_k2").mapInArrow(search, schema)
-    return found.groupBy("bucket").applyInArrow(settle, "_k1 bigint, _k2 int, places binary")
+    return found.groupBy("bucket").applyInArrow(settle, schema).groupBy("bucket").applyInArrow(gather, "_k1 bigint, _k2 int, places binary")
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,9 +254,9 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     docs = docs.drop(*new)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     slim = docs.select(body.alias("_text"), F.xxhash64(id_col, text).alias("_k1"), F.hash(text, id_col).alias("_k2"))
-    places = repeated_places(slim, width).groupBy("_k1", "_k2").agg(F.collect_list("places").alias("_places"))
+    places = repeated_places(slim, width)
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(id_col, text).alias("_k1"), F.hash(text, id_col).alias("_k2"))
-    joined = keyed.join(places, ["_k1", "_k2"], "left").select("_row", "_places")
+    joined = keyed.join(places, ["_k1", "_k2"], "left").select("_row", "places")
     at, names = docs.columns.index(text), [*docs.columns, *new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +269,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
                 words = bytes(raw[offsets[i]:offsets[i + 1]]).split()
                 total.append(len(words))
                 if places:
-                    start = np.unique(np.frombuffer(b"".join(places), "<i4"))
+                    start = np.unique(np.frombuffer(places, "<i4"))
                     cover = np.zeros(len(words) + 1, np.int64)
                     cover[start] += 1
                     np.subtract.at(cover, start + width, 1)
