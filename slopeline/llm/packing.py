@@ -13,47 +13,70 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slopeline.llm.common import pieces as pieces_of
 from slopeline.llm.common import utf8
+from slopeline.llm.token_counts import SETTLED, Merges
 from slopeline.session import durable
 
-CACHE = 200_000
+CACHE = 400_000
+#: Fixed value: how the vocabulary's library splits lower-cased text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
 class Ids:
-    """Token ids of texts, word by word: the vocabulary drops white space and joins nothing across it."""
+    """Token ids of texts, word by word: the vocabulary drops white space and joins nothing across it.
+
+    Words new to the cache are merged together by the vocabulary's ranks; a word with characters beyond
+    Latin, or a special string, goes to the vocabulary's own library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.recent: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit values."""
-        words = text.split()
-        known = {}
-        missing = []
-        for w in set(words):
-            x = self.recent.get(w)
-            if x is None and (x := self.older.get(w)) is not None:
-                self.recent[w] = x
-            if x is None:
-                missing.append(w)
-            else:
-                known[w] = x
+        self.library = Tokenizer.from_file(path)
+        self.merges = Merges(path)
+        self.split = regex.compile(PATTERN + "|\n").findall
+        self.special = regex.compile("|".join(map(regex.escape, self.merges.special)) or "(?!)").search
+        self.known: dict[bytes, bytes] = {}
+
+    def learn(self, words: list[bytes]) -> None:
+        """Ids of new words; none holds white space."""
+        text = b"\n".join(words).decode()
+        if SETTLED.search(text) is not None or self.special(text) is not None:
+            odd = [w for w in words if SETTLED.search(t := w.decode()) is not None or self.special(t) is not None]
+            for w, e in zip(odd, self.library.encode_batch([w.decode() for w in odd], add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            words = [w for w in words if w not in self.known]
+            text = b"\n".join(words).decode()
+        # a line each for parts of words; the break between two words is a part too and leaves two empty lines
+        data = np.frombuffer("\n".join(self.split(text.lower())).encode(), np.uint8)
+        brk = np.flatnonzero(data == 10)
+        lens = np.diff(brk, prepend=-1, append=len(data)) - 1
+        word = (np.cumsum(lens == 0) // 2)[lens > 0]
+        ids, n = self.merges.ids(data[data != 10], lens[lens > 0])
+        each = np.bincount(word, n, len(words)).astype(np.int64)
+        raw = ids.astype("<u4").tobytes()
+        ends = (4 * np.cumsum(each)).tolist()
+        self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=False))
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit values."""
+        split = [t.split() for t in texts]
+        if len(self.known) > CACHE:
+            self.known = {}
+        missing = set(chain.from_iterable(split)) - self.known.keys()
         if missing:
-            for w, e in zip(missing, self.tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False), strict=True):
-                known[w] = self.recent[w] = np.array(e.ids, "<u4").tobytes()
-        if len(self.recent) > CACHE:
-            self.older, self.recent = self.recent, {}
-        return b"".join(map(known.__getitem__, words))
+            self.learn(list(missing))
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, words)) for words in split]
 
 
 def token_pieces(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, text: str = "text") -> DataFrame:
@@ -70,8 +93,9 @@ def token_pieces(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1
             data, offsets = utf8(batch.column(1))
             raw = memoryview(data)
             row, start, length, crc, total = [], [], [], [], []
-            for i in range(len(batch)):
-                out = ids(bytes(raw[offsets[i]:offsets[i + 1]])) + end
+            each = (x for a, b in pieces_of(offsets, 1 << 22) for x in ids([bytes(raw[offsets[j]:offsets[j + 1]]) for j in range(a, b)]))
+            for i, out in enumerate(each):
+                out += end
                 n = len(out) // 4
                 whole = n - n % window
                 cuts = [*range(0, whole, window), *range(whole, n, rest), n]
