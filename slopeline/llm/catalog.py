@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slopeline.llm.ann import nearest
 from slopeline.llm.common import ready
 from slopeline.llm.embed_dedup import near_vectors
 from slopeline.llm.packing import pack_documents
@@ -31,6 +32,11 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_ann(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,7 +56,7 @@ def op10_embed_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_sharding, op2_token_counts, op5_packing, op7_simhash, op8_substring, op10_embed_dedup)}
+    op1_sharding, op2_token_counts, op4_ann, op5_packing, op7_simhash, op8_substring, op10_embed_dedup)}
 #: Independent SQL for what SQL can express over the whole tables.
 SQL: dict[str, str] = {
     "op8_substring": r"""
