@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from slopeline.llm.ann import nearest
 from slopeline.llm.common import ready
 from slopeline.llm.embed_dedup import near_vectors
+from slopeline.llm.mixing import mixed_rows
 from slopeline.llm.packing import pack_documents
+from slopeline.llm.quality_rules import scored, train
 from slopeline.llm.sharding import shard_documents
 from slopeline.llm.simhash import as_hex, near_copies
 from slopeline.llm.substring import remove_repeats
@@ -41,6 +43,11 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return scored(docs, train(docs, _table(spark, folder, "labels")))
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = near_copies(_table(spark, folder, "documents"))
     return found.select("doc_id", as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
@@ -51,12 +58,16 @@ def op8_substring(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed_rows(_table(spark, folder, "documents"), columns=["doc_id", "source"])
+
+
 def op10_embed_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_sharding, op2_token_counts, op4_ann, op5_packing, op7_simhash, op8_substring, op10_embed_dedup)}
+    op1_sharding, op2_token_counts, op4_ann, op5_packing, op6_quality, op7_simhash, op8_substring, op9_mixing, op10_embed_dedup)}
 #: Independent SQL for what SQL can express over the whole tables.
 SQL: dict[str, str] = {
     "op8_substring": r"""
