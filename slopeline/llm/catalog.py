@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slopeline.llm.ann import nearest
-from slopeline.llm.common import ready
+from slopeline.llm.common import crc_fold, ready
 from slopeline.llm.embed_dedup import near_vectors
+from slopeline.llm.kneser_ney import score_documents
 from slopeline.llm.mixing import mixed_rows
 from slopeline.llm.packing import pack_documents
 from slopeline.llm.quality_rules import scored, train
@@ -34,6 +35,12 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    fold = crc_fold(F.col("doc_id"), 7)
+    scores = score_documents(_table(spark, folder, "documents"), fold != 2)
+    return scores.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_ann(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _table(spark, folder, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
@@ -67,7 +74,7 @@ def op10_embed_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_sharding, op2_token_counts, op4_ann, op5_packing, op6_quality, op7_simhash, op8_substring, op9_mixing, op10_embed_dedup)}
+    op1_sharding, op2_token_counts, op3_kneser_ney, op4_ann, op5_packing, op6_quality, op7_simhash, op8_substring, op9_mixing, op10_embed_dedup)}
 #: Independent SQL for what SQL can express over the whole tables.
 SQL: dict[str, str] = {
     "op8_substring": r"""
