@@ -114,3 +114,16 @@ def near_copies(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: st
 
 def as_hex(value: Column) -> Column:
     return F.lpad(F.lower(F.hex(value)), 16, "0")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: that with the smallest id; of repeated rows one, of different
+    texts under one id in one group the one with the smaller hash. Rows without an id are all kept, as no
+    id can name them."""
+    print_ = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    named = docs.where(F.col(id_col).isNotNull())
+    found = near_copies(named.withColumn("_text_hash", print_), shingle, distance, id_col, text, ("_text_hash",))
+    best = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col, "component_id").agg(F.min("_text_hash").alias("_text_hash"))
+    keep = best.select(id_col, "_text_hash").distinct()
+    kept = named.withColumn("_text_hash", print_).join(keep, [id_col, "_text_hash"], "left_semi").dropDuplicates([id_col, "_text_hash"])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
