@@ -39,21 +39,21 @@ def row_numbers(df: DataFrame, by: list[str], order: list[Column], name: str = "
     whole order are told apart by their place in the input, which may differ between readings of it.
     """
     keys = [F.col(c) for c in by]
-    place = df.withColumn("_place", F.monotonically_increasing_id())
+    place = df.withColumn("__rn_place", F.monotonically_increasing_id())
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = place.repartitionByRange(n, *keys, *order, "_place").sortWithinPartitions(*keys, *order, "_place")
+    dealt = place.repartitionByRange(n, *keys, *order, "__rn_place").sortWithinPartitions(*keys, *order, "__rn_place")
     mark = F.monotonically_increasing_id()
-    kept = durable(dealt.drop("_place").withColumn("_part", F.shiftright(mark, 33)).withColumn(
-        "_local", mark.bitwiseAND(F.lit((1 << 33) - 1))))
+    kept = durable(dealt.drop("__rn_place").withColumn("__rn_part", F.shiftright(mark, 33)).withColumn(
+        "__rn_local", mark.bitwiseAND(F.lit((1 << 33) - 1))))
     # one row per (range, group): at most ranges + groups rows, as each range holds a stretch of the order
-    starts = kept.groupBy("_part", *by).agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
-    a, b = kept.alias("a"), starts.select("_part", *by, "_shift").alias("b")
-    on = F.col("a._part") == F.col("b._part")
+    starts = kept.groupBy("__rn_part", *by).agg(F.min("__rn_local").alias("__rn_first"), F.count(F.lit(1)).alias("__rn_n"))
+    before = Window.partitionBy(*by).orderBy("__rn_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("__rn_shift", F.coalesce(F.sum("__rn_n").over(before), F.lit(0)) - F.col("__rn_first"))
+    a, b = kept.alias("a"), starts.select("__rn_part", *by, "__rn_shift").alias("b")
+    on = F.col("a.__rn_part") == F.col("b.__rn_part")
     for c in by:
         on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    return a.join(F.broadcast(b), on).select("a.*", (F.col("_local") + F.col("_shift")).alias(name)).drop("_part", "_local")
+    return a.join(F.broadcast(b), on).select("a.*", (F.col("__rn_local") + F.col("__rn_shift")).alias(name)).drop("__rn_part", "__rn_local")
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

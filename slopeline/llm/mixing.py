@@ -95,22 +95,22 @@ def mixed_rows(docs: DataFrame, weights: dict[Name, float] | None = None, power:
     """
     keep = [c for c in (columns or docs.columns) if c not in ("block", "slot", "place")]
     order = [F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.col(id_col)]
-    numbered = row_numbers(docs.select(*keep), [by], order, "_row")
+    numbered = row_numbers(docs.select(*keep), [by], order, "__mix_row")
     counts = {r[0]: r[1] for r in numbered.groupBy(by).agg(F.count(F.lit(1))).collect()}
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     target = weights if weights is not None else tempered(blocks, power)
     target = {s: w for s, w in target.items() if s in blocks and w > 0}
     share = whole_weights(target, max(period, 4 * len(target))) if target else {}
-    plan = [(s, s is None, [tuple(p) for p in phases]) for s, phases in schedule(blocks, share).items()]
+    plan = [(s, [tuple(p) for p in phases]) for s, phases in schedule(blocks, share).items()]
     phases = docs.sparkSession.createDataFrame(
-        plan, "_source string, _none boolean, _phases array<struct<j0: bigint, j1: bigint, slot0: bigint, period: bigint, slots: array<int>>>")
-    block = F.floor(F.col("_row") / block_rows).cast("bigint")
-    joined = numbered.withColumn("block", block).join(F.broadcast(phases), F.col(by).cast("string").eqNullSafe(F.col("_source")))
-    now = F.filter("_phases", lambda p: (F.col("block") >= p["j0"]) & (F.col("block") < p["j1"]))[0]
-    at = joined.withColumn("_now", now).withColumn("_m", F.col("block") - F.col("_now.j0")).withColumn("_p", F.size("_now.slots"))
-    turn = ((F.col("_m") - F.col("_m") % F.col("_p")) / F.col("_p")).cast("bigint")
-    slot = F.col("_now.slot0") + turn * F.col("_now.period") + F.col("_now.slots")[(F.col("_m") % F.col("_p")).cast("int")]
-    return at.select(*keep, "block", slot.cast("bigint").alias("slot"), (F.col("_row") % block_rows).cast("int").alias("place"))
+        plan, "__mix_source string, __mix_phases array<struct<j0: bigint, j1: bigint, slot0: bigint, period: bigint, slots: array<int>>>")
+    block = F.floor(F.col("__mix_row") / block_rows).cast("bigint")
+    joined = numbered.withColumn("block", block).join(F.broadcast(phases), F.col(by).cast("string").eqNullSafe(F.col("__mix_source")))
+    now = F.filter("__mix_phases", lambda p: (F.col("block") >= p["j0"]) & (F.col("block") < p["j1"]))[0]
+    at = joined.withColumn("__mix_now", now).withColumn("__mix_m", F.col("block") - F.col("__mix_now.j0")).withColumn("__mix_p", F.size("__mix_now.slots"))
+    turn = ((F.col("__mix_m") - F.col("__mix_m") % F.col("__mix_p")) / F.col("__mix_p")).cast("bigint")
+    slot = F.col("__mix_now.slot0") + turn * F.col("__mix_now.period") + F.col("__mix_now.slots")[(F.col("__mix_m") % F.col("__mix_p")).cast("int")]
+    return at.select(*keep, "block", slot.cast("bigint").alias("slot"), (F.col("__mix_row") % block_rows).cast("int").alias("place"))
 
 
 def in_order(mixed: DataFrame, rows_per_part: int = 20_000) -> DataFrame:
