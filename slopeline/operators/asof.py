@@ -38,10 +38,13 @@ def time_slices(df: DataFrame, key: str, micro: str, slice_seconds: int | None =
 
 def unique_observations(obs: DataFrame, key: str, time: str, cols: Sequence[str],
                         seq: str | None = None) -> DataFrame:
-    """One row per (key, time): the last by ``seq`` (or by value), as a partial aggregate."""
+    """One row per (key, time): the last by ``seq`` (or by value), as a partial aggregate.
+
+    Observations without a key or time belong to nobody.
+    """
     payload = F.struct(*cols)
     best = F.max_by(payload, F.col(seq)) if seq else F.max(payload)
-    return (obs.where(F.col(time).isNotNull()).groupBy(F.col(key), F.col(time).alias("_t"))
+    return (obs.where(F.col(time).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key), F.col(time).alias("_t"))
             .agg(best.alias("_o")))
 
 
@@ -49,7 +52,10 @@ def asof_join(samples: DataFrame, observations: DataFrame, *, key: str = "key",
               time: str = "t", cols: Sequence[str], seq: str | None = None,
               direction: str = "backward", slice_seconds: int | None = None,
               found_time: str = "feature_latest_ts") -> DataFrame:
-    """Keep every sample row and add the nearest observation with ``t <= on`` (or ``t >= on``)."""
+    """Keep every sample row and add the nearest observation with ``t <= on`` (or ``t >= on``).
+
+    A sample without a key or time matches nothing.
+    """
     if direction not in ("backward", "forward"):
         raise ValueError("direction must be 'backward' or 'forward'")
     back = direction == "backward"
@@ -67,6 +73,7 @@ def asof_join(samples: DataFrame, observations: DataFrame, *, key: str = "key",
         local = F.last("_hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     else:
         local = F.first("_hit", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    local = F.when(F.col("_m").isNotNull(), local)
     probed = both.withColumn("_h", local).where(F.col("_row").isNotNull())
 
     def output(df: DataFrame) -> DataFrame:
@@ -85,7 +92,8 @@ def asof_join(samples: DataFrame, observations: DataFrame, *, key: str = "key",
         carried = F.first("_edge", ignorenulls=True).over(
             across.rowsBetween(1, Window.unboundedFollowing))
     carry = edge.select("_k", "_slice", carried.alias("_carry"))
-    return output(probed.join(carry, ["_k", "_slice"], "left").withColumn("_h", F.coalesce("_h", "_carry")))
+    return output(probed.join(carry, ["_k", "_slice"], "left").withColumn(
+        "_h", F.when(F.col("_m").isNotNull(), F.coalesce("_h", "_carry"))))
 
 
 def forward_pin(samples: DataFrame, observations: DataFrame, *, key: str = "key", on: str = "p",

@@ -81,4 +81,6 @@ def _with_carry(probed: DataFrame, both: DataFrame, event_at: Column) -> DataFra
                    F.lit(0)).alias("_before"),
         F.first("_first", ignorenulls=True).over(
             across.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
-    return probed.join(carry, ["_k", "_slice"])
+    # samples without a segment keep their row, with no events
+    at = carry.select(F.col("_k").alias("_ck"), F.col("_slice").alias("_cs"), "_before", "_later")
+    return probed.join(at, F.col("_k").eqNullSafe(F.col("_ck")) & F.col("_slice").eqNullSafe(F.col("_cs"))).drop("_ck", "_cs")

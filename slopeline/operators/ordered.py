@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # One order item: a column name, or (column name, ascending).
 OrderItem = str | tuple[str, bool]
@@ -28,16 +29,17 @@ def _items(order: Sequence[OrderItem]) -> list[tuple[str, bool]]:
     return [(o, True) if isinstance(o, str) else o for o in order]
 
 
-def sort_columns(order: Sequence[OrderItem]) -> list[Column]:
-    return [F.col(c).asc() if asc else F.col(c).desc() for c, asc in _items(order)]
+def _values(df: DataFrame, order: Sequence[OrderItem]) -> list[tuple[Column, bool]]:
+    """Sort values in which every unknown (NULL or NaN) is NULL."""
+    def known(c: str) -> Column:
+        fractional = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+        return F.when(~F.isnan(c), F.col(c)) if fractional else F.col(c)
+    return [(known(c), asc) for c, asc in _items(order)]
 
 
-def _sort_key(order: Sequence[OrderItem]) -> Column:
-    """A struct whose ascending comparison is the requested order (descending needs a number)."""
-    return F.struct(*[
-        (F.col(c) if asc else -F.col(c).cast("double")).alias(f"k{i}")
-        for i, (c, asc) in enumerate(_items(order))
-    ])
+def sort_columns(df: DataFrame, order: Sequence[OrderItem]) -> list[Column]:
+    """Unknown values come last, whatever the direction."""
+    return [v.asc_nulls_last() if asc else v.desc_nulls_last() for v, asc in _values(df, order)]
 
 
 def with_slices(df: DataFrame, order: Sequence[OrderItem], slices: int | None = None,
@@ -51,23 +53,26 @@ def with_slices(df: DataFrame, order: Sequence[OrderItem], slices: int | None =
     wanted = max(1, min(wanted, MAX_SLICES))
     if wanted == 1:
         return df.withColumn(name, F.lit(0))
-    key = _sort_key(order)
-    sample = (df.select(key.alias("k"), F.rand(17).alias("r")).orderBy("r")
-              .limit(SAMPLE_PER_SLICE * wanted).select("k").orderBy("k").collect())
+    values = _values(df, order)
+    names = [f"k{i}" for i in range(len(values))]
+    picked = df.select(*[v.alias(n) for (v, _), n in zip(values, names, strict=True)], F.rand(17).alias("r")).orderBy("r").limit(
+        SAMPLE_PER_SLICE * wanted)
+    sample = picked.select(*names).orderBy(*sort_columns(picked, [(n, asc) for n, (_, asc) in zip(names, values, strict=True)])).collect()
     if len(sample) < 2 * wanted:
         return df.withColumn(name, F.lit(0))
-    cuts = sorted({i * len(sample) // wanted for i in range(1, wanted)})
-    bounds = [sample[i].k for i in cuts]
-    fields = _items(order)
+    bounds = [sample[i] for i in sorted({i * len(sample) // wanted for i in range(1, wanted)})]
+    kinds = [picked.schema[n].dataType for n in names]
 
     def at_least(bound) -> Column:
-        # lexicographic comparison of plain columns, so that it stays inside codegen
+        # lexicographic comparison of plain columns in their own types, so that it stays inside codegen
         result = F.lit(True)
-        for i in reversed(range(len(fields))):
-            column, asc = fields[i]
-            value = F.col(column) if asc else -F.col(column).cast("double")
-            limit = F.lit(bound[i])
-            result = (value > limit) | ((value == limit) & result)
+        for (value, asc), limit, kind in reversed(list(zip(values, bound, kinds, strict=True))):
+            if limit is None:  # unknown is last: nothing comes after it
+                result = value.isNull() & result
+                continue
+            edge = F.lit(limit).cast(kind)
+            after = value > edge if asc else value < edge
+            result = value.isNull() | after | ((value == edge) & result)
         return result
 
     def search(lo: int, hi: int) -> Column:
@@ -96,17 +101,18 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[OrderItem],
                  sums: dict[str, str | Column], slices: int | None = None) -> DataFrame:
     """Add, per output name, the inclusive running sum of its column along ``order`` in each group.
 
-    ``order`` must be unique inside a group and free of NULLs. ``slices`` forces the sliced plan.
+    ``order`` must be unique inside a group; unknown values (NULL or NaN) come last. Both plans give
+    the same rows. ``slices`` forces the sliced one.
     """
     by = list(by)
     values = {n: (F.col(c) if isinstance(c, str) else c) for n, c in sums.items()}
     biggest = largest_group(df, by) if slices is None else 0
     if slices is None and biggest <= MAX_GROUP_ROWS:
-        whole = Window.partitionBy(*by).orderBy(*sort_columns(order)).rowsBetween(
+        whole = Window.partitionBy(*by).orderBy(*sort_columns(df, order)).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[F.sum(v).over(whole).alias(n) for n, v in values.items()])
     sliced = with_slices(df, order, slices or slices_for(df, biggest))
-    inner = Window.partitionBy(*by, "_slice").orderBy(*sort_columns(order)).rowsBetween(
+    inner = Window.partitionBy(*by, "_slice").orderBy(*sort_columns(df, order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     totals = sliced.groupBy(*by, "_slice").agg(
         *[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
@@ -135,15 +141,22 @@ def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[OrderItem], n:
     Spark plans this as a group limit before the shuffle, so a task ships at most ``n`` rows
     per group.
     """
-    w = Window.partitionBy(*by).orderBy(*sort_columns(order))
+    w = Window.partitionBy(*by).orderBy(*sort_columns(df, order))
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
 
 def one_per_group(df: DataFrame, by: Sequence[str], order: Sequence[OrderItem]) -> DataFrame:
-    """The first row of every group along ``order``, by a partially aggregated minimum."""
+    """The first row of every group along ``order``, by a partially aggregated minimum.
+
+    Descending items that are not numbers have no value to take the minimum of; they go by a group limit.
+    """
     by = list(by)
     rest = [c for c in df.columns if c not in by]
-    best = F.min_by(F.struct(*rest), _sort_key(order))
+    if any(not asc and not isinstance(df.schema[c].dataType, T.NumericType) for c, asc in _items(order)):
+        return first_rows(df, by, order, 1, "_rank").drop("_rank")
+    keys = [k for i, (v, asc) in enumerate(_values(df, order)) for k in (
+        v.isNull().alias(f"u{i}"), (v if asc else -v).alias(f"k{i}"))]
+    best = F.min_by(F.struct(*rest), F.struct(*keys))
     return (df.groupBy(*by).agg(best.alias("_r"))
             .select(*[F.col(c) if c in by else F.col(f"_r.{c}").alias(c) for c in df.columns]))
 
@@ -181,9 +194,14 @@ def consecutive(df: DataFrame, by: Sequence[str], order: Sequence[OrderItem],
                 value: str) -> DataFrame:
     """Consecutive pairs (by..., pos, a, b) of ``value`` along a unique order in each group.
 
-    Neighbours meet by position, so a long group is never walked by one task.
+    While groups are small the next value is read in the window that numbers the rows. A group beyond
+    that is numbered in slices, and neighbours meet by position.
     """
     by = list(by)
+    if largest_group(df, by) <= MAX_GROUP_ROWS:
+        w = Window.partitionBy(*by).orderBy(*sort_columns(df, order))
+        both = df.select(*by, F.row_number().over(w).cast("bigint").alias("pos"), F.col(value).alias("a"), F.lead(value).over(w).alias("b"))
+        return both.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     ranked = rank_rows(df, by, order, "pos").select(*by, "pos", F.col(value).alias("_v"))
     role = F.explode(F.array(F.struct(F.col("pos").alias("p"), F.lit(0).alias("r")),
                              F.struct((F.col("pos") - 1).alias("p"), F.lit(1).alias("r"))))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slopeline.functions import season as s
-from slopeline.operators import asof, intervals, ordered, splits, windows
+from slopeline.operators import alerts, asof, intervals, ordered, splits, windows
 
 D = dt.date
 
@@ -205,3 +205,46 @@ def test_consecutive_forced_slices(spark, monkeypatch):
     df = spark.createDataFrame([(1, i, 100 + i) for i in range(700)], "w long, i long, n long")
     out = ordered.consecutive(df, ["w"], ["i"], "n")
     assert sorted((r.pos, r.a, r.b) for r in out.collect()) == [(i + 1, 100 + i, 101 + i) for i in range(699)]
+
+
+@pytest.mark.parametrize("asc", [True, False])
+@pytest.mark.parametrize("kind", ["double", "bigint", "string", "timestamp"])
+def test_unknown_keys_rank_last_in_both_plans(spark, kind, asc):
+    rng = np.random.default_rng(6)
+    base = dt.datetime(2024, 1, 1)
+    make = {"double": float, "bigint": lambda x: (1 << 53) + x, "string": lambda x: f"{x:02d}", "timestamp": lambda x: base + dt.timedelta(hours=x)}[kind]
+    rows = [(i, None if i % 7 == 0 else float("nan") if kind == "double" and i % 7 == 1 else make(int(rng.integers(0, 40)))) for i in range(900)]
+    df = spark.createDataFrame(rows, f"id int, s {kind}")
+    unknown = lambda v: v is None or v != v
+    known = sorted((r for r in rows if not unknown(r[1])), key=lambda r: r[0])
+    known = sorted(known, key=lambda r: r[1], reverse=not asc)
+    want = [i for i, _ in [*known, *(r for r in rows if unknown(r[1]))]]
+    for slices in (None, 9):
+        out = ordered.rank_rows(df, [], [("s", asc), "id"], "rk", slices=slices).collect()
+        assert [r.id for r in sorted(out, key=lambda r: r.rk)] == want
+    best = ordered.one_per_group(df.withColumn("g", F.lit(1)), ["g"], [("s", asc), "id"]).first()
+    assert best.id == want[0]
+
+
+def test_both_plans_agree_on_null_keys_and_times(spark, monkeypatch):
+    base = dt.datetime(2024, 1, 1)
+    hours = lambda n: base + dt.timedelta(hours=n)
+    samples = [(None if i % 3 == 0 else i % 5, None if i % 11 == 0 else hours(3 * i), i) for i in range(120)]
+    observed = [(None if i % 4 == 0 else i % 5, None if i % 9 == 0 else hours(2 * i), i) for i in range(200)]
+    s_ = spark.createDataFrame(samples, "k int, p timestamp_ntz, i int")
+    o = spark.createDataFrame(observed, "k int, t timestamp_ntz, v int")
+    alerts_in = spark.createDataFrame([("w", i, None if i % 10 == 0 else float("nan") if i % 10 == 1 else i / 300) for i in range(300)], "w string, id int, s double")
+
+    def answers():
+        joined = [asof.asof_join(s_, o, key="k", cols=["v"], direction=d).select("i", "v") for d in ("backward", "forward")]
+        labels = intervals.label_samples(s_, o, segment="k", prediction="p", event_segment="k", event_time="t")
+        return [sorted(map(str, df.collect())) for df in (*joined, labels, alerts.window_top_k(alerts_in, ["w"]))]
+
+    whole = answers()
+    monkeypatch.setattr(ordered, "MAX_GROUP_ROWS", 0)
+    assert answers() == whole
+    assert len(whole[2]) == len({(k, p) for k, p, _ in samples})
+    matched = {r.i: r.v for r in asof.asof_join(s_, o, key="k", cols=["v"]).collect()}
+    assert all(matched[i] is None for k, p, i in samples if k is None or p is None)
+    picked = {r.id for r in alerts.window_top_k(alerts_in, ["w"]).where("alert").collect()}
+    assert len(picked) == 90 and not any(i % 10 < 2 for i in picked)
