@@ -136,11 +136,11 @@ def trace_filter(t):
 
 
 @query("d26_trace_summary", sql=f"""
-  SELECT risk_level, model_version, count(*) AS n, CAST(min(ts) AS DATE) AS "first", CAST(max(ts) AS DATE) AS "last",
+  SELECT risk_level, model_version, CAST(GROUPING(risk_level, model_version) AS INT) AS "grouping", count(*) AS n, CAST(min(ts) AS DATE) AS "first", CAST(max(ts) AS DATE) AS "last",
     round(avg(p), 6) AS avg_probability FROM ({TRACES}) GROUP BY GROUPING SETS ((), (risk_level), (model_version))""")
 def trace_summary(t):
     out = sinks.trace_summary(traces(t))
-    return out.select("risk_level", "model_version", "n", F.col("first").cast("date").alias("first"),
+    return out.select("risk_level", "model_version", "grouping", "n", F.col("first").cast("date").alias("first"),
                       F.col("last").cast("date").alias("last"), F.round("avg_probability", 6).alias("avg_probability"))
 
 

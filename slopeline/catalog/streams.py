@@ -32,7 +32,7 @@ P_SQL = "SELECT *, round(least(value / 200, 1), 6) AS p FROM events"
   FROM ({P_SQL})""")
 def trace_stream(t):
     path, cp = _fresh_path(t, "k1"), _fresh_path(t, "k1-cp")
-    out = monitor.trace_stream(_events(t), _scored, "ts").select("event_id", "p", "risk_level", "operating_decision")
+    out = monitor.trace_stream(_events(t), _scored, "ts", "event_id").select("event_id", "p", "risk_level", "operating_decision")
     monitor.run_to_table(out, path, cp)
     return t.spark.read.parquet(path)
 

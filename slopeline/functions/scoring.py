@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from slopeline.functions.geo import let
 from slopeline.functions.text import has_all_groups, has_any, normalise
 from slopeline.schema import finite
 
@@ -172,14 +174,28 @@ def calibrate(p: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
     if len(xs) == 1:
         return F.when(p.isNotNull(), f(ys[0])).cast("double")
     v = F.least(F.greatest(p.cast("float"), f(xs[0])), f(xs[-1]))
-    out = F.when(v <= f(xs[0]), f(ys[0]))
-    for (x0, x1), (y0, y1) in zip(zip(xs, xs[1:]), zip(ys, ys[1:])):
-        if x1 <= x0:
-            continue
-        # every step is rounded to single precision
-        slope = ((f(y1) - f(y0)) / (f(x1) - f(x0))).cast("float")
-        out = out.when(v <= f(x1), slope * (v - f(x0)) + f(y0))
-    return F.when(p.isNotNull(), out).cast("double")
+    x, y = np.asarray(xs, np.float32), np.asarray(ys, np.float32)
+    rises = np.flatnonzero(x[1:] > x[:-1])
+    if not len(rises):
+        return F.when(p.isNotNull(), f(ys[0])).cast("double")
+    # every step is rounded to single precision; the tables are literals, and a row finds its step by halving
+    slope = (y[rises + 1] - y[rises]) / (x[rises + 1] - x[rises])
+    table = {n: F.lit(a.tolist()).cast("array<float>") for n, a in (
+        ("to", x[rises + 1]), ("x", x[rises]), ("y", y[rises]), ("slope", slope))}
+    halvings = F.sequence(F.lit(1), F.lit(max(1, len(rises).bit_length())))
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        below = F.get(table["to"], middle) < span["v"]
+        return F.struct(F.when(below, F.least(middle + 1, span["hi"])).otherwise(span["lo"]).alias("lo"),
+                        F.when(below, span["hi"]).otherwise(middle).alias("hi"), span["v"].alias("v"))
+
+    def read(v: Column) -> Column:
+        start = F.struct(F.lit(0).alias("lo"), F.lit(len(rises) - 1).alias("hi"), v.alias("v"))
+        return F.aggregate(halvings, start, halve, lambda span: F.when(v <= f(xs[0]), f(ys[0])).otherwise(
+            F.get(table["slope"], span["lo"]) * (v - F.get(table["x"], span["lo"])) + F.get(table["y"], span["lo"])))
+
+    return F.when(p.isNotNull(), let(v, read)).cast("double")
 
 
 def age_hours(prediction: Column, observed: Column) -> Column:

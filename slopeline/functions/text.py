@@ -11,6 +11,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from slopeline.functions.geo import let
+
 # Road and disruption words of the relevance filter.
 ROAD_KEYWORDS = [
     "road", "highway", "nh-", "nh ", "nh27", "nh37", "nh29", "nh13", "nh6",
@@ -221,9 +223,13 @@ def snippets(x: Column, patterns: Sequence[str], before: int = 180, after: int =
                             F.trim(F.substr(t, lo + 1, s["stop"] + after - lo)).alias("snippet"))
         found.append(F.transform(match_spans(t, f"(?i){p}"), cut))
     every = F.filter(F.concat(*found), lambda s: F.length(s["snippet"]) > 0)
-    texts = F.transform(every, lambda s: s["snippet"])
-    chosen = F.slice(F.array_distinct(texts), 1, limit)
-    return F.transform(chosen, lambda s: F.element_at(every, F.array_position(texts, s).cast("int")))
+
+    def chosen(every: Column) -> Column:
+        # bound once: the matches are not searched for again for each snippet
+        return let(F.transform(every, lambda s: s["snippet"]), lambda texts: F.transform(
+            F.slice(F.array_distinct(texts), 1, limit), lambda s: F.element_at(every, F.array_position(texts, s).cast("int"))))
+
+    return let(every, chosen)
 
 
 def dated_blocks(x: Column, header: str = DATED_HEADER) -> Column:

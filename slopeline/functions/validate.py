@@ -51,6 +51,7 @@ def unknown_fields(columns: Sequence[str]) -> list[str]:
 def scoring_rules(columns: Sequence[str], metadata: bool = True) -> list[Rule]:
     """Rules for the columns of a scoring table; ``metadata=False`` is the narrower request form."""
     rules: list[Rule] = []
+    number = lambda c: c.try_cast("double")  # noqa: E731  fields may arrive as text
     extra = unknown_fields(columns)
     if extra:
         rules.append((F.lit(True), f"unknown input fields: {extra}"))
@@ -59,7 +60,7 @@ def scoring_rules(columns: Sequence[str], metadata: bool = True) -> list[Rule]:
         if metadata and name in columns:
             c = F.col(name)
             rules.append((~finite(c), f"{name} must be a finite scalar"))
-            rules.append((finite(c) & (F.abs(c) > limit), f"{name} must be between -{limit} and {limit}"))
+            rules.append((finite(c) & (F.abs(number(c)) > limit), f"{name} must be between -{limit} and {limit}"))
     for name in ("highway", "road_type", "category"):
         if metadata and name in columns:
             v = F.lower(F.trim(F.col(name)))
@@ -68,24 +69,24 @@ def scoring_rules(columns: Sequence[str], metadata: bool = True) -> list[Rule]:
     for name in RAINFALL:
         c = F.col(name)
         rules.append((~finite(c), f"{name} is required and must be finite"))
-        rules.append((finite(c) & (c < 0), f"{name} cannot be negative"))
-        rules.append((finite(c) & (c > MAX_RAINFALL_MM),
+        rules.append((finite(c) & (number(c) < 0), f"{name} cannot be negative"))
+        rules.append((finite(c) & (number(c) > MAX_RAINFALL_MM),
                       f"{name} exceeds the supported physical maximum of {MAX_RAINFALL_MM} mm"))
     for name in ("elevation_m", "slope_degrees"):
         c = F.col(name)
         rules.append((c.isNotNull() & ~finite(c), f"{name} must be finite or null"))
     slope, elev = F.col("slope_degrees"), F.col("elevation_m")
-    rules.append((finite(slope) & ~slope.between(*SLOPE_RANGE), "slope_degrees must be between 0 and 90"))
-    rules.append((finite(elev) & ~elev.between(*ELEVATION_RANGE),
+    rules.append((finite(slope) & ~number(slope).between(*SLOPE_RANGE), "slope_degrees must be between 0 and 90"))
+    rules.append((finite(elev) & ~number(elev).between(*ELEVATION_RANGE),
                   "elevation_m is outside the supported physical range"))
     for name in ("highway_prior", "bridge_flag", "rainfall_days_available"):
         if name in columns:
             c = F.col(name)
             rules.append((c.isNotNull() & ~finite(c), f"{name} must be finite or null"))
-            rules.append((finite(c) & (c < 0), f"{name} cannot be negative"))
+            rules.append((finite(c) & (number(c) < 0), f"{name} cannot be negative"))
     if "rainfall_days_available" in columns:
         c = F.col("rainfall_days_available")
-        rules.append((finite(c) & (c > MAX_DAYS), "rainfall_days_available must be between 0 and 30"))
+        rules.append((finite(c) & (number(c) > MAX_DAYS), "rainfall_days_available must be between 0 and 30"))
     return rules
 
 

@@ -6,6 +6,8 @@ every round and stop when nothing changes.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,19 +106,19 @@ def effective_costs(edges: DataFrame) -> DataFrame:
                                        F.min("base_distance_km").alias("base_km")))
 
 
-def weak_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
+def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, component (its smallest node id).
 
     Every round hands each node to the best node of its closed neighbourhood under a fresh hash order
     and keeps the edges between different representatives. The graph shrinks by a constant factor per
     round in expectation whatever its shape, and only minima are aggregated, so hubs are no problem.
+    Rounds end when no edge is left; every round removes at least one node.
     """
     links = durable(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct())
     live = links.where("u <> v")
     steps: list[DataFrame] = []
-    for i in range(max_rounds):
-        if live.isEmpty():
-            break
+    i = 0
+    while not live.isEmpty():
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(i)).alias("h"), F.col(c).alias("n"))  # noqa: E731, B023
         best = both.groupBy("u").agg(F.min(order("v")).alias("m"))
@@ -125,8 +127,7 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds
         moved = live.join(step.withColumnRenamed("to", "a"), "u").join(
             step.select(F.col("u").alias("v"), F.col("to").alias("b")), "v")
         live = durable(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    else:
-        raise RuntimeError("components did not converge")
+        i += 1
     everyone = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
     if nodes is not None:
         everyone = everyone.unionByName(nodes.select(F.col("id").alias("node")))
@@ -142,12 +143,12 @@ def component_sizes(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
-def reachable(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """node, hops: breadth-first levels from the source nodes (column ``node``)."""
+def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """node, hops: breadth-first levels from the source nodes (column ``node``), until a level finds nothing new."""
     links = durable(edges.select("src", "dst").distinct())
     seen = durable(sources.select("node").distinct().withColumn("hops", F.lit(0)))
     frontier, parts = seen, [seen]
-    for i in range(1, max_rounds + 1):
+    for i in count(1):
         step = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         fresh = durable(step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(i)))
         if fresh.isEmpty():
@@ -159,7 +160,7 @@ def reachable(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) ->
     return seen
 
 
-def shortest_paths(costs: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def shortest_paths(costs: DataFrame, sources: DataFrame) -> DataFrame:
     """node, cost, parent: least cost from any source, by frontier relaxation.
 
     Only nodes whose cost improved in the last round relax their edges in the next one.
@@ -169,7 +170,7 @@ def shortest_paths(costs: DataFrame, sources: DataFrame, max_rounds: int = 10_00
     best = durable(sources.select("node").distinct().select(
         "node", F.lit(0.0).alias("cost"), F.lit(None).cast(node_type).alias("parent")))
     frontier = best
-    for _ in range(max_rounds):
+    while True:  # costs are positive, so every node settles
         offer = frontier.join(links, F.col("node") == F.col("src")).select(
             F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("parent"))
         offer = offer.groupBy("node").agg(F.min(F.struct("cost", "parent")).alias("o"))
@@ -179,17 +180,16 @@ def shortest_paths(costs: DataFrame, sources: DataFrame, max_rounds: int = 10_00
         if frontier.isEmpty():
             return best
         best = durable(best.join(frontier.select("node"), "node", "left_anti").unionByName(frontier))
-    raise RuntimeError("shortest paths did not converge")
 
 
-def trace_paths(tree: DataFrame, targets: DataFrame, max_hops: int = 10_000) -> DataFrame:
-    """target, steps_to_target, node: all targets walk back to their source together."""
+def trace_paths(tree: DataFrame, targets: DataFrame) -> DataFrame:
+    """target, steps_to_target, node: all targets walk back together until the last has met its source."""
     parents = tree.select("node", "parent")
     at = durable(targets.select(F.col("node").alias("target")).join(
         parents.withColumnRenamed("node", "target"), "target").select(
         "target", F.lit(0).alias("steps_to_target"), F.col("target").alias("node"), "parent"))
     parts = at
-    for i in range(1, max_hops + 1):
+    for i in count(1):
         up = at.where("parent IS NOT NULL").select("target", F.col("parent").alias("node"))
         at = durable(up.join(parents, "node").select("target", F.lit(i).alias("steps_to_target"), "node", "parent"))
         if at.isEmpty():
@@ -218,7 +218,7 @@ def route_statistics(paths: DataFrame, costs: DataFrame, nodes: DataFrame) -> Da
                           ).drop("_x1", "_y1", "_x2", "_y2")
 
 
-def largest_strong_component(edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def largest_strong_component(edges: DataFrame) -> DataFrame:
     """Nodes of the largest strongly connected component.
 
     Nodes without an incoming or outgoing edge are trimmed. A pivot with many edges is chosen; what it
@@ -227,7 +227,7 @@ def largest_strong_component(edges: DataFrame, max_rounds: int = 1_000) -> DataF
     """
     live = durable(edges.select("src", "dst").where("src <> dst").distinct())
     best, best_size = None, 1
-    for _ in range(max_rounds):
+    while True:  # every round removes a component
         live = _trim(live)
         d = degrees(live)
         left, pivot = d.agg(F.count(F.lit(1)), F.max(F.struct((F.col("in_degree") * F.col("out_degree")).alias("k"),

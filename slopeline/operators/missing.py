@@ -12,8 +12,8 @@ STRATEGIES = ("drop_any", "drop_all", "native", "flag", "native_flag", "impute_i
 
 def long_form(df: DataFrame, keep: Sequence[str], columns: Sequence[str], value: str = "value",
               name: str = "feature") -> DataFrame:
-    """One row per (row, column) with the value as double."""
-    items = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value))
+    """One row per (row, column) with the value as double; text that is no number is unknown."""
+    items = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).try_cast("double").alias(value))
                       for c in columns])
     return df.select(*keep, F.explode(items).alias("_i")).select(*keep, f"_i.{name}", f"_i.{value}")
 

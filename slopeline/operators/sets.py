@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopeline.operators.lookup import anti_join_nullsafe
+from slopeline.operators.ordered import one_per_group
 
 
 def concatenate(*tables: DataFrame) -> DataFrame:
@@ -19,8 +20,11 @@ def concatenate(*tables: DataFrame) -> DataFrame:
 
 
 def append_if_absent(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Existing rows plus incoming rows whose key is new; repeats inside incoming collapse."""
-    fresh = anti_join_nullsafe(incoming.dropDuplicates(list(key)), existing, key)
+    """Existing rows plus incoming rows whose key is new; of repeats inside incoming the smallest row stays."""
+    key = list(key)
+    rest = [c for c in incoming.columns if c not in key]
+    once = one_per_group(incoming, key, rest) if rest else incoming.distinct()
+    fresh = anti_join_nullsafe(once, existing, key)
     return concatenate(existing, fresh)
 
 

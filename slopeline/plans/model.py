@@ -158,7 +158,7 @@ def linear_factors(model: PipelineModel, df: DataFrame, features: Sequence[str],
     return rows.select(*df.columns, factors.alias("top_contributing_factors"))
 
 
-Fit = Callable[[DataFrame, DataFrame], PipelineModel]
+Fit = Callable[[DataFrame, DataFrame | None], PipelineModel]
 
 
 def grouped_cv(df: DataFrame, features: Sequence[str], fit: Fit, *, event: str = "event_id", time: str = "prediction_time",
@@ -187,14 +187,18 @@ def grouped_cv(df: DataFrame, features: Sequence[str], fit: Fit, *, event: str =
 
 
 def leave_one_out_cv(df: DataFrame, features: Sequence[str], fit: Fit, fold: str, label: str = "label") -> DataFrame | None:
-    """Out-of-fold scores with one corridor held out at a time."""
+    """Out-of-fold scores with one corridor held out at a time; one fit each.
+
+    The held-out rows take no part in the fit. Where the others hold a single class nothing can be
+    learned: every row of the fold scores 0.5.
+    """
     placed = durable(df.select(*features, label, fold))
     out = None
     for (value,) in placed.select(fold).where(F.col(fold).isNotNull()).distinct().orderBy(fold).collect():
         train, test = placed.where(F.col(fold) != value), placed.where(F.col(fold) == value)
-        if train.select(label).distinct().count() < 2:
-            continue
-        s = durable(score(fit(train, test), test, features).select(
+        single = train.select(label).distinct().count() < 2
+        scores = test.withColumn("raw_probability", F.lit(0.5)) if single else score(fit(train, None), test, features)
+        s = durable(scores.select(
             F.lit(value).alias("fold"), F.col(label).alias("label"), "raw_probability"))
         out = s if out is None else out.unionByName(s)
     return out

@@ -36,6 +36,6 @@ def nan_to_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFram
 
 
 def finite(value: Column) -> Column:
-    """True for a number that is neither NULL, NaN nor infinite."""
-    v = value.cast("double")
-    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+    """True for a number that is neither NULL, NaN nor infinite; text that is no number is not."""
+    v = value.try_cast("double")
+    return F.coalesce(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False))

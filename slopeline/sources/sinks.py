@@ -105,8 +105,8 @@ def filter_traces(df: DataFrame, *, start: str | None = None, end: str | None =
 
 
 def trace_summary(df: DataFrame, time: str = "inference_timestamp") -> DataFrame:
-    """Totals, range and mean probability: overall, per risk level and per model, in one pass."""
+    """Totals, range and mean probability: overall (grouping 3), per risk level (1) and per model (2), in one pass."""
     sets = [[], [F.col("risk_level")], [F.col("model_version")]]
     return df.groupingSets(sets, "risk_level", "model_version").agg(
-        F.count(F.lit(1)).alias("n"), F.min(time).alias("first"), F.max(time).alias("last"),
+        F.grouping_id().cast("int").alias("grouping"), F.count(F.lit(1)).alias("n"), F.min(time).alias("first"), F.max(time).alias("last"),
         F.avg("calibrated_probability").alias("avg_probability"))

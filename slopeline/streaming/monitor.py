@@ -45,9 +45,9 @@ def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
 
-def trace_stream(predictions: DataFrame, score: Callable[[DataFrame], DataFrame], time: str) -> DataFrame:
+def trace_stream(predictions: DataFrame, score: Callable[[DataFrame], DataFrame], time: str, key: str) -> DataFrame:
     """Score a stream row by row and keep one trace per prediction id inside the watermark."""
-    return score(predictions.withWatermark(time, WATERMARK))
+    return score(predictions.withWatermark(time, WATERMARK).dropDuplicatesWithinWatermark([key]))
 
 
 def daily_alert_load(predictions: DataFrame, time: str, probability: str, level: str) -> DataFrame:
