@@ -108,7 +108,8 @@ def near_copies(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: st
     linked = durable(low.join(group, "fingerprint"))
     lowest = linked.groupBy("_group").agg(F.min("_low").alias("_best"))
     named = linked.join(lowest, "_group").select("fingerprint", "_best")
-    values = low.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("_best", "_low").alias("component_id"))
+    # written, so that both sides of the join below are plain exchanges and a hot fingerprint's rows are split
+    values = durable(low.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("_best", "_low").alias("component_id")))
     return rows.join(values, "fingerprint").select(id_col, *keep, "fingerprint", "component_id")
 
 
