@@ -242,7 +242,8 @@ def near_vectors(df: DataFrame, cosine: float = 0.9, blocks: int = 8, id_col: st
         "component", F.coalesce("component", "uid"))
     best = named.groupBy("component").agg(F.min("low").alias("best"))
     named = named.join(best, "component").join(number, F.col("uid") == F.col("u"), "left").select("uid", "best", F.coalesce("n", F.lit(0)).alias("n"))
-    known = distinct.join(named, "uid").select("vec", "best", (F.col("n") + F.col("weight") - 1).alias("n"))
+    # written, so that both sides of the join below are plain exchanges and a hot vector's rows are split
+    known = durable(distinct.join(named, "uid").select("vec", "best", (F.col("n") + F.col("weight") - 1).alias("n")))
     out = rows.where("take").select("id", "vec").join(known, "vec").select("id", "n", "best").unionByName(
         rows.where(~F.col("take")).select("id", F.lit(0).cast("bigint").alias("n"), F.col("id").alias("best")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_links"), F.col("best").alias("component_id"),
