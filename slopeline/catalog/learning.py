@@ -101,7 +101,8 @@ def corridor_cv(t):
 def risk_feed(t):
     train, _, test = parts(t)
     fitted = model.fit_logistic(train, INPUTS)
-    newest = derived.risk_input(t).where(F.year("prediction_time") == 2001)
+    rows = derived.risk_input(t).withColumn("_year", F.year("prediction_time"))
+    newest = rows.join(rows.agg(F.max("_year").alias("_year")), "_year").drop("_year")
     out = scoring.risk_feed(newest, fitted, INPUTS, ignore=BOOKKEEPING, window=["ref"], key="o_orderkey",
                             profile={"rainfall_30day": (12.0, 600.0)})
     return out.select("ref", "o_orderkey", "disruption_probability", "risk_level",

@@ -191,6 +191,17 @@ def scoring_inputs(t):
     return flat(df.select("o_orderkey", va.scoring_errors(df, ignore=BOOKKEEPING).alias("errors")), "errors")
 
 
+@query("b15_scoring_text_fields", views="risk_input", sql=f"""
+  WITH r AS (SELECT * REPLACE (CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 THEN NULL
+    ELSE rainfall_7day END AS rainfall_7day) FROM risk_input)
+  SELECT o_orderkey, concat_ws('; ', {RAIN_SQL}, {TERRAIN_SQL}) AS errors FROM r""")
+def scoring_text_inputs(t):
+    k, v = F.col("o_orderkey"), F.col("rainfall_7day").cast("string")
+    typed = F.when(k % 11 == 0, "abc").when(k % 13 == 0, "").when(k % 17 == 0, "NaN").otherwise(v)
+    df = derived.risk_input(t).withColumn("rainfall_7day", typed)
+    return flat(df.select("o_orderkey", va.scoring_errors(df, BOOKKEEPING, metadata=False).alias("errors")), "errors")
+
+
 @query("b16_request_validator", views="risk_input", sql=f"""
   SELECT o_orderkey, concat_ws('; ', {RAIN_SQL}, {TERRAIN_SQL}) AS errors FROM risk_input""")
 def request_inputs(t):
@@ -247,7 +258,7 @@ def confirmed_events(t):
 
 @query("b20_registry_validator", sql="""
   WITH s AS (SELECT conv_id, turn, role, CASE WHEN turn = 3 THEN NULL ELSE role END AS source_id,
-      CASE WHEN length(text) % 5 = 0 THEN NULL ELSE substr(text, 1, 5) END AS url FROM conversations)
+      CASE WHEN length(text) % 5 = 0 THEN NULL ELSE text END AS url FROM conversations)
   SELECT s.conv_id, turn, concat_ws('; ', CASE WHEN s.source_id IS NULL THEN 'source_id is missing' END,
     CASE WHEN d.n > 1 THEN 'source_id is not unique' END,
     CASE WHEN url IS NULL THEN 'url is missing' END) AS errors
@@ -256,7 +267,7 @@ def confirmed_events(t):
 def registry_rules(t):
     from slopeline.operators.lookup import registry_errors
     item = F.struct("turn", F.when(F.col("turn") != 3, F.col("role")).alias("source_id"),
-                    F.when(F.length("text") % 5 != 0, F.substring("text", 1, 5)).alias("url"))
+                    F.when(F.length("text") % 5 != 0, F.col("text")).alias("url"))
     # one single-entry document per row: ids must be unique over all documents of a registry
     reg = t.conversations.select("conv_id", F.array(item).alias("sources"))
     out = registry_errors(reg, "conv_id", "sources", ["url"])
@@ -322,9 +333,9 @@ def null_report(t):
 @query("a13_table_profile", sql=" UNION ALL ".join(
     f"SELECT '{c}' AS column_name, '{ty}' AS data_type, count(*) AS row_count, count(*) - count({c}) AS null_count "
     "FROM orders" for c, ty in [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
-                                ("o_totalprice", "double"), ("o_orderpriority", "string")]))
+                                ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]))
 def table_profile(t):
-    return quality.table_profile(t.orders.drop("o_orderdate"))
+    return quality.table_profile(t.orders)
 
 
 @query("d10_balance_counts", views="risk_input", sql="""

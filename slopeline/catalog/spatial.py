@@ -22,14 +22,14 @@ def rain_sampling(t):
     return raster.sample_pixels(p, derived.rain_pixel(t), row, col, {"d": "layer"}, "rain").drop("lon", "lat")
 
 
-@query("c15_terrain_sampling_floor", views="segment dem", sql="""
-  SELECT s.osm_id, d.v AS elevation_m FROM segment s LEFT JOIN (SELECT * FROM dem WHERE layer = 0) d
-    ON d.col = CAST(floor((s.lon - 88) / 1e-1) AS BIGINT) AND d.row = CAST(floor((s.lat - 30) / -2e-1) AS BIGINT)""")
+@query("c15_terrain_sampling_floor", views="points dem", sql="""
+  SELECT p.point_id, d.v AS elevation_m FROM points p LEFT JOIN dem d ON d.layer = p.point_id // 4000
+    AND d.col = CAST(floor((p.lon - 88) / 1e-1) AS BIGINT) AND d.row = CAST(floor((p.lat - 30) / -2e-1) AS BIGINT)""")
 def terrain_sampling(t):
     row, col = raster.pixel_of(F.col("lon"), F.col("lat"), 88.0, 30.0, 0.1, -0.2, nearest=False)
-    s = derived.segment(t).select("osm_id", "lon", "lat")
-    return raster.sample_pixels(s, derived.dem(t).where("layer = 0"), row, col, name="elevation_m", clean=False).drop(
-        "lon", "lat")
+    p = derived.points(t).select("point_id", F.floor(F.col("point_id") / 4000).alias("layer"), "lon", "lat")
+    return raster.sample_pixels(p, derived.dem(t), row, col, {"layer": "layer"}, "elevation_m", clean=False).drop(
+        "layer", "lon", "lat")
 
 
 GRAD_SQL = """
