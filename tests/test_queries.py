@@ -1,11 +1,17 @@
 """Every registered query against its SQL twin, and assertions on the plans."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import oracle
 import pytest
 
 import __spark_entry__ as entrypoint
 from slopeline.catalog import QUERIES, run
 
+ROOT = Path(__file__).resolve().parents[1]
+
 
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql is not None])
 def test_twin(spark, small, name):
@@ -39,3 +45,16 @@ def test_filters_reach_the_scan(spark, small):
     text = plan(run("a1_a2_pruned_scan", spark, small))
     assert "PushedFilters: [" in text and "EqualTo(o_orderpriority,1-URGENT)" in text
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double,o_orderpriority:string>" in text
+
+
+def test_entry_stands_without_the_training_data_folder():
+    code = ("import sys; sys.modules['corpus_pipeline'] = None; sys.modules['slopeline.llm'] = None; import __spark_entry__ as e; "
+            "names = set(e.queries()); assert len(names) > 190 and not any(n.startswith('op') or n == 'pipeline' for n in names); "
+            "assert set(e.oracle_sql()) <= names")
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_nothing_else_imports_the_training_data_folder():
+    for path in [*(ROOT / "slopeline").rglob("*.py"), ROOT / "bench.py", *(ROOT / "tests").glob("*.py")]:
+        if "llm" not in path.parts and path.name != "test_queries.py":
+            assert "slopeline.llm" not in path.read_text() and "corpus_pipeline" not in path.read_text()
