@@ -139,19 +139,27 @@ def reachability(t):
     return graph.reachable(c, _source(c))
 
 
-@query("i11_route_statistics", views="cost_edge segment", sql=f"""{DIST}
-  SELECT sp.node AS target, round(sp.cost, 6) AS weighted_cost,
-    round(2 * 6371.0088e0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat))
-      * pow(sin(radians(b.lon - a.lon) / 2), 2))), 6) AS straight_km, true AS valid
-  FROM sp JOIN segment b ON b.osm_id = sp.node JOIN segment a ON a.osm_id = (SELECT min(src) FROM cost_edge)
-  WHERE sp.cost > 0""")
+@query("i11_route_statistics", views="cost_edge edge segment", sql=f"""{DIST},
+  base AS (SELECT src, dst, min(km) AS km FROM edge WHERE NOT blocked GROUP BY 1, 2),
+  parent AS (SELECT e.dst AS node, arg_min(e.src, sp.cost + e.cost) AS up FROM sp JOIN cost_edge e ON e.src = sp.node GROUP BY 1),
+  walk(target, node, hops, km) AS (
+    SELECT node, node, 0, 0e0 FROM sp WHERE cost > 0
+    UNION ALL SELECT w.target, p.up, w.hops + 1, w.km + b.km FROM walk w JOIN parent p ON p.node = w.node
+      JOIN base b ON b.src = p.up AND b.dst = w.node WHERE w.node <> (SELECT min(src) FROM cost_edge)),
+  route AS (SELECT target, max(hops) AS hops, max(km) AS km FROM walk GROUP BY 1),
+  s AS (SELECT sp.node AS target, sp.cost, 2 * 6371.0088e0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2)
+      + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) AS straight
+    FROM sp JOIN segment b ON b.osm_id = sp.node JOIN segment a ON a.osm_id = (SELECT min(src) FROM cost_edge) WHERE sp.cost > 0)
+  SELECT target, round(cost, 6) AS weighted_cost, round(straight, 6) AS straight_km, true AS valid, CAST(hops AS BIGINT) AS hops,
+    round(km, 6) AS base_distance_km, CASE WHEN straight > 0 THEN round(km / straight, 6) END AS detour_ratio
+  FROM s JOIN route USING (target)""")
 def route_stats(t):
     c = _costs(t)
     tree = graph.shortest_paths(c, _source(c))
     paths = graph.trace_paths(tree, tree.where("parent IS NOT NULL").select("node"))
     out = graph.route_statistics(paths, c, derived.nodes(t))
-    return out.select("target", F.round("weighted_cost", 6).alias("weighted_cost"), F.round("straight_km", 6).alias("straight_km"),
-                      "valid")
+    return out.select("target", "valid", "hops", *[F.round(n, 6).alias(n) for n in (
+        "weighted_cost", "straight_km", "base_distance_km", "detour_ratio")])
 
 
 @query("i4_largest_strong_component", views="cost_edge", sql="""

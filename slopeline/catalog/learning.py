@@ -175,9 +175,10 @@ def readiness(t):
 
 
 @query("j18_monitoring_decision", views="hazard risk_input", sql="""
-  SELECT CAST(DATE '2024-02-05' - max(CAST(ts AS DATE)) AS INT) AS days_since_newest, (SELECT count(*) FROM hazard
-    WHERE 'e' || (event_id % 700) NOT IN (SELECT event_id FROM risk_input WHERE event_id IS NOT NULL)) AS events_not_in_dataset,
-    CAST(0 AS BIGINT) AS bad_files, 'ACTION_REQUIRED' AS decision FROM events""")
+  WITH d AS (SELECT CAST(DATE '2024-02-05' - max(CAST(ts AS DATE)) AS INT) AS days_since_newest, (SELECT count(*) FROM hazard
+    WHERE 'e' || (event_id % 700) NOT IN (SELECT event_id FROM risk_input WHERE event_id IS NOT NULL)) AS events_not_in_dataset FROM events)
+  SELECT *, CAST(0 AS BIGINT) AS bad_files,
+    CASE WHEN days_since_newest > 3 OR events_not_in_dataset > 0 THEN 'ACTION_REQUIRED' ELSE 'OK' END AS decision FROM d""")
 def monitoring(t):
     ev = derived.hazard(t).select(F.concat(F.lit("e"), (F.col("event_id") % 700).cast("string")).alias("event_id"))
     stale = ev.join(derived.risk_input(t).select("event_id"), "event_id", "left_anti")

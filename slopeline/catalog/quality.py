@@ -279,7 +279,7 @@ def registry_rules(t):
       WHEN p_partkey % 23 = 0 THEN 1 ELSE 4 END AS n FROM part)
   SELECT count(*) AS rows, count(*) FILTER (n IS NULL) AS null_geometries,
     count(*) FILTER (n = 0) AS empty_geometries, count(*) FILTER (n = 1) AS invalid_geometries,
-    'FAIL' AS status FROM g""")
+    CASE WHEN bool_or(n IS NULL OR n < 2) THEN 'FAIL' ELSE 'PASS' END AS status FROM g""")
 def geometries(t):
     k = F.col("osm_id")
     c = (F.when(k % 17 == 0, None).when(k % 19 == 0, F.slice("coords", 1, 0))
@@ -388,7 +388,8 @@ def label_sources(t):
 @query("j19_negative_label_gate", views="risk_input", sql="""
   SELECT count(*) FILTER (label_source NOT IN ('source_confirmed_unaffected', 'real_observed_unaffected'))
       AS inadmissible_negatives,
-    count(*) FILTER (label_source = 'assumed_unaffected_real_pool') AS assumed_negatives, 'FAIL' AS status
+    count(*) FILTER (label_source = 'assumed_unaffected_real_pool') AS assumed_negatives,
+    CASE WHEN bool_or(label_source NOT IN ('source_confirmed_unaffected', 'real_observed_unaffected')) THEN 'FAIL' ELSE 'PASS' END AS status
   FROM risk_input WHERE label = 0""")
 def negative_gate(t):
     return quality.negative_label_gate(derived.risk_input(t))

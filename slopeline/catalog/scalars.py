@@ -79,10 +79,10 @@ def mid_centroid(t):
                      r(F.element_at("coords", -1)["lon"]).alias("end_lon"))
 
 
-@query("h37_coordinate_snap", sql="""
-  SELECT event_id, round_even(floor(value * 32) / 32, 4) AS k FROM events""")
+@query("h37_coordinate_snap", views="segment", sql="""
+  SELECT osm_id, round_even(lon * 1e7, 0) / 1e7 AS lon, round_even(lat * 1e7, 0) / 1e7 AS lat FROM segment""")
 def snap(t):
-    return t.events.select("event_id", geo.snap(F.floor(F.col("value") * 32) / 32, 4).alias("k"))
+    return derived.segment(t).select("osm_id", geo.snap(F.col("lon")).alias("lon"), geo.snap(F.col("lat")).alias("lat"))
 
 
 RATIOS = {"rain_intensity_1_vs_7": (1, 7), "rain_intensity_3_vs_14": (3, 14), "rain_concentration_3_in_7": (3, 7),
