@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from slopeline.functions import geo
 from slopeline.operators.quality import count_if
-from slopeline.session import durable
+from slopeline.session import discard, durable
 
 # Spellings of a one-way tag.
 FORWARD_TAGS, REVERSE_TAGS = ["yes", "1", "true"], ["-1"]
@@ -126,7 +126,9 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
         steps.append(step)
         moved = live.join(step.withColumnRenamed("to", "a"), "u").join(
             step.select(F.col("u").alias("v"), F.col("to").alias("b")), "v")
-        live = durable(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        smaller = durable(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        discard(live)
+        live = smaller
         i += 1
     everyone = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
     if nodes is not None:
@@ -136,7 +138,9 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
         label = label.join(step.withColumnRenamed("u", "rep"), "rep", "left").select(
             "node", F.coalesce("to", "rep").alias("rep"))
     low = label.groupBy("rep").agg(F.min("node").alias("component"))
-    return label.join(low, "rep").select("node", "component")
+    out = durable(label.join(low, "rep").select("node", "component"))
+    discard(links, live, *steps)
+    return out
 
 
 def component_sizes(components: DataFrame) -> DataFrame:
@@ -152,12 +156,17 @@ def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
         step = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         fresh = durable(step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(i)))
         if fresh.isEmpty():
+            discard(fresh)
             break
         parts.append(fresh)
         frontier, seen = fresh, seen.unionByName(fresh)
-        if len(parts) % 20 == 0:
+        if len(parts) == 20:
             seen = durable(seen)
-    return seen
+            discard(*parts[:-1])
+            parts = [seen, fresh]
+    out = durable(seen)
+    discard(links, *parts)
+    return out
 
 
 def shortest_paths(costs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -175,11 +184,16 @@ def shortest_paths(costs: DataFrame, sources: DataFrame) -> DataFrame:
             F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("parent"))
         offer = offer.groupBy("node").agg(F.min(F.struct("cost", "parent")).alias("o"))
         known = best.select("node", F.col("cost").alias("_c"))
-        frontier = durable(offer.join(known, "node", "left").where(F.col("_c").isNull() | (F.col("o.cost") < F.col("_c")))
-                           .select("node", "o.cost", "o.parent"))
-        if frontier.isEmpty():
+        better = durable(offer.join(known, "node", "left").where(F.col("_c").isNull() | (F.col("o.cost") < F.col("_c")))
+                         .select("node", "o.cost", "o.parent"))
+        if frontier is not best:
+            discard(frontier)
+        if better.isEmpty():
+            discard(better, links)
             return best
-        best = durable(best.join(frontier.select("node"), "node", "left_anti").unionByName(frontier))
+        old, frontier = best, better
+        best = durable(old.join(frontier.select("node"), "node", "left_anti").unionByName(frontier))
+        discard(old)
 
 
 def trace_paths(tree: DataFrame, targets: DataFrame) -> DataFrame:
