@@ -103,9 +103,10 @@ def risk_feed(t):
     fitted = model.fit_logistic(train, INPUTS)
     rows = derived.risk_input(t).withColumn("_year", F.year("prediction_time"))
     newest = rows.join(rows.agg(F.max("_year").alias("_year")), "_year").drop("_year")
-    out = scoring.risk_feed(newest, fitted, INPUTS, ignore=BOOKKEEPING, window=["ref"], key="o_orderkey",
-                            profile={"rainfall_30day": (12.0, 600.0)})
-    return out.select("ref", "o_orderkey", "disruption_probability", "risk_level",
+    seen = F.timestamp_add("HOUR", -(F.col("o_orderkey") % 200).cast("int"), F.col("prediction_time").cast("timestamp_ntz"))
+    out = scoring.risk_feed(newest.withColumn("observed_at", seen), fitted, INPUTS, ignore=BOOKKEEPING, window=["ref"], key="o_orderkey",
+                            profile={"rainfall_30day": (12.0, 600.0)}, observed="observed_at")
+    return out.select("feed_position", "freshness", "ref", "o_orderkey", "disruption_probability", "risk_level",
                       F.array_join("confidence_flags", ",").alias("flags"), "operating_decision")
 
 

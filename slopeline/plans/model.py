@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from slopeline.functions.scoring import calibrate, contribution_records, top_factors
 from slopeline.operators.quality import count_if
+from slopeline.schema import forbid_columns
 from slopeline.session import durable
 
 # Size and pace of the boosted ensemble, and the early-stopping floor.
@@ -25,6 +26,16 @@ BOOSTING = {"maxIter": 200, "maxDepth": 2, "stepSize": 0.03, "subsamplingRate":
 MIN_VALIDATION_POSITIVES = 5
 
 
+# Columns that hold the target or what the proxy target was made of.
+LEAKAGE = ["risk_label", "risk_score", "road_risk_prior"]
+
+
+def guarded(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """The features and the label; fails before any job when a feature would leak the target."""
+    forbid_columns(df.select(*features), [*LEAKAGE, label], "features")
+    return df.select(*features, label)
+
+
 def numeric_inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Features as doubles with a missing flag each; malformed, NaN and infinite values are missing."""
     def num(c):
@@ -66,7 +77,7 @@ def fit_boosted(train: DataFrame, validation: DataFrame | None, features: Sequen
     """Boosted trees. Validation rows steer early stopping only when they hold both classes and enough
     positives; otherwise the whole bounded ensemble is kept."""
     # the learner passes over its rows many times: they are written once
-    base = durable(numeric_inputs(train.select(*features, label), features))
+    base = durable(numeric_inputs(guarded(train, features, label), features))
     rows, _ = class_weight(base, label, balance)
     rows = rows.withColumn("is_validation", F.lit(False))
     gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", **{**BOOSTING, **params})
@@ -85,7 +96,7 @@ def fit_boosted(train: DataFrame, validation: DataFrame | None, features: Sequen
 
 def fit_logistic(train: DataFrame, features: Sequence[str], label: str = "label", max_iter: int = 100) -> PipelineModel:
     """Logistic baseline: median fill, missing flags, standardised, balanced."""
-    rows, _ = class_weight(durable(numeric_inputs(train.select(*features, label), features)), label)
+    rows, _ = class_weight(durable(numeric_inputs(guarded(train, features, label), features)), label)
     stages = _stages(rows, features, "raw_features") + [
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
         LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter, standardization=False)]
@@ -119,6 +130,7 @@ def _quote(v: str) -> str:
 def fit_multiclass(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str = "risk_class",
                    trees: int = 60, depth: int = 8) -> PipelineModel:
     """Forest on the four proxy classes (Spark's boosted trees are binary)."""
+    guarded(df, [*numeric, *categorical], label)
     prep = preprocess(df, numeric, categorical)
     forest = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=2026)
     return Pipeline(stages=[*prep.getStages(), forest]).fit(df.withColumn(label, F.col(label).cast("double")))

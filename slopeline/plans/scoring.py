@@ -12,8 +12,9 @@ from slopeline.functions import scoring as sc
 from slopeline.functions import validate as va
 from slopeline.functions.season import seasonal_features
 from slopeline.operators.alerts import ALERT_SHARE, window_top_k, with_high_floor
-from slopeline.operators.ordered import one_per_group
+from slopeline.operators.ordered import one_per_group, rank_rows
 from slopeline.plans.model import score
+from slopeline.schema import nan_to_null
 
 
 def validate_inputs(df: DataFrame, ignore: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -48,20 +49,23 @@ def score_table(model: PipelineModel, df: DataFrame, features: Sequence[str], *,
 
 def risk_feed(segments: DataFrame, model: PipelineModel, features: Sequence[str], *, ignore: Sequence[str],
               window: Sequence[str] = (), share: float = ALERT_SHARE, calibration=None,
-              profile: dict[str, tuple[float | None, float | None]] | None = None, key: str = "osm_id") -> DataFrame:
-    """Scored segments of one emission: rank alerts within each window, HIGH always alerts.
+              profile: dict[str, tuple[float | None, float | None]] | None = None, key: str = "osm_id",
+              observed: str | None = None) -> DataFrame:
+    """Scored segments of one emission in feed order: rank alerts within each window, HIGH always alerts.
 
-    Invalid segments are left out, as the feed skips them.
+    Invalid segments are left out, as the feed skips them. NaN inputs are unknown. ``observed``: the column
+    of the newest observation's time, from which the freshness follows; unknown without it.
+    feed_position counts from 1 by falling probability, unknown ones last.
     """
-    valid, _ = validate_inputs(segments, ignore)
+    valid, _ = validate_inputs(nan_to_null(segments), [*ignore, *([observed] if observed else [])])
     ready = derive_inputs(valid)
-    unknown = F.lit(None).cast("timestamp_ntz")
-    flagged = quality_flags(ready, profile or {}, F.col("prediction_time").cast("timestamp_ntz"), unknown)
+    seen = F.col(observed).cast("timestamp_ntz") if observed else F.lit(None).cast("timestamp_ntz")
+    flagged = quality_flags(ready, profile or {}, F.col("prediction_time").cast("timestamp_ntz"), seen)
     scored = score(model, flagged, features, calibration).withColumn(
         "disruption_probability", F.round("calibrated_probability", 4))
     banded = scored.withColumn("risk_level", sc.risk_band(F.col("calibrated_probability")))
     alerted = window_top_k(banded, window, "disruption_probability", key, share)
-    return with_high_floor(alerted).drop("alert")
+    return rank_rows(with_high_floor(alerted).drop("alert"), [], [("disruption_probability", False), key], "feed_position")
 
 
 def representative_segments(dataset: DataFrame, corridor: str = "ref", road: str = "osm_id") -> DataFrame:

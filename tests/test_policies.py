@@ -179,3 +179,11 @@ def test_reissue(spark):
     inc = spark.createDataFrame([("n1", 1), ("n3", 3)], "observation_id string, k long")
     out = sets.reissue(ex, inc, ["k"], F.col("observation_id").startswith("old_"))
     assert sorted(r.observation_id for r in out.collect()) == ["n1", "old_2", "x"]
+
+
+def test_features_that_leak_the_target_are_refused(spark):
+    from slopeline.plans import model
+    df = spark.createDataFrame([(1.0, 0.2, 1), (2.0, 0.4, 0)], "a double, risk_score double, label int")
+    for features in (["a", "risk_score"], ["a", "label"]):
+        with pytest.raises(ValueError, match="would leak"):
+            model.fit_logistic(df, features)
