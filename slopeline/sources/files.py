@@ -66,15 +66,24 @@ def dated_files(files: DataFrame, pattern: str = r"(\d{4}[.\-]\d{2}[.\-]\d{2})")
 
 
 SUPPORTED = ["csv", "json", "jsonl", "parquet", "txt", "geojson"]
+#: A file is hashed as one value, which cannot be longer; the reader skips the contents of longer ones.
+HASHED_BYTES = 2_000_000_000
 
 
 def file_inventory(spark: SparkSession, path: str, with_hash: bool = True) -> DataFrame:
-    """path, size, extension, time, sha256 and whether the type is supported."""
+    """path, size, extension, time, sha256 and whether the type is supported.
+
+    Files above ``HASHED_BYTES`` are listed without a hash.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     cols = ["path", F.col("length").alias("size_bytes"), ext.alias("extension"), "modificationTime",
             ext.isin(SUPPORTED).alias("supported")]
-    return df.select(*cols, *([F.sha2("content", 256).alias("sha256")] if with_hash else []))
+    if not with_hash:
+        return df.select(*cols)
+    fits = F.col("length") <= HASHED_BYTES
+    return df.where(fits).select(*cols, F.sha2("content", 256).alias("sha256")).unionByName(
+        df.where(~fits).select(*cols, F.lit(None).cast("string").alias("sha256")))
 
 
 def build_manifest(inventory: DataFrame, root: str, excluded: Sequence[str] = (), minimum_files: int = 1) -> DataFrame:
@@ -91,9 +100,11 @@ def build_manifest(inventory: DataFrame, root: str, excluded: Sequence[str] = ()
 
 
 def verify_manifest(manifest: DataFrame, actual: DataFrame) -> DataFrame:
-    """OK, MISSING, MISMATCH or UNLISTED per path."""
-    a = actual.select("relative_path", F.col("sha256").alias("actual_sha256"))
-    j = manifest.select("relative_path", "sha256").join(a, "relative_path", "full")
-    return j.withColumn("status", F.when(F.col("actual_sha256").isNull(), "MISSING")
-                        .when(F.col("sha256").isNull(), "UNLISTED")
-                        .when(F.col("sha256") != F.col("actual_sha256"), "MISMATCH").otherwise("OK"))
+    """OK, MISSING, MISMATCH, UNLISTED or UNHASHED (on either side) per path."""
+    a = actual.select("relative_path", F.col("sha256").alias("actual_sha256"), F.lit(True).alias("_here"))
+    m = manifest.select("relative_path", "sha256", F.lit(True).alias("_listed"))
+    j = m.join(a, "relative_path", "full")
+    return j.withColumn("status", F.when(F.col("_here").isNull(), "MISSING").when(F.col("_listed").isNull(), "UNLISTED")
+                        .when(F.col("sha256") == F.col("actual_sha256"), "OK")
+                        .when(F.col("sha256").isNull() | F.col("actual_sha256").isNull(), "UNHASHED")
+                        .otherwise("MISMATCH")).drop("_here", "_listed")
