@@ -174,14 +174,19 @@ def found_links(vectors: DataFrame, dim: int, kind: str, cosine: float, blocks:
         turned = np.einsum("ij,jk->ik", rows, cut.turn)
         a, b = cut.spans[k]
         low = turned[:, a:b].astype(np.float32)
-        square = (low ** 2).sum(1)
+        square = (low ** 2).sum(1)[:, None]
+        # one product gives the squared distances: (x, |x|^2, 1) . (-2y, 1, |y|^2)
+        one = np.ones_like(square)
+        this, that = np.hstack([low, square, one]), np.ascontiguousarray(np.hstack([-2 * low, one, square]).T)
         most = np.float32(cut.share[k] + 10 * SLACK)
         n = np.zeros(len(uid), np.int64)
         first, second = [], []
 
         def tile(s: np.ndarray, t: np.ndarray, upper: bool) -> None:
-            near = square[s][:, None] + square[t][None, :] - 2 * (low[s] @ low[t].T) <= most
-            i, j = np.nonzero(np.triu(near, 1) if upper else near)
+            near = np.flatnonzero(this[s] @ that[:, t] <= most)
+            i, j = np.divmod(near, len(t))
+            if upper:
+                i, j = i[i < j], j[i < j]
             links = []
             for x in range(0, len(i), 1 << 16):
                 p, q = s[i[x:x + (1 << 16)]], t[j[x:x + (1 << 16)]]
