@@ -152,7 +152,7 @@ def _assigned(vectors: DataFrame, blocks: Blocks, dim: int, kind: str, splits: d
     return slim.mapInArrow(deal, "block int, cell int, chunk int, split int, base boolean, uid bigint, weight bigint, vec binary")
 
 
-def found_links(vectors: DataFrame, dim: int, kind: str, cosine: float, blocks: int = 8, sample: int = 16_384, seed: int = 7) -> DataFrame:
+def found_links(vectors: DataFrame, dim: int, kind: str, cosine: float, blocks: int = 4, sample: int = 16_384, seed: int = 7) -> DataFrame:
     """uid, n, other: weighted link counts (``other`` NULL) and links that span each connected part (n 0).
 
     ``vectors``: uid (distinct and not negative), weight, vec (whole, of one length).
@@ -224,7 +224,7 @@ def found_links(vectors: DataFrame, dim: int, kind: str, cosine: float, blocks:
     return dealt.groupBy("block", "cell", "chunk", "split").applyInArrow(verify, "uid bigint, n bigint, other bigint")
 
 
-def near_vectors(df: DataFrame, cosine: float = 0.9, blocks: int = 8, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def near_vectors(df: DataFrame, cosine: float = 0.9, blocks: int = 4, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """id, n_links, component_id, kept of every row, repeated rows included.
 
     n_links counts the other rows whose cosine is at least ``cosine``; component_id is the smallest id
