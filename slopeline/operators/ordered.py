@@ -2,7 +2,7 @@
 
 A plain ``Window.partitionBy(group)`` sends a whole group to one task, so a group holding a third
 of the rows stalls the job. The largest group is therefore counted first (a partial aggregate of the
-key). While it is small, one window over one shuffle is the best plan. Beyond ``MAX_GROUP_ROWS`` the
+key), unless the files below are small. While it is small, one window over one shuffle is the best plan. Beyond ``MAX_GROUP_ROWS`` the
 order is cut into slices, from a bounded sample of sort keys. Windows then run inside
 ``(group, slice)``; the totals of earlier slices, at most one row per slice and group, are added by a
 join on the same key. Any monotone cut gives the same exact result, so sampling only affects balance.
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slopeline.session import files_within
+
 # One order item: a column name, or (column name, ascending).
 OrderItem = str | tuple[str, bool]
 
@@ -23,6 +25,8 @@ SAMPLE_PER_SLICE = 40
 MAX_SLICES = 1024
 # Rows of one group that a single window task may sort.
 MAX_GROUP_ROWS = 2_000_000
+# Files of so many bytes are not worth a count of their groups.
+SMALL_BYTES = 64 << 20
 
 
 def _items(order: Sequence[OrderItem]) -> list[tuple[str, bool]]:
@@ -86,7 +90,13 @@ def with_slices(df: DataFrame, order: Sequence[OrderItem], slices: int | None =
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group; one number reaches the driver."""
+    """Rows of the largest group; one number reaches the driver.
+
+    Files too small for a large group are not read for it. The number only chooses between plans that
+    give the same rows.
+    """
+    if files_within(df, SMALL_BYTES):
+        return 0
     per = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     return per.agg(F.max("n").alias("n")).first()["n"] or 0
 

@@ -65,6 +65,18 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
+def files_within(df: DataFrame, most_bytes: int, most_files: int = 64) -> bool:
+    """Whether ``df`` reads files only, few and together no longer than ``most_bytes``; runs no job."""
+    sc, files = df.sparkSession.sparkContext, df.inputFiles()
+    if not 0 < len(files) <= most_files:
+        return False
+    total = 0
+    for name in files:
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return total <= most_bytes
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables of ``durable`` that no later job reads; other frames are left alone."""
     for df in tables:

@@ -47,6 +47,21 @@ def test_filters_reach_the_scan(spark, small):
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double,o_orderpriority:string>" in text
 
 
+@pytest.mark.parametrize("name", ["flagship_rain_by_label", "c3_asof_backward", "c5_d1_horizon_labels", "e6_c3_asof_keep_last_ties",
+                                  "e11_window_top_k", "d11_feature_profile", "e24_consecutive_nodes"])
+def test_building_a_query_on_small_files_starts_no_job(spark, small, name):
+    sc = spark.sparkContext
+    sc.setJobGroup(f"build {name}", name)
+    try:
+        run(name, spark, small)
+    finally:
+        sc.setJobGroup("", "")
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(f"build {name}") for s in tracker.getJobInfo(j).stageIds]
+    # the schema of a table is read by a job over its footer
+    assert all(s is None or s.name.startswith("parquet") for s in stages)
+
+
 def test_entry_stands_without_the_training_data_folder():
     code = ("import sys; sys.modules['corpus_pipeline'] = None; sys.modules['slopeline.llm'] = None; import __spark_entry__ as e; "
             "names = set(e.queries()); assert len(names) > 190 and not any(n.startswith('op') or n == 'pipeline' for n in names); "
