@@ -2,21 +2,28 @@
 
 Rows of a source are cut into blocks. A source with weight w owes its block j (from 1) the time window
 from floor((j - 1) / w) to ceil(j / w); in every time slot the released block with the earliest deadline
-goes. With integer weights the schedule repeats, so one period is worked out and every block computes its
-slot from its number. When a source ends, the others go on with their weights in proportion: each such
-phase is a schedule of its own, in which no source ever deviates by a whole block from its share.
+goes. Windows come from the weights themselves, as exact ratios of integers, so no error adds up over the
+slots. When a source ends, the others go on with their weights in proportion: each such phase is a
+schedule of its own, in which no source ever deviates by a whole block from its share.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
+from fractions import Fraction
+from math import lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slopeline.llm.common import row_numbers
 
 Name = str | None
+#: Slots of so many blocks of a source are one row of the schedule; a schedule of up to so many slots is broadcast.
+CHUNK, BROADCAST_SLOTS = 1024, 4_000_000
 
 
 def whole_weights(weights: dict[Name, float], period: int) -> dict[Name, int]:
@@ -31,50 +38,53 @@ def whole_weights(weights: dict[Name, float], period: int) -> dict[Name, int]:
     return out
 
 
-def one_period(share: dict[Name, int]) -> dict[Name, list[int]]:
-    """Slots of each source's blocks in one period of as many slots as the weights sum to."""
-    period = sum(share.values())
-    windows = sorted(((j * period // p, -(-(j + 1) * period // p), i, s) for i, (s, p) in enumerate(share.items()) for j in range(p)),
-                     key=lambda w: w[0])
-    slots: dict[Name, list[int]] = {s: [] for s in share}
-    ready: list[tuple[int, int, Name]] = []
-    at = 0
-    for t in range(period):
-        while at < len(windows) and windows[at][0] <= t:
-            heapq.heappush(ready, windows[at][1:3] + (at,))
-            at += 1
-        deadline, _, which = heapq.heappop(ready)
+def exact_weights(weights: dict[Name, float]) -> dict[Name, int]:
+    """Integers in exactly the proportions of ``weights``."""
+    ratios = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*[r.denominator for r in ratios.values()])
+    return {s: int(r * scale) for s, r in ratios.items()}
+
+
+def one_phase(left: dict[Name, int], share: dict[Name, int]) -> dict[Name, np.ndarray]:
+    """Slots of the sources' blocks from 0 until the first source has no block left."""
+    names, total = list(share), sum(share.values())
+    weight, free = [share[s] for s in names], [left[s] for s in names]
+    slots: list[array] = [array("q") for _ in names]
+    # of each source its next block: waiting by release, then ready by deadline
+    waiting = [(0, i) for i in range(len(names))]
+    ready: list[tuple[int, int]] = []
+    t = 0
+    while True:
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(len(slots[i]) + 1) * total // weight[i]), i))
+        deadline, i = heapq.heappop(ready)
         if t >= deadline:
             raise AssertionError("a deadline was missed")
-        slots[windows[which][3]].append(t)
-    return slots
+        slots[i].append(t)
+        t += 1
+        if len(slots[i]) == free[i]:
+            return {s: np.frombuffer(x, np.int64) for s, x in zip(names, slots, strict=True) if x}
+        heapq.heappush(waiting, (len(slots[i]) * total // weight[i], i))
 
 
-def schedule(blocks: dict[Name, int], share: dict[Name, int]) -> dict[Name, list[tuple[int, int, int, int, list[int]]]]:
-    """For each source its phases: (first block, block after the last, first slot, period, slots in a period).
+def schedule(blocks: dict[Name, int], share: dict[Name, int]) -> dict[Name, np.ndarray]:
+    """For each source the slots of its blocks.
 
     At most one phase per source; sources without a share come last, with equal ones.
     """
     left = {s: n for s, n in blocks.items() if n > 0}
-    used = dict.fromkeys(left, 0)
-    out: dict[Name, list[tuple[int, int, int, int, list[int]]]] = {s: [] for s in left}
-    slot = 0
+    parts: dict[Name, list[np.ndarray]] = {s: [] for s in left}
+    start = 0
     while left:
         active = {s: share[s] for s in left if share.get(s, 0) > 0} or dict.fromkeys(left, 1)
-        slots, period = one_period(active), sum(active.values())
-        turns = min(left[s] // p for s, p in active.items())
-        # within the next period the first source to end closes the phase
-        rest = {s: left[s] - turns * p for s, p in active.items()}
-        end = min(slots[s][rest[s] - 1] + 1 if rest[s] else 0 for s, p in active.items() if rest[s] < p)
-        for s, p in active.items():
-            n = turns * p + sum(t < end for t in slots[s])
-            if n:
-                out[s].append((used[s], used[s] + n, slot, period, slots[s]))
-            used[s] += n
-            left[s] -= n
-        slot += turns * period + end
+        found = one_phase(left, active)
+        for s, slots in found.items():
+            parts[s].append(slots + start)
+            left[s] -= len(slots)
+        start += sum(map(len, found.values()))
         left = {s: n for s, n in left.items() if n}
-    return out
+    return {s: np.concatenate(p) for s, p in parts.items()}
 
 
 def tempered(counts: dict[Name, int], power: float) -> dict[Name, float]:
@@ -83,15 +93,16 @@ def tempered(counts: dict[Name, int], power: float) -> dict[Name, float]:
 
 
 def mixed_rows(docs: DataFrame, weights: dict[Name, float] | None = None, power: float = 0.5, by: str = "source", id_col: str = "doc_id",
-               block_rows: int = 16, period: int = 1000, seed: int = 0, columns: list[str] | None = None) -> DataFrame:
+               block_rows: int = 16, period: int | None = None, seed: int = 0, columns: list[str] | None = None) -> DataFrame:
     """``docs`` (or the named columns of it) with block, slot and place (row within its block).
 
     Every row appears once. Rows of a source are shuffled by a hash of their id, then cut into blocks of
     ``block_rows``, the last one shorter. ``weights``: target shares by source, NULL being a source like
-    any; without them the sizes to the power ``power``. A source without a weight follows when the others
-    have ended. Row equality aside, the result depends on the rows alone. Sources are few: their counts and
-    the schedule (at most sources x period numbers) pass through the driver. Columns named block, slot and
-    place are replaced.
+    any; without them the sizes to the power ``power``. The schedule follows them exactly, unless a ``period``
+    is named: then it repeats after so many slots, with weights rounded to it and at least one slot for
+    each. A source without a weight follows when the others have ended. Row equality aside, the result
+    depends on the rows alone. Counts of the sources and the schedule (8 bytes for each block) pass through
+    the driver. Columns named block, slot and place are replaced.
     """
     keep = [c for c in (columns or docs.columns) if c not in ("block", "slot", "place")]
     order = [F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.col(id_col)]
@@ -100,16 +111,21 @@ def mixed_rows(docs: DataFrame, weights: dict[Name, float] | None = None, power:
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     target = weights if weights is not None else tempered(blocks, power)
     target = {s: w for s, w in target.items() if s in blocks and w > 0}
-    share = whole_weights(target, max(period, 4 * len(target))) if target else {}
-    plan = [(s, [tuple(p) for p in phases]) for s, phases in schedule(blocks, share).items()]
-    phases = docs.sparkSession.createDataFrame(
-        plan, "__mix_source string, __mix_phases array<struct<j0: bigint, j1: bigint, slot0: bigint, period: bigint, slots: array<int>>>")
+    share = {}
+    if target:
+        share = exact_weights(target) if period is None else whole_weights(target, max(period, 4 * len(target)))
+    plan = schedule(blocks, share)
+    cut = [(s, i, x[i:i + CHUNK]) for s, x in plan.items() for i in range(0, len(x), CHUNK)]
+    chunks = pa.table([pa.array([s for s, _, _ in cut], pa.string()), pa.array([i // CHUNK for _, i, _ in cut], pa.int64()),
+                       pa.array([x for _, _, x in cut], pa.list_(pa.int64()))], names=["__mix_source", "__mix_chunk", "__mix_slots"])
+    slots = docs.sparkSession.createDataFrame(chunks)
+    if sum(blocks.values()) <= BROADCAST_SLOTS:
+        slots = F.broadcast(slots)
     block = F.floor(F.col("__mix_row") / block_rows).cast("bigint")
-    joined = numbered.withColumn("block", block).join(F.broadcast(phases), F.col(by).cast("string").eqNullSafe(F.col("__mix_source")))
-    now = F.filter("__mix_phases", lambda p: (F.col("block") >= p["j0"]) & (F.col("block") < p["j1"]))[0]
-    at = joined.withColumn("__mix_now", now).withColumn("__mix_m", F.col("block") - F.col("__mix_now.j0")).withColumn("__mix_p", F.size("__mix_now.slots"))
-    turn = ((F.col("__mix_m") - F.col("__mix_m") % F.col("__mix_p")) / F.col("__mix_p")).cast("bigint")
-    slot = F.col("__mix_now.slot0") + turn * F.col("__mix_now.period") + F.col("__mix_now.slots")[(F.col("__mix_m") % F.col("__mix_p")).cast("int")]
+    chunk = F.shiftright("block", CHUNK.bit_length() - 1)
+    at = numbered.withColumn("block", block).join(
+        slots, F.col(by).cast("string").eqNullSafe(F.col("__mix_source")) & (chunk == F.col("__mix_chunk")))
+    slot = F.col("__mix_slots")[(F.col("block") % CHUNK).cast("int")]
     return at.select(*keep, "block", slot.cast("bigint").alias("slot"), (F.col("__mix_row") % block_rows).cast("int").alias("place"))
 
 
