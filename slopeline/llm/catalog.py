@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slopeline.llm.ann import nearest
+from slopeline.llm.chat import format_conversations, read_back, with_control_case
 from slopeline.llm.common import crc_fold, ready
 from slopeline.llm.embed_dedup import near_vectors
 from slopeline.llm.kneser_ney import score_documents
@@ -73,8 +74,14 @@ def op10_embed_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"))
 
 
+def op11_chat(spark: SparkSession, folder: str) -> DataFrame:
+    rows = with_control_case(_table(spark, folder, "conversations"))
+    return read_back(format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_sharding, op2_token_counts, op3_kneser_ney, op4_ann, op5_packing, op6_quality, op7_simhash, op8_substring, op9_mixing, op10_embed_dedup)}
+    op1_sharding, op2_token_counts, op3_kneser_ney, op4_ann, op5_packing, op6_quality, op7_simhash, op8_substring, op9_mixing, op10_embed_dedup,
+    op11_chat)}
 #: Independent SQL for what SQL can express over the whole tables.
 SQL: dict[str, str] = {
     "op8_substring": r"""
