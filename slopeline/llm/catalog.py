@@ -16,6 +16,7 @@ from slopeline.llm.kneser_ney import score_documents
 from slopeline.llm.mixing import mixed_rows
 from slopeline.llm.packing import pack_documents
 from slopeline.llm.quality_rules import scored, train
+from slopeline.llm.repair import damaged, repair_report
 from slopeline.llm.sharding import shard_documents
 from slopeline.llm.simhash import as_hex, near_copies
 from slopeline.llm.substring import remove_repeats
@@ -79,9 +80,14 @@ def op11_chat(spark: SparkSession, folder: str) -> DataFrame:
     return read_back(format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations")
+    return repair_report(damaged(rows), rows)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_sharding, op2_token_counts, op3_kneser_ney, op4_ann, op5_packing, op6_quality, op7_simhash, op8_substring, op9_mixing, op10_embed_dedup,
-    op11_chat)}
+    op11_chat, op12_repair)}
 #: Independent SQL for what SQL can express over the whole tables.
 SQL: dict[str, str] = {
     "op8_substring": r"""
