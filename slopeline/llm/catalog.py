@@ -12,6 +12,7 @@ from slopeline.llm.ann import nearest
 from slopeline.llm.chat import format_conversations, read_back, with_control_case
 from slopeline.llm.common import crc_fold, ready
 from slopeline.llm.embed_dedup import near_vectors
+from slopeline.llm.hard_negatives import hard_negatives
 from slopeline.llm.kneser_ney import score_documents
 from slopeline.llm.mixing import mixed_rows
 from slopeline.llm.packing import pack_documents
@@ -85,9 +86,14 @@ def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair_report(damaged(rows), rows)
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_sharding, op2_token_counts, op3_kneser_ney, op4_ann, op5_packing, op6_quality, op7_simhash, op8_substring, op9_mixing, op10_embed_dedup,
-    op11_chat, op12_repair)}
+    op11_chat, op12_repair, op13_hard_negatives)}
 #: Independent SQL for what SQL can express over the whole tables.
 SQL: dict[str, str] = {
     "op8_substring": r"""
