@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slopeline.llm.vectors import float_kind, main_length, matrix, packed, unpacked, whole
+from slopeline.llm.vectors import float_kind, lengths, matrix, packed, unpacked, whole
 from slopeline.session import durable
 
 #: Nodes of a shard, queries of a block.
@@ -216,7 +217,7 @@ def search_index(index: DataFrame, queries: DataFrame, dim: int, kind: str, shar
                 node = found[row, col]
                 score = np.full(found.shape, -np.inf)
                 score[row, col] = np.einsum("ij,ij->i", part[row], vec[node])
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                best = np.lexsort((uid[np.maximum(found, 0)], -score), axis=-1)[:, :k]
                 row, col = np.nonzero(np.isfinite(np.take_along_axis(score, best, 1)))
                 col = best[row, col]
                 out["query"].append(name[i:i + SIDE][row])
@@ -234,16 +235,23 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, beam: int = 256, id_
     """query_id, rank, id, score: the ``k`` rows of ``df`` with the largest inner products found for each row of
     ``queries``, itself excluded by its id; ties go to the smaller id.
 
-    Vectors that are NULL, empty, zero or hold NULL or non-finite components, and those not of the commonest
-    length, are neither found nor searched for. Rows of one id count as one candidate. Rows without an id take no part.
-    Scores are inner products of the stored vectors in double precision.
+    Vectors that are NULL, empty, zero or hold NULL or non-finite components are neither found nor searched for;
+    the others meet vectors of their own length. Rows of one id count as one candidate. Rows without an id take
+    no part. Scores are inner products of the stored vectors in double precision.
     """
-    dim, kind = main_length(df, vector), float_kind(df, vector)
-    empty = f"query_id {df.schema[id_col].dataType.simpleString()}, rank int, {id_col} {df.schema[id_col].dataType.simpleString()}, score double"
-    if not dim:
-        return df.sparkSession.createDataFrame([], empty)
+    kind, id_type = float_kind(df, vector), df.schema[id_col].dataType.simpleString()
     df, queries = df.where(F.col(id_col).isNotNull()), queries.where(F.col(id_col).isNotNull())
-    nodes = durable(nodes_of(df, id_col, vector, dim, k + 1).withColumn("uid", F.monotonically_increasing_id()))
+    out = [_nearest_of_length(df, queries, k, beam, id_col, vector, dim, kind) for dim in lengths(df, vector)]
+    none = df.sparkSession.createDataFrame([], f"query_id {id_type}, rank int, {id_col} {id_type}, score double")
+    return reduce(DataFrame.unionByName, out) if out else none
+
+
+def _nearest_of_length(df: DataFrame, queries: DataFrame, k: int, beam: int, id_col: str, vector: str, dim: int, kind: str) -> DataFrame:
+    # uids rise with the smallest id of a node, so that cuts among equal scores keep the smallest ids
+    nodes = nodes_of(df, id_col, vector, dim, k + 1).withColumn("low", F.col("ids")[0])
+    shuffles = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    nodes = nodes.repartitionByRange(shuffles, "low").sortWithinPartitions("low").drop("low")
+    nodes = durable(nodes.withColumn("uid", F.monotonically_increasing_id()))
     shards = max(1, math.ceil(nodes.count() / SHARD_ROWS))
     index = build_index(nodes, dim, kind, shards)
     # equal query vectors are searched once

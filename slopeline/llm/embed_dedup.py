@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopeline.llm.vectors import float_kind, main_length, matrix, packed, unpacked, whole
+from slopeline.llm.vectors import float_kind, lengths, matrix, packed, unpacked, whole
 from slopeline.operators.graph import weak_components
 from slopeline.session import durable
 
@@ -224,31 +225,36 @@ def found_links(vectors: DataFrame, dim: int, kind: str, cosine: float, blocks:
     return dealt.groupBy("block", "cell", "chunk", "split").applyInArrow(verify, "uid bigint, n bigint, other bigint")
 
 
+def _known(rows: DataFrame, dim: int, kind: str, cosine: float, blocks: int) -> DataFrame:
+    """vec, n, best: links and smallest reached id of the vectors of one length; written, so that both sides of a
+    join with it are plain exchanges and a hot vector's rows are split."""
+    distinct = rows.groupBy("vec").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("low"))
+    distinct = durable(distinct.withColumn("uid", F.monotonically_increasing_id()))
+    found = durable(found_links(distinct, dim, kind, cosine, blocks))
+    number = found.groupBy(F.col("uid").alias("u")).agg(F.sum("n").alias("n"))
+    group = weak_components(found.where("other IS NOT NULL").select(F.col("uid").alias("src"), F.col("other").alias("dst")))
+    named = distinct.select("uid", "low").join(group.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
+        "component", F.coalesce("component", "uid"))
+    best = named.groupBy("component").agg(F.min("low").alias("best"))
+    named = named.join(best, "component").join(number, F.col("uid") == F.col("u"), "left").select("uid", "best", F.coalesce("n", F.lit(0)).alias("n"))
+    return durable(distinct.join(named, "uid").select("vec", "best", (F.col("n") + F.col("weight") - 1).alias("n")))
+
+
 def near_vectors(df: DataFrame, cosine: float = 0.9, blocks: int = 4, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """id, n_links, component_id, kept of every row, repeated rows included.
 
     n_links counts the other rows whose cosine is at least ``cosine``; component_id is the smallest id
     reached by links; kept marks that row. Vectors that are NULL, empty, zero or hold NULL or non-finite
-    components, and those not of the commonest length, link with nothing: they have 0 links and their own
-    id. A NULL id is never the smallest; where a component has no other, component_id is NULL. Other
+    components link with nothing: they have 0 links and their own id; the others link with vectors of their
+    own length. A NULL id is never the smallest; where a component has no other, component_id is NULL. Other
     columns are not read.
     """
     if not 0 < cosine < 1:
         raise ValueError("the cosine must lie between 0 and 1")
-    dim, kind = main_length(df, vector), float_kind(df, vector)
-    take = whole(F.col(vector)) & (F.size(vector) == F.lit(dim))
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("vec"), take.alias("take"))
-    distinct = rows.where("take").groupBy("vec").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("low"))
-    distinct = durable(distinct.withColumn("uid", F.monotonically_increasing_id()))
-    found = durable(found_links(distinct, max(1, dim), kind, cosine, blocks))
-    number = found.groupBy(F.col("uid").alias("u")).agg(F.sum("n").alias("n"))
-    group = weak_components(found.where("other IS NOT NULL").select(F.col("uid").alias("src"), F.col("other").alias("dst")))
-    named = distinct.select("uid", "low").join(group.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
-        "component", F.coalesce("component", "uid"))
-    best = named.groupBy("component").agg(F.min("low").alias("best"))
-    named = named.join(best, "component").join(number, F.col("uid") == F.col("u"), "left").select("uid", "best", F.coalesce("n", F.lit(0)).alias("n"))
-    # written, so that both sides of the join below are plain exchanges and a hot vector's rows are split
-    known = durable(distinct.join(named, "uid").select("vec", "best", (F.col("n") + F.col("weight") - 1).alias("n")))
+    kind = float_kind(df, vector)
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("vec"), whole(F.col(vector)).alias("take"))
+    parts = [_known(rows.where("take").where(F.size("vec") == dim), dim, kind, cosine, blocks) for dim in lengths(df, vector) or [1]]
+    known = reduce(DataFrame.unionByName, parts)
     out = rows.where("take").select("id", "vec").join(known, "vec").select("id", "n", "best").unionByName(
         rows.where(~F.col("take")).select("id", F.lit(0).cast("bigint").alias("n"), F.col("id").alias("best")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_links"), F.col("best").alias("component_id"),

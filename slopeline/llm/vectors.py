@@ -16,11 +16,11 @@ def whole(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & fine & F.exists(wide, lambda v: v != 0), F.lit(False))
 
 
-def main_length(df: DataFrame, vector: str) -> int:
-    """The commonest length among whole vectors, the smallest of equals; 0 if there is none."""
+def lengths(df: DataFrame, vector: str) -> list[int]:
+    """The lengths of whole vectors, commonest first. Inner products and cosines belong to one length, so the
+    operators run once per length."""
     sizes = df.where(whole(F.col(vector))).groupBy(F.size(vector).alias("n")).agg(F.count(F.lit(1)).alias("k"))
-    found = sizes.orderBy(F.desc("k"), "n").first()
-    return found.n if found else 0
+    return [r.n for r in sizes.orderBy(F.desc("k"), "n").collect()]
 
 
 def float_kind(df: DataFrame, vector: str) -> str:

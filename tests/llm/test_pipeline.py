@@ -5,7 +5,8 @@ from collections import Counter
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
-from test_text_operators import brute_print, check_packed, components
+from test_near_text import kept_ids
+from test_text_operators import check_packed
 
 import corpus_pipeline
 from slopeline.llm import mixing, quality_rules
@@ -31,15 +32,6 @@ def kept_texts(rows, width=35):
     return out
 
 
-def groups(rows):
-    prints = {r.doc_id: brute_print(r.text) for r in rows}
-    root = components(prints.values(), 2)
-    low = {}
-    for i, p in prints.items():
-        low[root[p]] = min(low.get(root[p], i), i)
-    return set(low.values())
-
-
 @pytest.fixture(scope="module")
 def stages(llm_spark, tmp_path_factory):
     """Input and output of every stage over a whole small table."""
@@ -67,7 +59,7 @@ def test_quality(llm_spark, stages):
 
 def test_near_duplicates(stages):
     docs, out, _ = stages["near_duplicates"]
-    assert rows_of(out) == rows_of(docs.where(F.col("doc_id").isin(groups(docs.collect()))))
+    assert rows_of(out) == rows_of(docs.where(F.col("doc_id").isin(kept_ids(docs.collect()))))
 
 
 def test_passages(stages):

@@ -148,3 +148,36 @@ def test_query_recall(llm_spark):
         score[ids == q] = -np.inf
         hits += len(near[q] & set(ids[np.argsort(-score)[:20]].tolist()))
     assert hits / (20 * len(asked)) > 0.9
+
+
+def test_vectors_of_several_lengths(llm_spark, clustered):
+    """Those of a rarer length link and are found among themselves."""
+    rng = np.random.default_rng(8)
+    short = [(2000 + i, np.asarray(v, np.float32).tolist()) for i, v in enumerate([*rng.standard_normal((30, 5)), [1.0] * 5, [1.0] * 5, [2.0] * 5])]
+    got = {r.vec_id: r for r in embed_dedup.near_vectors(table(llm_spark, [*clustered, *short])).collect()}
+    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in (2030, 2031, 2032)] == [(2, 2030, True), (2, 2030, False), (2, 2030, False)]
+    assert all(got[i].n_links == n for i, n, _, _ in brute_links(clustered, 0.9))
+    df = table(llm_spark, [*clustered, *short])
+    mine = ann.nearest(df, df.where("vec_id = 2020"), 20).orderBy("rank").collect()
+    x, q = np.array([v for _, v in short], np.float64), np.array(short[20][1], np.float64)
+    order = [i for i in np.lexsort((np.arange(len(x)), -(x @ q))) if i != 20][:20]
+    assert [r.vec_id for r in mine] == [2000 + i for i in order]
+
+
+@pytest.mark.parametrize("rows_of_a_shard", [70, 8192])
+def test_ties_go_to_the_smallest_id(llm_spark, rows_of_a_shard, monkeypatch):
+    """Vectors of zeros and ones: most scores are shared by many different vectors."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", rows_of_a_shard)
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2, (600, 12)).astype(float)
+    ids = rng.permutation(600)
+    df = table(llm_spark, [(int(i), v.tolist()) for i, v in zip(ids, x) if v.any()])
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), 20, beam=700).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    keep = x.any(1)
+    for q in range(0, 600, 20):
+        at = int(np.flatnonzero(ids == q)[0])
+        if keep[at]:
+            score = x[keep] @ x[at]
+            assert got[q] == [i for i in ids[keep][np.lexsort((ids[keep], -score))] if i != q][:20]
