@@ -110,6 +110,45 @@ def risk_feed(t):
                       F.array_join("confidence_flags", ",").alias("flags"), "operating_decision")
 
 
+#: A released model of the corridor feed: parameters of the query, and the same numbers in its twin.
+RELEASED = model.FrozenLogistic(
+    weights={"rainfall_7day": 0.0004, "rainfall_30day": 0.0001, "slope_degrees": 0.03, "elevation_m": 0.0002, "slope_x_rain7": 0.000005},
+    fills={"rainfall_7day": 0.0, "rainfall_30day": 0.0, "slope_degrees": 20.0, "elevation_m": 1000.0, "slope_x_rain7": 0.0}, intercept=-1.25)
+FEED_FIELDS = ["osm_id", "latitude", "longitude", "highway", "elevation_m", "slope_degrees"]
+_RAIN = ", ".join(f"""CASE WHEN count(*) FILTER (v IS NULL AND d >= n - {w}) = 0 THEN sum(v) FILTER (d >= n - {w}) END AS r{w}""" for w in (1, 3, 7, 14, 30))
+
+
+@query("j24_corridor_feed", views="segment state_rain", sql=f"""
+  WITH newest AS (SELECT max(d) AS n FROM state_rain),
+  rain AS (SELECT key, n, {_RAIN}, max(d) FILTER (v IS NOT NULL) AS seen FROM state_rain, newest WHERE d BETWEEN n - 30 AND n - 1 GROUP BY key, n),
+  road AS (SELECT * FROM segment WHERE osm_id IN (SELECT min(osm_id) FROM segment GROUP BY ref)),
+  valid AS (SELECT * FROM road JOIN rain ON state = key
+    WHERE least(r1, r3, r7, r14, r30) >= 0 AND greatest(r1, r3, r7, r14, r30) <= 10000
+      AND r1 + r3 + r7 + r14 + r30 IS NOT NULL AND (highway IS NULL OR highway <> 'bridleway')
+      AND coalesce(slope_degrees BETWEEN 0 AND 90, true) AND coalesce(elevation_m BETWEEN -500 AND 9000, true)),
+  scored AS (SELECT *, 1 / (1 + exp(-(-125e-2 + r7 * 4e-4 + r30 * 1e-4 + coalesce(slope_degrees, 20e0) * 3e-2 + coalesce(elevation_m, 1000e0) * 2e-4
+      + coalesce(slope_degrees, 0) * r7 * 5e-6))) AS p FROM valid),
+  level AS (SELECT *, round(p, 4) AS q, CASE WHEN p >= 0.7 THEN 'HIGH' WHEN p >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM scored),
+  placed AS (SELECT *, row_number() OVER (ORDER BY q DESC, osm_id) AS place, count(*) OVER () AS total FROM level)
+  SELECT place AS feed_position, ref, osm_id, state, n AS prediction_time, round(r1, 2) AS rainfall_1day, round(r30, 2) AS rainfall_30day,
+    q AS disruption_probability, risk_level,
+    array_to_string(list_filter([
+      CASE WHEN date_diff('hour', CAST(seen AS TIMESTAMP), CAST(n AS TIMESTAMP)) <= 48 THEN NULL
+        WHEN date_diff('hour', CAST(seen AS TIMESTAMP), CAST(n AS TIMESTAMP)) <= 168 THEN 'WEATHER_STALE' ELSE 'WEATHER_EXPIRED' END,
+      CASE WHEN r30 NOT BETWEEN 500 AND 4000 THEN 'OUT_OF_DISTRIBUTION' END,
+      CASE WHEN slope_degrees IS NULL OR elevation_m IS NULL THEN 'MISSING_TERRAIN' END], lambda x : x IS NOT NULL), ',') AS flags,
+    CASE WHEN risk_level = 'HIGH' OR place <= greatest(1, least(total, CAST(floor(total * 0.3) AS BIGINT))) THEN 'ALERT' ELSE 'NO_ALERT' END AS operating_decision
+  FROM placed""")
+def corridor_feed(t):
+    roads = derived.segment(t).select("ref", "state", *[F.col({"latitude": "lat", "longitude": "lon"}.get(c, c)).alias(c) for c in FEED_FIELDS])
+    rows = scoring.feed_inputs(derived.segment(t), roads, derived.state_rain(t))
+    out = scoring.risk_feed(rows, RELEASED, list(RELEASED.weights), ignore=["ref", "state", "prediction_time"], profile={"rainfall_30day": (500.0, 4000.0)},
+                            observed="observed_at")
+    return out.select("feed_position", "ref", "osm_id", "state", "prediction_time", F.round("rainfall_1day", 2).alias("rainfall_1day"),
+                      F.round("rainfall_30day", 2).alias("rainfall_30day"), "disruption_probability", "risk_level",
+                      F.array_join("confidence_flags", ",").alias("flags"), "operating_decision")
+
+
 def traces(t):
     """Trace-like rows from orders: stream, model version, level and probability."""
     p = F.round(F.col("o_totalprice") / 500000, 4)

@@ -13,6 +13,9 @@ VIEWS: dict[str, tuple[str, str]] = {
         SELECT l_suppkey AS key, CAST(l_shipdate AS DATE) AS d,
                CASE WHEN max(l_quantity) < 50 THEN sum(l_quantity) END AS v
         FROM lineitem GROUP BY 1, 2"""),
+    "state_rain": ("", """
+        SELECT 'S' || (user_id % 8) AS key, CAST(ts AS DATE) AS d, round(sum(value) FILTER (event_type <> 'error'), 6) AS v
+        FROM events GROUP BY 1, 2"""),
     "users": ("", "SELECT DISTINCT user_id AS key FROM events"),
     "anchor_days": ("", """
         SELECT CAST(x AS DATE) AS p

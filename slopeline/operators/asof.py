@@ -1,8 +1,8 @@
 """Point-in-time joins: the nearest earlier (or later) observation of the same key.
 
-Both sides meet once, hashed on the key. When the rows of one key exceed what a window task should
-sort, time is cut into slices and the hash is on (key, slice); the nearest observation of other slices
-then comes from a carry table with one row per key and slice, so a hot key is spread over its slices.
+Both sides meet once, hashed on the key and a slice of its time. Keys with more rows than a window task should
+sort have several slices (``ordered``); the nearest observation of other slices then comes from a carry table
+with one row per key and slice, so a hot key is spread over its slices.
 """
 
 from __future__ import annotations
@@ -26,14 +26,13 @@ def micros(value: Column) -> Column:
 def time_slices(df: DataFrame, key: str, micro: str, slice_seconds: int | None = None) -> tuple[DataFrame, bool]:
     """Adds ``_slice`` and tells whether there may be more than one of them.
 
-    Slices follow the density of the rows; equal times always share a slice.
+    Slices follow the density of the key's rows; equal times always share a slice.
     """
     if slice_seconds is not None:
         return df.withColumn("_slice", F.floor(F.col(micro) / (slice_seconds * 1_000_000))), True
-    biggest = ordered.largest_group(df, [key])
-    if biggest <= ordered.MAX_GROUP_ROWS:
+    if ordered.is_small(df):
         return df.withColumn("_slice", F.lit(0)), False
-    return ordered.with_slices(df, [micro], ordered.slices_for(df, biggest)), True
+    return ordered.with_slices(df, [key], [micro]), True
 
 
 def unique_observations(obs: DataFrame, key: str, time: str, cols: Sequence[str],

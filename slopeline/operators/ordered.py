@@ -1,11 +1,12 @@
 """Running sums, ranks, quantiles over an order, without one task per group.
 
-A plain ``Window.partitionBy(group)`` sends a whole group to one task, so a group holding a third
-of the rows stalls the job. The largest group is therefore counted first (a partial aggregate of the
-key), unless the files below are small. While it is small, one window over one shuffle is the best plan. Beyond ``MAX_GROUP_ROWS`` the
-order is cut into slices, from a bounded sample of sort keys. Windows then run inside
-``(group, slice)``; the totals of earlier slices, at most one row per slice and group, are added by a
-join on the same key. Any monotone cut gives the same exact result, so sampling only affects balance.
+A plain ``Window.partitionBy(group)`` sends a whole group to one task, so a group holding a third of the rows
+stalls the job. Groups are therefore cut into slices of their own order. One row in ``PICK_ONE_IN``, chosen by
+the hash of its order key, is gathered per group; every ``PICKS_PER_SLICE``-th of them in order is a bound, so
+slices hold about two million rows whatever the size of the group, and most groups have no bound at all.
+Windows run inside ``(group, slice)``; the totals of earlier slices, one row per slice, are added by a join on
+the same key. The choice is a function of the rows, so every reading of the plan cuts alike, and all of it is part of the
+plan: building a query runs no job. Inputs too small for a hot group keep the plain window, with the same rows.
 """
 
 from __future__ import annotations
@@ -16,16 +17,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slopeline.session import files_within
+from slopeline.session import input_bytes
 
 # One order item: a column name, or (column name, ascending).
 OrderItem = str | tuple[str, bool]
 
-SAMPLE_PER_SLICE = 40
-MAX_SLICES = 1024
-# Rows of one group that a single window task may sort.
-MAX_GROUP_ROWS = 2_000_000
-# Files of so many bytes are not worth a count of their groups.
+# One row in so many is a candidate bound; so many candidates make a slice.
+PICK_ONE_IN = 65_536
+PICKS_PER_SLICE = 32
+# Bounds are searched in stretches of so many.
+STRETCH = 128
+# Inputs of so many bytes hold no group that a window task could not sort.
 SMALL_BYTES = 64 << 20
 
 
@@ -46,82 +48,74 @@ def sort_columns(df: DataFrame, order: Sequence[OrderItem]) -> list[Column]:
     return [v.asc_nulls_last() if asc else v.desc_nulls_last() for v, asc in _values(df, order)]
 
 
-def with_slices(df: DataFrame, order: Sequence[OrderItem], slices: int | None = None,
-                name: str = "_slice") -> DataFrame:
-    """Add a slice number that never decreases along ``order``.
+def is_small(df: DataFrame) -> bool:
+    """Whether the tables below ``df`` are too small for a hot group; reads their sizes only."""
+    return input_bytes(df) <= SMALL_BYTES
 
-    The driver receives at most ``SAMPLE_PER_SLICE * MAX_SLICES`` sort keys.
+
+def _compared(left: Column, right: Column, directions: Sequence[bool]) -> Column:
+    """-1, 0 or 1: the order of two key structs, unknown fields last."""
+    result = F.lit(0)
+    for i, asc in reversed(list(enumerate(directions))):
+        a, b = left[f"k{i}"], right[f"k{i}"]
+        less = -1 if asc else 1
+        result = (F.when(a.isNull() & b.isNull(), result).when(a.isNull(), 1).when(b.isNull(), -1)
+                  .when(a < b, less).when(a > b, -less).otherwise(result))
+    return result
+
+
+def slice_bounds(df: DataFrame, by: Sequence[str], order: Sequence[OrderItem]) -> DataFrame:
+    """``_b_<key>``, ``__bounds`` and ``__coarse``: the cuts of every group large enough to have one.
+
+    A group of n rows sends about n / PICK_ONE_IN keys and gets n / (PICK_ONE_IN * PICKS_PER_SLICE) bounds.
     """
-    spark = df.sparkSession
-    wanted = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(1, min(wanted, MAX_SLICES))
-    if wanted == 1:
-        return df.withColumn(name, F.lit(0))
     values = _values(df, order)
+    directions = [asc for _, asc in values]
     names = [f"k{i}" for i in range(len(values))]
-    picked = df.select(*[v.alias(n) for (v, _), n in zip(values, names, strict=True)], F.rand(17).alias("r")).orderBy("r").limit(
-        SAMPLE_PER_SLICE * wanted)
-    sample = picked.select(*names).orderBy(*sort_columns(picked, [(n, asc) for n, (_, asc) in zip(names, values, strict=True)])).collect()
-    if len(sample) < 2 * wanted:
-        return df.withColumn(name, F.lit(0))
-    bounds = [sample[i] for i in sorted({i * len(sample) // wanted for i in range(1, wanted)})]
-    kinds = [picked.schema[n].dataType for n in names]
-
-    def at_least(bound) -> Column:
-        # lexicographic comparison of plain columns in their own types, so that it stays inside codegen
-        result = F.lit(True)
-        for (value, asc), limit, kind in reversed(list(zip(values, bound, kinds, strict=True))):
-            if limit is None:  # unknown is last: nothing comes after it
-                result = value.isNull() & result
-                continue
-            edge = F.lit(limit).cast(kind)
-            after = value > edge if asc else value < edge
-            result = value.isNull() | after | ((value == edge) & result)
-        return result
-
-    def search(lo: int, hi: int) -> Column:
-        # binary search over the bounds as nested CASE WHEN: log2(n) comparisons per row
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(at_least(bounds[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
-
-    return df.withColumn(name, search(0, len(bounds)))
-
-
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group; one number reaches the driver.
-
-    Files too small for a large group are not read for it. The number only chooses between plans that
-    give the same rows.
-    """
-    if files_within(df, SMALL_BYTES):
-        return 0
-    per = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.max("n").alias("n")).first()["n"] or 0
+    keys = df.select(*[F.col(b).alias(f"_b_{b}") for b in by], *[v.alias(n) for (v, _), n in zip(values, names, strict=True)])
+    place = F.xxhash64(*[f"_b_{b}" for b in by], *names)
+    picked = keys.where(F.pmod(place, F.lit(PICK_ONE_IN)) == 0)
+    met = picked.groupBy(*[f"_b_{b}" for b in by]).agg(F.collect_list(F.struct(*names)).alias("_p")).where(F.size("_p") >= PICKS_PER_SLICE)
+    in_order = F.array_sort("_p", lambda a, b: _compared(a, b, directions))
+    cuts = met.withColumn("_p", in_order).withColumn("__bounds", F.transform(
+        F.expr(f"sequence(1, size(_p) div {PICKS_PER_SLICE})"), lambda i: F.element_at("_p", (i * PICKS_PER_SLICE).cast("int"))))
+    coarse = F.filter("__bounds", lambda _, i: (i + 1) % STRETCH == 0)
+    return cuts.withColumn("__coarse", coarse).drop("_p")
+
+
+def with_slices(df: DataFrame, by: Sequence[str], order: Sequence[OrderItem], name: str = "_slice") -> DataFrame:
+    """Add a slice number that never decreases along ``order`` in a group; equal keys share a slice."""
+    by = list(by)
+    values = _values(df, order)
+    directions = [asc for _, asc in values]
+    cuts = slice_bounds(df, by, order)
+    # without a group there is one row of bounds, or none
+    joined = (df.join(cuts, [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by], "left") if by
+              else df.join(F.broadcast(cuts), F.lit(True), "left"))
+    mine = F.struct(*[v.alias(f"k{i}") for i, (v, _) in enumerate(values)])
 
+    def reached(bounds: Column) -> Column:
+        return F.size(F.filter(bounds, lambda b: _compared(b, mine, directions) <= 0))
 
-def slices_for(df: DataFrame, biggest: int) -> int:
-    """Slices that bring the largest group well under ``MAX_GROUP_ROWS`` per slice."""
-    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_SLICES, max(parallel, 4 * -(-biggest // max(MAX_GROUP_ROWS, 1))))
+    passed = joined.withColumn("__passed", F.when(F.col("__bounds").isNotNull(), reached(F.col("__coarse")) * STRETCH).otherwise(0))
+    within = reached(F.slice("__bounds", F.col("__passed") + 1, STRETCH))
+    number = F.when(F.col("__bounds").isNull(), 0).otherwise(F.col("__passed") + within)
+    return passed.select(*df.columns, number.alias(name))
 
 
 def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[OrderItem],
-                 sums: dict[str, str | Column], slices: int | None = None) -> DataFrame:
+                 sums: dict[str, str | Column]) -> DataFrame:
     """Add, per output name, the inclusive running sum of its column along ``order`` in each group.
 
-    ``order`` must be unique inside a group; unknown values (NULL or NaN) come last. Both plans give
-    the same rows. ``slices`` forces the sliced one.
+    ``order`` must be unique inside a group; unknown values (NULL or NaN) come last.
     """
     by = list(by)
     values = {n: (F.col(c) if isinstance(c, str) else c) for n, c in sums.items()}
-    biggest = largest_group(df, by) if slices is None else 0
-    if slices is None and biggest <= MAX_GROUP_ROWS:
+    if is_small(df):
         whole = Window.partitionBy(*by).orderBy(*sort_columns(df, order)).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[F.sum(v).over(whole).alias(n) for n, v in values.items()])
-    sliced = with_slices(df, order, slices or slices_for(df, biggest))
+    sliced = with_slices(df, by, order)
     inner = Window.partitionBy(*by, "_slice").orderBy(*sort_columns(df, order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     totals = sliced.groupBy(*by, "_slice").agg(
@@ -138,10 +132,9 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[OrderItem],
         *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in values])
 
 
-def rank_rows(df: DataFrame, by: Sequence[str], order: Sequence[OrderItem], name: str = "rank",
-              slices: int | None = None) -> DataFrame:
+def rank_rows(df: DataFrame, by: Sequence[str], order: Sequence[OrderItem], name: str = "rank") -> DataFrame:
     """Row number 1..n per group along a unique order, for groups of any size."""
-    return running_sums(df, by, order, {name: F.lit(1).cast("bigint")}, slices=slices)
+    return running_sums(df, by, order, {name: F.lit(1).cast("bigint")})
 
 
 def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[OrderItem], n: int,
@@ -204,11 +197,11 @@ def consecutive(df: DataFrame, by: Sequence[str], order: Sequence[OrderItem],
                 value: str) -> DataFrame:
     """Consecutive pairs (by..., pos, a, b) of ``value`` along a unique order in each group.
 
-    While groups are small the next value is read in the window that numbers the rows. A group beyond
-    that is numbered in slices, and neighbours meet by position.
+    In small inputs the next value is read in the window that numbers the rows. Others are numbered in slices,
+    and neighbours meet by position.
     """
     by = list(by)
-    if largest_group(df, by) <= MAX_GROUP_ROWS:
+    if is_small(df):
         w = Window.partitionBy(*by).orderBy(*sort_columns(df, order))
         both = df.select(*by, F.row_number().over(w).cast("bigint").alias("pos"), F.col(value).alias("a"), F.lead(value).over(w).alias("b"))
         return both.where(F.col("a").isNotNull() & F.col("b").isNotNull())

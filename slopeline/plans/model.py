@@ -7,13 +7,14 @@ training median and adds a 0/1 flag per feature.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopeline.functions.scoring import calibrate, contribution_records, top_factors
@@ -143,13 +144,29 @@ def fit_calibration(scored: DataFrame, label: str = "label", score: str = "raw_p
     return [float(v) for v in fitted.boundaries.toArray()], [float(v) for v in fitted.predictions.toArray()]
 
 
-def score(model: PipelineModel, df: DataFrame, features: Sequence[str],
+@dataclass(frozen=True)
+class FrozenLogistic:
+    """A released logistic model as its numbers: the weight of each feature, what stands for an unknown one,
+    and the intercept. Scoring it is one column expression."""
+
+    weights: dict[str, float]
+    fills: dict[str, float]
+    intercept: float = 0.0
+
+    def probability(self) -> Column:
+        terms = [F.coalesce(F.col(c), F.lit(self.fills[c])) * F.lit(w) for c, w in self.weights.items()]
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-sum(terms, F.lit(self.intercept))))
+
+
+def score(model: PipelineModel | FrozenLogistic, df: DataFrame, features: Sequence[str],
           calibration: tuple[Sequence[float], Sequence[float]] | None = None) -> DataFrame:
     """raw and calibrated probability of the positive class for every row."""
     keep = [c for c in df.columns]
-    out = model.transform(numeric_inputs(df, features))
-    raw = vector_to_array("probability")[1]
-    out = out.select(*keep, raw.alias("raw_probability"))
+    inputs = numeric_inputs(df, features)
+    if isinstance(model, FrozenLogistic):
+        out = inputs.select(*keep, model.probability().alias("raw_probability"))
+    else:
+        out = model.transform(inputs).select(*keep, vector_to_array("probability")[1].alias("raw_probability"))
     p = F.col("raw_probability") if calibration is None else calibrate(F.col("raw_probability"), *calibration)
     return out.withColumn("calibrated_probability", p)
 

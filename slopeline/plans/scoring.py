@@ -13,8 +13,10 @@ from slopeline.functions import validate as va
 from slopeline.functions.season import seasonal_features
 from slopeline.operators.alerts import ALERT_SHARE, window_top_k, with_high_floor
 from slopeline.operators.ordered import one_per_group, rank_rows
-from slopeline.plans.model import score
+from slopeline.operators.windows import LOOKBACK_DAYS, trailing_features
+from slopeline.plans.model import FrozenLogistic, score
 from slopeline.schema import nan_to_null
+from slopeline.session import durable
 
 
 def validate_inputs(df: DataFrame, ignore: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +49,7 @@ def score_table(model: PipelineModel, df: DataFrame, features: Sequence[str], *,
     return out.withColumn("risk_level", sc.risk_band(p)).withColumn("operating_decision", sc.decision(p, threshold))
 
 
-def risk_feed(segments: DataFrame, model: PipelineModel, features: Sequence[str], *, ignore: Sequence[str],
+def risk_feed(segments: DataFrame, model: PipelineModel | FrozenLogistic, features: Sequence[str], *, ignore: Sequence[str],
               window: Sequence[str] = (), share: float = ALERT_SHARE, calibration=None,
               profile: dict[str, tuple[float | None, float | None]] | None = None, key: str = "osm_id",
               observed: str | None = None) -> DataFrame:
@@ -56,14 +58,19 @@ def risk_feed(segments: DataFrame, model: PipelineModel, features: Sequence[str]
     Invalid segments are left out, as the feed skips them. NaN inputs are unknown. ``observed``: the column
     of the newest observation's time, from which the freshness follows; unknown without it.
     feed_position counts from 1 by falling probability, unknown ones last.
+
+    The checked rows and the scores are written: the rule expressions would otherwise ride through every join
+    and window above them, and the model would run once for each ranking.
     """
-    valid, _ = validate_inputs(nan_to_null(segments), [*ignore, *([observed] if observed else [])])
+    known = nan_to_null(segments)
+    errors = va.scoring_errors(known, [*ignore, *([observed] if observed else [])])
+    valid = durable(known.withColumn("_errors", errors)).where(F.size("_errors") == 0).drop("_errors")
     ready = derive_inputs(valid)
     seen = F.col(observed).cast("timestamp_ntz") if observed else F.lit(None).cast("timestamp_ntz")
     flagged = quality_flags(ready, profile or {}, F.col("prediction_time").cast("timestamp_ntz"), seen)
     scored = score(model, flagged, features, calibration).withColumn(
         "disruption_probability", F.round("calibrated_probability", 4))
-    banded = scored.withColumn("risk_level", sc.risk_band(F.col("calibrated_probability")))
+    banded = durable(scored.withColumn("risk_level", sc.risk_band(F.col("calibrated_probability"))))
     alerted = window_top_k(banded, window, "disruption_probability", key, share)
     return rank_rows(with_high_floor(alerted).drop("alert"), [], [("disruption_probability", False), key], "feed_position")
 
@@ -71,3 +78,20 @@ def risk_feed(segments: DataFrame, model: PipelineModel, features: Sequence[str]
 def representative_segments(dataset: DataFrame, corridor: str = "ref", road: str = "osm_id") -> DataFrame:
     """One road per corridor: the lowest id."""
     return one_per_group(dataset.select(corridor, road).distinct(), [corridor], [road])
+
+
+def feed_inputs(dataset: DataFrame, roads: DataFrame, daily: DataFrame, *, corridor: str = "ref", road: str = "osm_id",
+                place: str = "state") -> DataFrame:
+    """The rows of an emission: one road per corridor of the dataset with its attributes, and the rainfall of its
+    place (``daily``: key, d, v) in the windows before the newest day, which is the prediction time.
+
+    observed_at is the last day before that with a reading. A place without readings has unknown rainfall.
+    """
+    newest = daily.agg(F.max("d").alias("_newest"))
+    # one row
+    near = daily.join(F.broadcast(newest), F.col("d").between(F.date_sub("_newest", LOOKBACK_DAYS), F.date_sub("_newest", 1)))
+    places = roads.join(representative_segments(dataset, corridor, road), [corridor, road]).select(*roads.columns)
+    at = places.select(F.col(place).alias("key")).distinct().join(F.broadcast(newest)).withColumnRenamed("_newest", "prediction_time")
+    rain = trailing_features(near.select("key", "d", "v"), at, anchor="prediction_time").withColumnRenamed("key", place)
+    last = near.where(F.col("v").isNotNull()).groupBy(F.col("key").alias(place)).agg(F.max("d").alias("observed_at"))
+    return places.join(rain, place, "left").join(last, place, "left")

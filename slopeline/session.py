@@ -65,16 +65,14 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
-def files_within(df: DataFrame, most_bytes: int, most_files: int = 64) -> bool:
-    """Whether ``df`` reads files only, few and together no longer than ``most_bytes``; runs no job."""
-    sc, files = df.sparkSession.sparkContext, df.inputFiles()
-    if not 0 < len(files) <= most_files:
-        return False
-    total = 0
-    for name in files:
-        path = sc._jvm.org.apache.hadoop.fs.Path(name)
-        total += path.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
-    return total <= most_bytes
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables below ``df``, as the leaves of its analysed plan give them.
+
+    Nothing is optimised and no job or file is opened, so the depth of the plan costs nothing. A leaf of
+    unknown size counts as very large.
+    """
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def discard(*tables: DataFrame | None) -> None:

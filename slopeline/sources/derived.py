@@ -37,6 +37,12 @@ def daily_big(t) -> DataFrame:
             .agg(F.when(F.max("l_quantity") < 50, F.sum("l_quantity")).alias("v")))
 
 
+def state_rain(t) -> DataFrame:
+    """Daily series per state, without error readings."""
+    return (t.events.groupBy(F.concat(F.lit("S"), (F.col("user_id") % 8).cast("string")).alias("key"), _as_date("ts").alias("d"))
+            .agg(F.round(F.sum(F.when(F.col("event_type") != "error", F.col("value"))), 6).alias("v")))
+
+
 def anchor_days(t) -> DataFrame:
     """Every third day of January 2024."""
     days = F.expr("sequence(date'2024-01-04', date'2024-01-28', interval 3 days)")

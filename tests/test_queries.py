@@ -2,6 +2,7 @@
 
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import oracle
@@ -9,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entrypoint
 from slopeline.catalog import QUERIES, run
+from slopeline.operators import ordered
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -41,15 +43,36 @@ def test_no_python_no_cross_join(spark, small, name):
         assert word not in text
 
 
+@pytest.mark.parametrize("name", ["e11_window_top_k", "e16_split_by_events", "c3_asof_backward", "c5_d1_horizon_labels", "e15_percentile_score",
+                                  "e24_consecutive_nodes", "d19_d20_auc_average_precision", "d11_feature_profile"])
+def test_twin_with_sliced_groups(spark, small, monkeypatch, name):
+    for setting, value in (("SMALL_BYTES", -1), ("PICK_ONE_IN", 3), ("PICKS_PER_SLICE", 4)):
+        monkeypatch.setattr(ordered, setting, value)
+    assert oracle.compare(name, spark, small) == []
+
+
+def test_the_risk_feed_is_planned_at_once(spark, small):
+    """Rules do not ride through the joins and windows above them."""
+    from slopeline.catalog.learning import BOOKKEEPING, RELEASED, derived, scoring
+    from slopeline.catalog.registry import Tables
+    begun = time.monotonic()
+    feed = scoring.risk_feed(derived.risk_input(Tables(spark, small)), RELEASED, list(RELEASED.weights), ignore=BOOKKEEPING, window=["ref"], key="o_orderkey")
+    plan(feed)
+    assert time.monotonic() - begun < 20
+
+
 def test_filters_reach_the_scan(spark, small):
     text = plan(run("a1_a2_pruned_scan", spark, small))
     assert "PushedFilters: [" in text and "EqualTo(o_orderpriority,1-URGENT)" in text
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double,o_orderpriority:string>" in text
 
 
+@pytest.mark.parametrize("small_bytes", [1 << 40, -1])
 @pytest.mark.parametrize("name", ["flagship_rain_by_label", "c3_asof_backward", "c5_d1_horizon_labels", "e6_c3_asof_keep_last_ties",
-                                  "e11_window_top_k", "d11_feature_profile", "e24_consecutive_nodes"])
-def test_building_a_query_on_small_files_starts_no_job(spark, small, name):
+                                  "e11_window_top_k", "e15_percentile_score", "d11_feature_profile", "e24_consecutive_nodes", "f3_feed_order"])
+def test_building_a_query_starts_no_job(spark, small, monkeypatch, name, small_bytes):
+    """Neither for tables that get plain windows nor for those whose groups are cut."""
+    monkeypatch.setattr(ordered, "SMALL_BYTES", small_bytes)
     sc = spark.sparkContext
     sc.setJobGroup(f"build {name}", name)
     try:

@@ -93,11 +93,18 @@ def test_labels_type_filter(spark):
     assert (out.label, out.matching_event_count) == (1, 1)
 
 
-@pytest.mark.parametrize("seconds,limit", [(36_000, None), (None, None), (None, 0)])
-def test_labels_small_slices_match_pairs(spark, monkeypatch, seconds, limit):
-    if limit is not None:
-        monkeypatch.setattr(ordered, "MAX_GROUP_ROWS", limit)
-        monkeypatch.setattr(ordered, "MAX_SLICES", 6)
+def small_slices(monkeypatch, rows):
+    """Cut groups into slices of about so many rows, however small the input; None keeps plain windows."""
+    monkeypatch.setattr(ordered, "SMALL_BYTES", (1 << 70) if rows is None else -1)
+    if rows:
+        monkeypatch.setattr(ordered, "PICK_ONE_IN", 2)
+        monkeypatch.setattr(ordered, "PICKS_PER_SLICE", max(1, rows // 2))
+        monkeypatch.setattr(ordered, "STRETCH", 3)
+
+
+@pytest.mark.parametrize("seconds,rows", [(36_000, None), (None, None), (None, 20), (None, 0)])
+def test_labels_small_slices_match_pairs(spark, monkeypatch, seconds, rows):
+    small_slices(monkeypatch, rows)
     rng = np.random.default_rng(3)
     base = dt.datetime(2024, 1, 1)
     ev = [(i, base + dt.timedelta(minutes=int(rng.integers(0, 40000))), 0 if rng.random() < 0.5 else int(rng.integers(1, 5)))
@@ -114,10 +121,9 @@ def test_labels_small_slices_match_pairs(spark, monkeypatch, seconds, limit):
 
 
 @pytest.mark.parametrize("direction", ["backward", "forward"])
-@pytest.mark.parametrize("seconds,limit", [(24 * 3600, None), (None, None), (None, 0)])
-def test_asof_matches_merge_asof(spark, monkeypatch, direction, seconds, limit):
-    if limit is not None:
-        monkeypatch.setattr(ordered, "MAX_GROUP_ROWS", limit)
+@pytest.mark.parametrize("seconds,rows", [(24 * 3600, None), (None, None), (None, 12), (None, 0)])
+def test_asof_matches_merge_asof(spark, monkeypatch, direction, seconds, rows):
+    small_slices(monkeypatch, rows)
     rng = np.random.default_rng(11)
     base = pd.Timestamp("2024-01-01")
     obs = pd.DataFrame({"key": rng.integers(0, 3, 120), "t": base + pd.to_timedelta(rng.integers(0, 2000, 120), "h")})
@@ -175,19 +181,22 @@ def test_event_split_expands_validation(spark):
         splits.split_by_events(flat, 1, 1)
 
 
-@pytest.mark.parametrize("slices", [None, 1, 7])
-def test_running_sums_any_slicing(spark, slices):
+@pytest.mark.parametrize("size", [None, 0, 2, 60])
+def test_running_sums_any_slicing(spark, monkeypatch, size):
+    small_slices(monkeypatch, size)
     rng = np.random.default_rng(2)
     rows = [("hot" if rng.random() < 0.6 else str(rng.integers(0, 4)), float(rng.integers(0, 30)), i) for i in range(900)]
     df = spark.createDataFrame(rows, "g string, s double, id long")
-    out = ordered.rank_rows(df, ["g"], [("s", False), "id"], "rk", slices=slices).collect()
+    out = ordered.rank_rows(df, ["g"], [("s", False), "id"], "rk").collect()
     want = {}
     for g in {r[0] for r in rows}:
         for k, r in enumerate(sorted((x for x in rows if x[0] == g), key=lambda x: (-x[1], x[2])), 1):
             want[r[2]] = k
     assert {r.id: r.rk for r in out} == want
-    cuts = ordered.with_slices(df, [("s", False), "id"], 7).select("_slice").distinct().count()
-    assert cuts == 7
+    if size:
+        per = {r.g: (r.n, r.most) for r in ordered.with_slices(df, ["g"], [("s", False), "id"]).groupBy("g", "_slice").count().groupBy("g").agg(
+            F.count("*").alias("n"), F.max("count").alias("most")).collect()}
+        assert per["hot"][0] > 500 / (3 * size) and per["hot"][1] < 12 * size
 
 
 def test_exact_quantiles(spark):
@@ -201,7 +210,7 @@ def test_exact_quantiles(spark):
 
 
 def test_consecutive_forced_slices(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "MAX_GROUP_ROWS", 0)
+    small_slices(monkeypatch, 30)
     df = spark.createDataFrame([(1, i, 100 + i) for i in range(700)], "w long, i long, n long")
     out = ordered.consecutive(df, ["w"], ["i"], "n")
     assert sorted((r.pos, r.a, r.b) for r in out.collect()) == [(i + 1, 100 + i, 101 + i) for i in range(699)]
@@ -209,7 +218,7 @@ def test_consecutive_forced_slices(spark, monkeypatch):
 
 @pytest.mark.parametrize("asc", [True, False])
 @pytest.mark.parametrize("kind", ["double", "bigint", "string", "timestamp"])
-def test_unknown_keys_rank_last_in_both_plans(spark, kind, asc):
+def test_unknown_keys_rank_last_in_both_plans(spark, monkeypatch, kind, asc):
     rng = np.random.default_rng(6)
     base = dt.datetime(2024, 1, 1)
     make = {"double": float, "bigint": lambda x: (1 << 53) + x, "string": lambda x: f"{x:02d}", "timestamp": lambda x: base + dt.timedelta(hours=x)}[kind]
@@ -219,8 +228,9 @@ def test_unknown_keys_rank_last_in_both_plans(spark, kind, asc):
     known = sorted((r for r in rows if not unknown(r[1])), key=lambda r: r[0])
     known = sorted(known, key=lambda r: r[1], reverse=not asc)
     want = [i for i, _ in [*known, *(r for r in rows if unknown(r[1]))]]
-    for slices in (None, 9):
-        out = ordered.rank_rows(df, [], [("s", asc), "id"], "rk", slices=slices).collect()
+    for rows in (None, 40):
+        small_slices(monkeypatch, rows)
+        out = ordered.rank_rows(df, [], [("s", asc), "id"], "rk").collect()
         assert [r.id for r in sorted(out, key=lambda r: r.rk)] == want
     best = ordered.one_per_group(df.withColumn("g", F.lit(1)), ["g"], [("s", asc), "id"]).first()
     assert best.id == want[0]
@@ -240,8 +250,9 @@ def test_both_plans_agree_on_null_keys_and_times(spark, monkeypatch):
         labels = intervals.label_samples(s_, o, segment="k", prediction="p", event_segment="k", event_time="t")
         return [sorted(map(str, df.collect())) for df in (*joined, labels, alerts.window_top_k(alerts_in, ["w"]))]
 
+    small_slices(monkeypatch, None)
     whole = answers()
-    monkeypatch.setattr(ordered, "MAX_GROUP_ROWS", 0)
+    small_slices(monkeypatch, 16)
     assert answers() == whole
     assert len(whole[2]) == len({(k, p) for k, p, _ in samples})
     matched = {r.i: r.v for r in asof.asof_join(s_, o, key="k", cols=["v"]).collect()}
