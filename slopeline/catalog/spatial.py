@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slopeline.catalog.registry import query
 from slopeline.catalog.scalars import TM_SQL
 from slopeline.functions import scoring as sc
-from slopeline.operators import raster, spatial
+from slopeline.operators import polygons, raster, spatial
 from slopeline.operators.ordered import rank_rows
 from slopeline.sources import derived
 
@@ -74,37 +74,46 @@ def mosaic(t):
     return raster.mosaic(derived.dem(t), "layer")
 
 
-@query("c11_e7_road_district_overlap", views="polyline_seg district", sql=f"""
+@query("c11_e7_road_district_overlap", views="polyline_seg district_edge", sql=f"""
   WITH tm_in AS (SELECT osm_id AS id, i, k, CASE k WHEN 1 THEN x1 ELSE x2 END AS lon, CASE k WHEN 1 THEN y1 ELSE y2 END
       AS lat, 93e0 AS meridian FROM polyline_seg, (VALUES (1), (2)) v(k)
-    UNION ALL SELECT -1 - district_id, c, 0, CASE WHEN c IN (1, 4) THEN x0 ELSE x1 END,
-      CASE WHEN c IN (1, 2) THEN y0 ELSE y1 END, 93e0 FROM district, (VALUES (1), (2), (3), (4)) v(c)), {TM_SQL},
-  seg AS (SELECT a.id AS osm_id, a.i, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy,
-      sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS len, least(a.lon, b.lon) AS lo, greatest(a.lon, b.lon) AS hi,
-      least(a.lat, b.lat) AS la, greatest(a.lat, b.lat) AS ha
-    FROM tm a JOIN tm b ON a.id = b.id AND a.i = b.i AND a.k = 1 AND b.k = 2 WHERE a.id >= 0),
-  edge AS (SELECT -1 - a.id AS district_id, a.x AS px, a.y AS py, b.x - a.x AS ex, b.y - a.y AS ey
-    FROM tm a JOIN tm b ON a.id = b.id AND b.i = a.i % 4 + 1 WHERE a.id < 0),
-  cand AS (SELECT s.*, d.district_id FROM seg s JOIN district d ON s.lo <= d.x1 AND s.hi >= d.x0 AND s.la <= d.y1
-    AND s.ha >= d.y0),
-  cut AS (SELECT c.osm_id, c.i, c.district_id, any_value(c.len) AS len,
-      greatest(0, coalesce(max(CASE WHEN ex * dy - ey * dx > 0 THEN (ey * (ax - px) - ex * (ay - py)) / (ex * dy - ey * dx)
-        END), 0)) AS t0,
-      least(1, coalesce(min(CASE WHEN ex * dy - ey * dx < 0 THEN (ey * (ax - px) - ex * (ay - py)) / (ex * dy - ey * dx)
-        END), 1)) AS t1,
-      bool_or(ex * dy - ey * dx = 0 AND ex * (ay - py) - ey * (ax - px) < 0) AS outside
-    FROM cand c JOIN edge e USING (district_id) GROUP BY 1, 2, 3),
-  per AS (SELECT osm_id, district_id, sum(CASE WHEN t1 > t0 AND NOT outside THEN (t1 - t0) * len END) AS inside
-    FROM cut GROUP BY 1, 2 HAVING inside > 0),
-  best AS (SELECT *, row_number() OVER (PARTITION BY osm_id ORDER BY inside DESC, district_id) AS rk,
+    UNION ALL SELECT -1 - district_id, e, k, CASE k WHEN 1 THEN lon1 ELSE lon2 END, CASE k WHEN 1 THEN lat1 ELSE lat2 END, 93e0
+      FROM district_edge, (VALUES (1), (2)) v(k)), {TM_SQL},
+  seg AS (SELECT a.id, a.i, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, a.lon AS alon, a.lat AS alat, b.lon AS blon, b.lat AS blat,
+      sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS len
+    FROM tm a JOIN tm b ON a.id = b.id AND a.i = b.i AND a.k = 1 AND b.k = 2),
+  edge AS (SELECT CAST(-1 - id AS INT) AS district_id, ax AS px, ay AS py, bx AS qx, by_ AS qy, alon AS plon, alat AS plat, blon AS qlon, blat AS qlat FROM seg WHERE id < 0),
+  near AS (SELECT s.*, e.* FROM seg s JOIN edge e ON s.id >= 0 AND s.alon >= 88 - 1 AND e.district_id IN (
+      SELECT district_id FROM edge GROUP BY 1 HAVING min(plon) - 0.05 <= greatest(alon, blon) AND max(plon) + 0.05 >= least(alon, blon)
+        AND min(plat) - 0.05 <= greatest(alat, blat) AND max(plat) + 0.05 >= least(alat, blat))),
+  turns AS (SELECT *, sign((qlon - plon) * (alat - plat) - (qlat - plat) * (alon - plon)) AS a1, sign((qlon - plon) * (blat - plat) - (qlat - plat) * (blon - plon)) AS b1,
+      sign((blon - alon) * (plat - alat) - (blat - alat) * (plon - alon)) AS p1, sign((blon - alon) * (qlat - alat) - (blat - alat) * (qlon - alon)) AS q1 FROM near),
+  touch AS (SELECT id, district_id, bool_or(a1 * b1 <= 0 AND p1 * q1 <= 0 AND least(plon, qlon) <= greatest(alon, blon) AND least(alon, blon) <= greatest(plon, qlon)
+      AND least(plat, qlat) <= greatest(alat, blat) AND least(alat, blat) <= greatest(plat, qlat))
+      OR count(*) FILTER (i = 1 AND (plat <= alat) <> (qlat <= alat) AND plon + (alat - plat) / (qlat - plat) * (qlon - plon) > alon) % 2 = 1 AS meets
+    FROM turns GROUP BY 1, 2),
+  cuts AS (SELECT id, i, district_id, ((px - ax) * (qy - py) - (py - ay) * (qx - px)) / ((bx - ax) * (qy - py) - (by_ - ay) * (qx - px)) AS t,
+      ((px - ax) * (by_ - ay) - (py - ay) * (bx - ax)) / ((bx - ax) * (qy - py) - (by_ - ay) * (qx - px)) AS u
+    FROM near WHERE (bx - ax) * (qy - py) - (by_ - ay) * (qx - px) <> 0),
+  stops AS (SELECT DISTINCT id, i, district_id, t FROM (
+      SELECT id, i, district_id, t FROM cuts WHERE t > 0 AND t < 1 AND u BETWEEN 0 AND 1
+      UNION ALL SELECT DISTINCT id, i, district_id, unnest([0e0, 1e0]) FROM near)),
+  part AS (SELECT *, lead(t) OVER (PARTITION BY id, i, district_id ORDER BY t) AS t2 FROM stops),
+  middle AS (SELECT p.id, p.i, p.district_id, t, t2, len, ax + (t + t2) / 2 * (bx - ax) AS mx, ay + (t + t2) / 2 * (by_ - ay) AS my
+    FROM part p JOIN seg s ON s.id = p.id AND s.i = p.i WHERE t2 IS NOT NULL),
+  inner_ AS (SELECT m.id, m.i, m.district_id, t, any_value((t2 - t) * len) AS part_m FROM middle m JOIN edge e ON e.district_id = m.district_id
+    WHERE (py <= my) <> (qy <= my) AND px + (my - py) / (qy - py) * (qx - px) > mx GROUP BY 1, 2, 3, 4 HAVING count(*) % 2 = 1),
+  per AS (SELECT t.id AS osm_id, t.district_id, coalesce(sum(part_m), 0) AS inside FROM touch t LEFT JOIN inner_ n ON n.id = t.id AND n.district_id = t.district_id
+    WHERE meets GROUP BY 1, 2),
+  best AS (SELECT *, row_number() OVER (PARTITION BY osm_id ORDER BY round(inside, 6) DESC, district_id) AS rk,
       count(*) OVER (PARTITION BY osm_id) AS n FROM per),
-  tot AS (SELECT osm_id, sum(len) AS total FROM seg GROUP BY 1)
+  tot AS (SELECT id AS osm_id, sum(len) AS total FROM seg WHERE id >= 0 GROUP BY 1)
   SELECT t.osm_id, b.district_id, round(coalesce(inside, 0), 3) AS intersection_length_m,
-    round(coalesce(least(inside / total, 1), 0), 6) AS coverage_ratio,
+    round(coalesce(least(coalesce(inside, 0) / total, 1), 0), 6) AS coverage_ratio,
     CASE WHEN n IS NULL THEN 'unmatched' WHEN n > 1 THEN 'boundary_resolved' ELSE 'single' END AS district_match_type
   FROM tot t LEFT JOIN best b ON b.osm_id = t.osm_id AND rk = 1""")
 def district_overlap(t):
-    out = spatial.assign_districts(derived.polyline(t).select("osm_id", "coords"), derived.district(t), meridian=93.0)
+    out = polygons.assign_districts(derived.polyline(t).select("osm_id", "coords"), derived.district_shapes(t), meridian=93.0)
     return out.withColumn("intersection_length_m", F.round("intersection_length_m", 3)).withColumn(
         "coverage_ratio", F.round("coverage_ratio", 6))
 

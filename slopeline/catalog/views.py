@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+from slopeline.sources.derived import SHAPES
+
+
+def shape_edges() -> str:
+    """The edges of the district shapes as rows of a VALUES list."""
+    rows = [(k, *a, *b) for k, rings in enumerate(SHAPES) for r in rings for a, b in zip(r, [*r[1:], r[0]], strict=True)]
+    return ", ".join(f"({k}, {', '.join(f'{v!r}::DOUBLE' for v in values)})" for k, *values in rows)
+
+
 # name -> (views it reads, SQL)
 VIEWS: dict[str, tuple[str, str]] = {
     "daily_obs": ("", """
@@ -60,6 +69,11 @@ VIEWS: dict[str, tuple[str, str]] = {
                88e0 + (n_nationkey % 5) * 2e0 + 2e0 AS x1,
                22e0 + (n_nationkey // 5) * 16e-1 + 16e-1 AS y1
         FROM nation JOIN region ON n_regionkey = r_regionkey"""),
+    "district_edge": ("", f"""
+        SELECT n_nationkey AS district_id, row_number() OVER () AS e,
+               88e0 + (n_nationkey % 5) * 2e0 + ax AS lon1, 22e0 + (n_nationkey // 5) * 16e-1 + ay AS lat1,
+               88e0 + (n_nationkey % 5) * 2e0 + bx AS lon2, 22e0 + (n_nationkey // 5) * 16e-1 + by_ AS lat2
+        FROM nation JOIN (VALUES {shape_edges()}) s(kind, ax, ay, bx, by_) ON kind = n_nationkey % 4"""),
     "dem": ("", """
         SELECT o_orderkey // 4000 AS layer, (o_orderkey % 4000) // 100 AS row,
                o_orderkey % 100 AS col,

@@ -30,47 +30,6 @@ def first_common_cell(xmin_a: Column, ymin_a: Column, xmin_b: Column, ymin_b: Co
             & (F.col("_cy") == F.floor(F.greatest(ymin_a, ymin_b) / size)))
 
 
-def assign_districts(roads: DataFrame, districts: DataFrame, *, meridian: float, cell_degrees: float = 0.25,
-                     road: str = "osm_id", district: str = "district_id") -> DataFrame:
-    """District holding the longest part of each road, with its length and share.
-
-    Single road segments, not whole roads, are matched to district cells, so long roads and big
-    districts cost only the cells they touch. Lengths are of the projected geometry.
-    """
-    seg = roads.select(road, F.posexplode(geo.pairs(F.col("coords"))).alias("_i", "_s"))
-    a, b = F.col("_s.a"), F.col("_s.b")
-    seg = seg.select(road, "_i", a.alias("_a"), b.alias("_b"),
-                     geo.project(a["lon"], a["lat"], meridian).alias("_pa"),
-                     geo.project(b["lon"], b["lat"], meridian).alias("_pb"))
-    length = F.hypot(F.col("_pb.x") - F.col("_pa.x"), F.col("_pb.y") - F.col("_pa.y"))
-    seg = seg.withColumn("_len", length)
-    seg_cells = box_cells(seg, F.least("_a.lon", "_b.lon"), F.least("_a.lat", "_b.lat"),
-                          F.greatest("_a.lon", "_b.lon"), F.greatest("_a.lat", "_b.lat"), cell_degrees)
-    ring = F.col("ring")
-    dist = districts.select(
-        district, ring, geo.project_line(ring, meridian).alias("_ring"),
-        F.array_min(ring["lon"]).alias("_x0"), F.array_max(ring["lon"]).alias("_x1"),
-        F.array_min(ring["lat"]).alias("_y0"), F.array_max(ring["lat"]).alias("_y1"))
-    dist_cells = box_cells(dist, F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), cell_degrees)
-    once = seg_cells.join(dist_cells.drop("ring", "_x1", "_y1"), ["_cx", "_cy"]).where(first_common_cell(
-        F.least("_a.lon", "_b.lon"), F.least("_a.lat", "_b.lat"), F.col("_x0"), F.col("_y0"), cell_degrees))
-    inside = geo.overlap_share(F.col("_pa"), F.col("_pb"), F.col("_ring")) * F.col("_len")
-    per = (once.select(road, district, inside.alias("_in")).groupBy(road, district)
-           .agg(F.sum("_in").alias("length"), F.count(F.when(F.col("_in") > 0, 1)).alias("_touch"))
-           .where("_touch > 0"))
-    best = per.groupBy(road).agg(
-        F.max_by(F.struct("length", district), F.struct("length", -F.col(district))).alias("b"),
-        F.count(F.lit(1)).alias("_n"))
-    total = roads.select(road, geo.line_metres(geo.project_line(F.col("coords"), meridian)).alias("_total"))
-    out = total.join(best, road, "left")
-    share = F.least(F.greatest(F.col("b.length") / F.col("_total"), F.lit(0.0)), F.lit(1.0))
-    return out.select(
-        road, F.col(f"b.{district}").alias(district), F.coalesce("b.length", F.lit(0.0)).alias("intersection_length_m"),
-        F.coalesce(share, F.lit(0.0)).alias("coverage_ratio"),
-        F.when(F.col("_n").isNull(), "unmatched").when(F.col("_n") > 1, "boundary_resolved").otherwise("single")
-        .alias("district_match_type"))
-
-
 def distance_to(roads: DataFrame, lon: float, lat: float, name: str = "distance_m") -> DataFrame:
     """Metric distance of every road to one point, in the UTM zone of the point."""
     zone = min(max(int((lon + 180) // 6) + 1, 1), 60)
