@@ -154,9 +154,8 @@ EVENT_DIST = f"""
   SELECT event_id, osm_id, CAST(rk AS INT) AS rank, round(m, 3) AS distance_m, m <= 5000 AS within_search_radius
   FROM r WHERE rk <= 10""")
 def nearest_events(t):
-    out = spatial.nearest_per_event(derived.hazard(t), derived.polyline(t), n=10)
-    return out.select("event_id", "osm_id", "rank", F.round("distance_m", 3).alias("distance_m"),
-                      (F.col("distance_m") <= 5000).alias("within_search_radius"))
+    out = spatial.nearest_per_event(derived.hazard(t), derived.polyline(t), n=10, radius_m=5000.0)
+    return out.select("event_id", "osm_id", "rank", F.round("distance_m", 3).alias("distance_m"), "within_search_radius")
 
 
 @query("c13_f2_nearest_by_ref", views="polyline_seg segment", sql="""

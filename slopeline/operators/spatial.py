@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopeline.functions import geo
@@ -24,12 +25,6 @@ def box_cells(df: DataFrame, xmin: Column, ymin: Column, xmax: Column, ymax: Col
             .withColumn("_cy", F.explode(_cells(ymin, ymax, size))))
 
 
-def first_common_cell(xmin_a: Column, ymin_a: Column, xmin_b: Column, ymin_b: Column, size: float) -> Column:
-    """True in the lowest cell two boxes share: keeps each joined pair once, without a shuffle."""
-    return ((F.col("_cx") == F.floor(F.greatest(xmin_a, xmin_b) / size))
-            & (F.col("_cy") == F.floor(F.greatest(ymin_a, ymin_b) / size)))
-
-
 def distance_to(roads: DataFrame, lon: float, lat: float, name: str = "distance_m") -> DataFrame:
     """Metric distance of every road to one point, in the UTM zone of the point."""
     zone = min(max(int((lon + 180) // 6) + 1, 1), 60)
@@ -52,62 +47,101 @@ def event_road_distance(event_lon: Column, event_lat: Column, coords: Column) ->
     return geo.point_line(p["x"], p["y"], geo.project_line(coords, meridian))
 
 
-def nearest_per_event(events: DataFrame, roads: DataFrame, n: int = 50, *, event: str = "event_id",
-                      road: str = "osm_id", max_rounds: int = 12) -> DataFrame:
-    """Exact n nearest roads of every event, without pairing every event with every road.
+# Least and greatest radius of curvature of the ellipsoid, and the least scale of the projection.
+LEAST_RADIUS, GREATEST_RADIUS, LEAST_SCALE = 6_335_439.0, 6_399_594.0, 0.9996
+# Bounds of that scale up to so many degrees from the central meridian.
+SCALES = ((12.0, 1.03), (25.0, 1.1))
+# Cells of one level in a row of the next one are 2 to this power.
+LEVEL_BITS = 2
+
+
+def _cell_bounds(size: str) -> tuple[Column, Column]:
+    """Least and greatest projected distance from (_ex, _ey) to points of the cell (_cx, _cy).
 
-    Each round joins events to the roads in the 3 x 3 cells around them; the first cell size follows
-    the road density. An event is finished when n roads lie within the distance that the neighbourhood
-    fully covers; the others go on with cells of twice the size. The loop ends when the cells exceed
-    the extent of the data, where the neighbourhood is everything.
+    Haversines with the least and greatest differences and the narrowest and widest parallel of the cell, on
+    spheres inside and around the ellipsoid. Far from the event's zone there is no upper bound.
+    """
+    x0, y0 = f"(_cx * {size})", f"(_cy * {size})"
+    x1, y1 = f"((_cx + 1) * {size})", f"((_cy + 1) * {size})"
+    high, low = f"least(90D, greatest(abs({y0}), abs({y1})))", f"CASE WHEN {y0} <= 0 AND {y1} >= 0 THEN 0D ELSE least(90D, abs({y0}), abs({y1})) END"
+
+    def across(dy: str, dx: str, parallel: str) -> str:
+        return (f"2 * asin(sqrt(least(1D, pow(sin(radians({dy}) / 2), 2) + cos(radians(_ey)) * cos(radians({parallel}))"
+                f" * pow(sin(radians(least(180D, {dx})) / 2), 2))))")
+
+    near = across(f"greatest(0D, {y0} - _ey, _ey - {y1})", f"greatest(0D, {x0} - _ex, _ex - {x1})", high)
+    wide = f"greatest(abs({x0} - _ex), abs({x1} - _ex))"
+    far = across(f"least(180D, greatest(abs({y0} - _ey), abs({y1} - _ey)))", wide, low)
+    # an event lies within three degrees of its central meridian
+    scale = " ".join(f"WHEN {wide} <= {d - 3} THEN {k}D" for d, k in SCALES)
+    return F.expr(f"{LEAST_SCALE * LEAST_RADIUS}D * {near}"), F.expr(f"CASE {scale} END * {GREATEST_RADIUS}D * {far}")
+
+
+def _within_reach(pairs: DataFrame, event: str, n: int, size: float) -> DataFrame:
+    """Only the cells that can hold one of the n nearest roads: those no farther than the nearest cells whose
+    own roads are n."""
+    near, far = _cell_bounds(f"{size!r}D")
+    # what the level above gave as reach holds here too
+    known = pairs.withColumn("_near", near).where("_reach IS NULL OR _near <= _reach").withColumn("_far", far).drop("_reach")
+    order = Window.partitionBy(event).orderBy(F.col("_far").asc_nulls_last(), "_cx", "_cy")
+    run = F.sum("_own").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    reach = F.min(F.when(F.col("_run") >= n, F.col("_far"))).over(Window.partitionBy(event))
+    return known.withColumn("_run", run).withColumn("_reach", reach).where("_reach IS NULL OR _near <= _reach").drop("_near", "_far", "_run", "_own")
+
+
+def nearest_per_event(events: DataFrame, roads: DataFrame, n: int = 50, *, event: str = "event_id",
+                      road: str = "osm_id", radius_m: float = 2000.0) -> DataFrame:
+    """Exact n nearest roads of every event (all, if fewer), with rank, distance_m and within_search_radius; the
+    radius does not filter, and equal distances go by the road's id.
+
+    Segments are dealt to cells of a size that follows the roads' density, once; coarser cells come from those by
+    dividing their numbers. Every event goes down the levels and keeps the occupied cells whose least distance
+    does not exceed the greatest distance of cells that surely hold n roads. So an event far from all roads
+    reads the nearest cells only, like any other. Events and roads without coordinates take no part.
     """
-    lon, lat = F.col("coords.lon"), F.col("coords.lat")
-    shaped = roads.select(road, "coords", F.array_min(lon).alias("_x0"), F.array_max(lon).alias("_x1"),
-                          F.array_min(lat).alias("_y0"), F.array_max(lat).alias("_y1"))
-    ext = shaped.agg(F.min("_x0"), F.max("_x1"), F.min("_y0"), F.max("_y1"), F.count(F.lit(1))).first()
-    pts = events.select(event, F.col("longitude").alias("_ex"), F.col("latitude").alias("_ey"))
-    pe = pts.agg(F.min("_ex"), F.max("_ex"), F.min("_ey"), F.max("_ey")).first()
-    if ext[0] is None or pe[0] is None:
+    segments = F.when(F.size("coords") == 1, F.array(F.struct(F.col("coords")[0].alias("a"), F.col("coords")[0].alias("b")))).otherwise(
+        geo.pairs(F.col("coords")))
+    shaped = roads.where(F.size("coords") > 0).select(road, F.posexplode(segments).alias("_i", "_s")).select(
+        road, "_i", *[F.col(f"_s.{p}.{c}").alias(f"_{p}{n}") for p in ("a", "b") for c, n in (("lon", "x"), ("lat", "y"))])
+    ext = shaped.agg(F.min(F.least("_ax", "_bx")), F.max(F.greatest("_ax", "_bx")), F.min(F.least("_ay", "_by")), F.max(F.greatest("_ay", "_by")),
+                     F.count(F.when(F.col("_i") == 0, 1))).first()
+    pts = events.where("longitude IS NOT NULL AND latitude IS NOT NULL").select(event, F.col("longitude").alias("_ex"), F.col("latitude").alias("_ey"))
+    if not ext[4]:
         return pts.limit(0).select(event, F.lit(None).cast(roads.schema[road].dataType).alias(road),
-                                   F.lit(None).cast("double").alias("distance_m"), F.lit(0).alias("rank"))
+                                   F.lit(None).cast("double").alias("distance_m"), F.lit(0).alias("rank"), F.lit(False).alias("within_search_radius"))
     width, height = max(ext[1] - ext[0], 1e-3), max(ext[3] - ext[2], 1e-3)
-    span = max(max(ext[1], pe[1]) - min(ext[0], pe[0]), max(ext[3], pe[3]) - min(ext[2], pe[2]))
-    size = (n * width * height / max(ext[4], 1)) ** 0.5
-    # both sides are projected before they meet: an event once, a road once per zone in reach
-    pts = pts.withColumn("_zone", geo.utm_zone(F.col("_ex"))).withColumn(
-        "_p", geo.project(F.col("_ex"), F.col("_ey"), geo.central_meridian(F.col("_zone"))))
-    distance = geo.point_line(F.col("_p.x"), F.col("_p.y"), F.col("_xy"))
-    todo, done = pts, None
-    for i in range(max_rounds):
-        last = size > span or i == max_rounds - 1
-        if last:
-            size = max(size, span + 1)
-        around = box_cells(todo, F.col("_ex") - size, F.col("_ey") - size, F.col("_ex") + size, F.col("_ey") + size, size)
-        zones = F.sequence(geo.utm_zone(F.col("_x0") - 2 * size), geo.utm_zone(F.col("_x1") + 2 * size))
-        zoned = shaped.withColumn("_zone", F.explode(zones)).select(
-            road, "_x0", "_x1", "_y0", "_y1", "_zone",
-            geo.project_line(F.col("coords"), geo.central_meridian(F.col("_zone"))).alias("_xy"))
-        cells = box_cells(zoned, F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), size)
-        pairs = around.join(cells, ["_cx", "_cy", "_zone"]).where(first_common_cell(
-            F.col("_ex") - size, F.col("_ey") - size, F.col("_x0"), F.col("_y0"), size))
-        measured = pairs.select(event, road, "_ey", distance.alias("distance_m"))
-        top = first_rows(measured, [event], ["distance_m", road], n)
-        if not last:
-            # the round is read by the result and by the next round: at most n rows per open event
-            top = durable(top)
-        found = top.drop("_ey")
-        if last:
-            return found if done is None else done.unionByName(found)
-        # every road closer than one cell is in the neighbourhood; 0.95 covers projection scale
-        safe = F.lit(size * METRES_PER_DEGREE * 0.95) * F.cos(F.radians(F.abs("_ey") + size))
-        full = top.where((F.col("rank") == n) & (F.col("distance_m") <= safe)).select(event)
-        finished = found.join(full, event, "left_semi")
-        done = finished if done is None else done.unionByName(finished)
-        todo = todo.join(full, event, "left_anti")
-        if todo.isEmpty():
-            return done
-        size *= 2
-    return done
+    size = (n * width * height / ext[4]) ** 0.5 / 2
+    home = (F.col("_i") == 0) & (F.col("_cx") == F.floor(F.col("_ax") / size)) & (F.col("_cy") == F.floor(F.col("_ay") / size))
+    fine = durable(box_cells(shaped, F.least("_ax", "_bx"), F.least("_ay", "_by"), F.greatest("_ax", "_bx"), F.greatest("_ay", "_by"), size).select(
+        road, "_ax", "_ay", "_bx", "_by", "_cx", "_cy", home.cast("int").alias("_home")))
+    occupied = durable(fine.groupBy("_cx", "_cy").agg(F.sum("_home").alias("_own")))
+
+    def level(k: int) -> DataFrame:
+        up = [F.shiftright(c, k * LEVEL_BITS).alias(c) for c in ("_cx", "_cy")]
+        return occupied.groupBy(*up).agg(F.sum("_own").alias("_own")) if k else occupied
+
+    levels = max(0, math.ceil(math.log2(max(width, height) / size + 1) / LEVEL_BITS) - 1)
+    # a few cells cover the extent at the top
+    top = [F.struct(F.lit(r._cx).alias("_cx"), F.lit(r._cy).alias("_cy"), F.lit(r._own).alias("_own")) for r in level(levels).collect()]
+    pairs = pts.withColumn("_c", F.explode(F.array(*top))).select(event, "_ex", "_ey", "_c.*", F.lit(None).cast("double").alias("_reach"))
+    for k in range(levels, -1, -1):
+        pairs = _within_reach(pairs, event, n, size * (1 << k * LEVEL_BITS))
+        if k:
+            below = level(k - 1).select(F.shiftright("_cx", LEVEL_BITS).alias("_px"), F.shiftright("_cy", LEVEL_BITS).alias("_py"),
+                                        F.col("_cx").alias("_nx"), F.col("_cy").alias("_ny"), "_own")
+            pairs = pairs.join(below, (F.col("_cx") == F.col("_px")) & (F.col("_cy") == F.col("_py"))).select(
+                event, "_ex", "_ey", F.col("_nx").alias("_cx"), F.col("_ny").alias("_cy"), "_own", "_reach")
+    # both sides are projected before they meet: an event once, a segment of a cell once per zone that asks for it
+    asked = durable(pairs.withColumn("_zone", geo.utm_zone(F.col("_ex"))))
+    meridian = geo.central_meridian(F.col("_zone"))
+    shapes = fine.join(asked.select("_cx", "_cy", "_zone").distinct(), ["_cx", "_cy"]).select(
+        "_cx", "_cy", "_zone", road, geo.project(F.col("_ax"), F.col("_ay"), meridian).alias("_a"), geo.project(F.col("_bx"), F.col("_by"), meridian).alias("_b"))
+    placed = asked.select(event, "_cx", "_cy", "_zone", geo.project(F.col("_ex"), F.col("_ey"), meridian).alias("_p"))
+    met = placed.join(shapes, ["_cx", "_cy", "_zone"]).select(
+        event, road, geo.point_segment(F.col("_p.x"), F.col("_p.y"), F.col("_a"), F.col("_b")).alias("distance_m"))
+    # of a road, the segments in reach
+    found = first_rows(met.groupBy(event, road).agg(F.min("distance_m").alias("distance_m")), [event], ["distance_m", road], n)
+    return found.withColumn("within_search_radius", F.col("distance_m") <= radius_m)
 
 
 def nearby_by_ref(roads: DataFrame, ref: str, lon: float, lat: float, radius_km: float = 30.0, k: int = 8) -> DataFrame:
