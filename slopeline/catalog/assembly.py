@@ -220,6 +220,33 @@ def manifest_verification(t):
     return files.verify_manifest(listed, m.where(name != "orders.parquet")).select("relative_path", "status")
 
 
+@query("a10_a12_written_files", sql="""
+  WITH now AS (SELECT *, c_nationkey % 7 AS kind FROM customer),
+  listed AS (SELECT c_nationkey AS k, sha256(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS sha256, sum(length(c_name) + 1) AS size_bytes
+    FROM now WHERE kind <> 3 GROUP BY 1),
+  actual AS (SELECT c_nationkey AS k, sha256(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS actual_sha256
+    FROM now WHERE kind <> 1 AND NOT (kind = 2 AND c_custkey % 2 = 1) GROUP BY 1)
+  SELECT 'nation=' || k AS file, sha256, CAST(size_bytes AS BIGINT) AS size_bytes, actual_sha256,
+    CASE WHEN actual_sha256 IS NULL THEN 'MISSING' WHEN sha256 IS NULL THEN 'UNLISTED' WHEN sha256 = actual_sha256 THEN 'OK' ELSE 'MISMATCH' END AS status
+  FROM listed FULL JOIN actual USING (k)""")
+def written_files(t):
+    """Two versions of a folder of customer lists, one file per nation: what the manifest of the first says of the second."""
+    kind = F.col("c_nationkey") % 7
+
+    def manifest(rows, name):
+        path = _fresh_path(t, name)
+        rows.select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_name").repartition("nation").sortWithinPartitions("nation", "c_custkey").select(
+            "nation", "c_name").write.partitionBy("nation").text(path)
+        listed = files.file_inventory(t.spark, path).where("extension = 'txt'")
+        found = files.build_manifest(listed, path, minimum_files=1)
+        return found.withColumn("relative_path", F.regexp_extract("relative_path", "(nation=[0-9]+)/", 1))
+
+    listed, actual = manifest(t.customer.where(kind != 3), "listed"), manifest(t.customer.where((kind != 1) & ~((kind == 2) & (F.col("c_custkey") % 2 == 1))), "actual")
+    out = files.verify_manifest(listed, actual)
+    sizes = listed.select("relative_path", "size_bytes")
+    return out.join(sizes, "relative_path", "left").select(F.col("relative_path").alias("file"), "sha256", "size_bytes", "actual_sha256", "status")
+
+
 @query("a17_report_lines", views="segment", sql="""
   SELECT osm_id, coalesce(CAST(CAST(slope_degrees AS INT) AS VARCHAR) || '.0', 'null') AS slope FROM segment""")
 def report_lines(t):

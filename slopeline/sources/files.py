@@ -66,14 +66,43 @@ def dated_files(files: DataFrame, pattern: str = r"(\d{4}[.\-]\d{2}[.\-]\d{2})")
 
 
 SUPPORTED = ["csv", "json", "jsonl", "parquet", "txt", "geojson"]
-#: A file is hashed as one value, which cannot be longer; the reader skips the contents of longer ones.
-HASHED_BYTES = 2_000_000_000
+#: Files up to this length are hashed as one value; longer ones are read piece by piece.
+HASHED_BYTES = 256 << 20
+PIECE_BYTES = 8 << 20
+
+
+def _opened(path: str):
+    """A stream over a file that a task can reach: local paths directly, stores by their file system."""
+    # paths of the reader are not encoded
+    if path.startswith(("file:", "/")):
+        return open("/" + path.removeprefix("file:").lstrip("/"), "rb")
+    from pyarrow import fs
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(name)
+
+
+def stream_digests(paths: DataFrame) -> DataFrame:
+    """path and sha256 of files of any length. A task holds one piece of one file; a digest runs over a file
+    from its start, so a file is one task's work."""
+    def work(batches):
+        import hashlib
+
+        import pyarrow as pa
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                digest = hashlib.sha256()
+                with _opened(path) as stream:
+                    while piece := stream.read(PIECE_BYTES):
+                        digest.update(piece)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest.hexdigest()])], ["path", "sha256"])
+
+    return paths.select("path").repartition("path").mapInArrow(work, "path string, sha256 string")
 
 
 def file_inventory(spark: SparkSession, path: str, with_hash: bool = True) -> DataFrame:
     """path, size, extension, time, sha256 and whether the type is supported.
 
-    Files above ``HASHED_BYTES`` are listed without a hash.
+    Every file has its hash: contents up to ``HASHED_BYTES`` in the reader, longer ones by ``stream_digests``.
     """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
@@ -81,9 +110,10 @@ def file_inventory(spark: SparkSession, path: str, with_hash: bool = True) -> Da
             ext.isin(SUPPORTED).alias("supported")]
     if not with_hash:
         return df.select(*cols)
+    # the reader skips the contents of files that a filter on the length leaves out
     fits = F.col("length") <= HASHED_BYTES
-    return df.where(fits).select(*cols, F.sha2("content", 256).alias("sha256")).unionByName(
-        df.where(~fits).select(*cols, F.lit(None).cast("string").alias("sha256")))
+    long = df.where(~fits).select(*cols)
+    return df.where(fits).select(*cols, F.sha2("content", 256).alias("sha256")).unionByName(long.join(stream_digests(long), "path"))
 
 
 def build_manifest(inventory: DataFrame, root: str, excluded: Sequence[str] = (), minimum_files: int = 1) -> DataFrame:
