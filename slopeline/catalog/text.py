@@ -133,6 +133,47 @@ def listing_cards(t):
             .select("page_id", F.col("n").cast("bigint").alias("card_no"), "c.*"))
 
 
+_TITLE = "regexp_replace(substr(text, 1, 80), '[^A-Za-z0-9 \\n]', '', 'g')"
+
+
+@query("h12_report_cards", sql=f"""
+  WITH c AS (SELECT doc_id, doc_id // 5 AS page, row_number() OVER (PARTITION BY doc_id // 5 ORDER BY doc_id) - 1 AS card_no,
+      trim(regexp_replace({_TITLE}, '[ \\n]+', ' ', 'g')) AS t, source, lang FROM documents WHERE doc_id IS NOT NULL)
+  SELECT page, card_no, CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS id,
+    CASE WHEN doc_id % 11 = 0 THEN '' WHEN t = '' THEN 'Road & rail:' ELSE 'Road & rail: ' || t END AS title,
+    CASE WHEN doc_id % 11 <> 0 THEN 'https://reports.example/' || doc_id ELSE '' END AS url,
+    CASE WHEN doc_id % 3 = 0 THEN '' WHEN t = '' THEN '<b>' || lang || '</b>:' ELSE '<b>' || lang || '</b>: ' || t END AS summary,
+    CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN source ELSE source || '|' || lang END AS sources,
+    CASE WHEN doc_id % 5 <> 2 THEN '2024-05-' || (10 + doc_id % 20) || 'T00:00:00+00:00' ELSE '' END AS date_published,
+    CASE WHEN doc_id % 6 <> 1 THEN '2024-06-' || (10 + doc_id % 20) || 'T00:00:00+00:00' ELSE '' END AS date_posted
+  FROM c""")
+def report_cards(t):
+    """Listing pages of five documents each, some cards without some fields, read back by the operator's own patterns."""
+    k = F.col("doc_id")
+    words = F.regexp_replace(F.substring("text", 1, 80), r"[^A-Za-z0-9 \n]", "")
+    day = (F.lit(10) + k % 20).cast("string")
+    link = lambda name: F.concat(F.lit('<li><a href="/organization/1">\n '), name, F.lit(" </a></li>"))
+    html = F.concat(
+        F.lit('<article class="rw-river-article rw-river-article--report"'), F.when(k % 7 != 0, F.concat(F.lit(' data-id="'), k.cast("string"), F.lit('"'))).otherwise(""),
+        F.lit(">"), F.when(k % 11 != 0, F.concat(F.lit('<h3 class="rw-river-article__title"><a href="https://reports.example/'), k.cast("string"),
+                                                 F.lit('">Road &amp; rail:\n  '), words, F.lit("</a></h3>"))).otherwise(""),
+        F.when(k % 3 != 0, F.concat(F.lit('<div class="rw-river-article__content" lang="en"><div><p>&lt;b&gt;'), F.col("lang"), F.lit("&lt;/b&gt;: "), words,
+                                    F.lit("</p><p>more</p></div></div>"))).otherwise(""),
+        F.when(k % 4 != 0, F.concat(F.lit('<dd class="rw-entity-meta__tag-value--source"><ul>'), link(F.col("source")),
+                                    F.when(k % 4 > 1, link(F.col("lang"))).otherwise(""), F.lit("</ul></dd>"))).otherwise(""),
+        F.when(k % 5 != 2, F.concat(F.lit('<dd class="rw-entity-meta__tag-value--published rw-entity-meta__tag-value--date rw-entity-meta__tag-value--last">\n<time datetime="2024-05-'),
+                                    day, F.lit('T00:00:00+00:00">'))).otherwise(""),
+        F.when(k % 6 != 1, F.concat(F.lit('<dd class="rw-entity-meta__tag-value--posted rw-entity-meta__tag-value--date"><time datetime="2024-06-'),
+                                    day, F.lit('T00:00:00+00:00">'))).otherwise(""), F.lit("</article>\n"))
+    # five cards at most
+    pages = t.documents.where("doc_id IS NOT NULL").groupBy(F.expr("doc_id div 5").alias("page")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", html.alias("html")))), lambda x: x["html"]), "").alias("html"))
+    page = F.concat(F.lit("<html><body><p>list</p>"), F.col("html"), F.lit("</body></html>"))
+    out = pages.select("page", F.posexplode(tx.listing_cards(page)).alias("card_no", "c"))
+    return out.select("page", F.col("card_no").cast("bigint").alias("card_no"), "c.id", "c.title", "c.url", "c.summary",
+                      F.array_join("c.source", "|").alias("sources"), "c.date_published", "c.date_posted")
+
+
 @query("h13_evidence_fragments", sql="""
   SELECT doc_id, list_has_all([contains(lower(text), 'the'), true], [false]) = false
            AND contains(lower(text), 'the') AND contains(lower(text), lower('Tion'))

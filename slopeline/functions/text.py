@@ -45,13 +45,16 @@ DISRUPTION = (r"(?i)highway|road|washed (?:away|out)|cut off|blocked|breach|land
               r"|flash flood|inundat|submerg")
 # First line of a dated block in a status report.
 DATED_HEADER = r"(?im)^[ \t]*Date:\s*\d{1,2}(?:st|nd|rd|th)?\s+[A-Za-z]+[-\s]\d{4}.*$"
-# Patterns of a report listing, one captured value per card.
-CARD_PATTERNS = {
-    "id": r'<article class="rw-river-article[^"]*" data-id="(\d+)"',
-    "url": r'rw-river-article__title"[^>]*><a href="([^"]+)">',
-    "title": r'(?s)rw-river-article__title"[^>]*><a href="[^"]+">(.*?)</a>',
-    "summary": r'(?s)rw-river-article__content" lang="en">.*?<p>(.*?)</p>',
-}
+# The start of a card in a report listing, and the patterns of its fields.
+CARD_START = r'<article class="rw-river-article'
+CARD_ID = r'<article class="rw-river-article[^"]*" data-id="(\d+)"'
+CARD_LINK = r'(?s)rw-river-article__title"[^>]*><a href="([^"]+)">(.*?)</a>'
+CARD_SUMMARY = r'(?s)rw-river-article__content" lang="en">.*?<p>(.*?)</p>'
+CARD_SOURCES = r"(?s)rw-entity-meta__tag-value--source.*?</ul>"
+CARD_SOURCE = r'/organization/[^"]+">([^<]+)</a>'
+CARD_PUBLISHED = (r"rw-entity-meta__tag-value--published rw-entity-meta__tag-value--date "
+                  r'rw-entity-meta__tag-value--last">\s*<time datetime="([^"]+)"')
+CARD_POSTED = r'rw-entity-meta__tag-value--posted rw-entity-meta__tag-value--date">\s*<time datetime="([^"]+)"'
 
 
 def or_empty(x: Column) -> Column:
@@ -162,12 +165,37 @@ def strip_html(x: Column) -> Column:
     return F.regexp_replace(unescape_html(t), r"[ \t]+", " ")
 
 
-def cards(html: Column, patterns: dict[str, str] = CARD_PATTERNS) -> Column:
+def cards(html: Column, patterns: dict[str, str]) -> Column:
     """Array of structs: the i-th capture of every pattern belongs to card i; short lists pad with NULL."""
     found = [F.regexp_extract_all(or_empty(html), F.lit(p), F.lit(1)).alias(n) for n, p in patterns.items()]
     return F.arrays_zip(*found)
 
 
+def plain_line(x: Column) -> Column:
+    """Inner HTML as one line: blanks collapsed, references decoded, ends trimmed."""
+    return F.regexp_replace(unescape_html(F.regexp_replace(x, r"(?U)\s+", " ")), r"(?U)^\s+|\s+$", "")
+
+
+def listing_cards(html: Column) -> Column:
+    """Array of the cards of a report listing: id, title, url, summary, source (a list), date_published and
+    date_posted.
+
+    The page is cut where cards start and every field is looked for inside its own card, so a field that one
+    card lacks (an empty text or list, a NULL id) cannot move those of the others. Each field is the first
+    match in its card; title and url come from one match.
+    """
+    def card(c: Column) -> Column:
+        sources = F.regexp_extract_all(F.regexp_extract(c, CARD_SOURCES, 0), F.lit(CARD_SOURCE), F.lit(1))
+        return F.struct(
+            F.nullif(F.regexp_extract(c, CARD_ID, 1), F.lit("")).try_cast("bigint").alias("id"),
+            plain_line(F.regexp_extract(c, CARD_LINK, 2)).alias("title"), F.regexp_extract(c, CARD_LINK, 1).alias("url"),
+            plain_line(F.regexp_extract(c, CARD_SUMMARY, 1)).alias("summary"), F.transform(sources, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")).alias("source"),
+            F.regexp_extract(c, CARD_PUBLISHED, 1).alias("date_published"), F.regexp_extract(c, CARD_POSTED, 1).alias("date_posted"))
+
+    pieces = F.split(or_empty(html), f"(?={CARD_START})", -1)
+    return F.transform(F.filter(pieces, lambda c: c.startswith(CARD_START)), card)
+
+
 def contains_all_fragments(block: Column, fragments: Column) -> Column:
     low = F.lower(or_empty(block))
     return F.forall(fragments, lambda f: low.contains(F.lower(f)))

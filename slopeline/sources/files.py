@@ -103,6 +103,7 @@ def file_inventory(spark: SparkSession, path: str, with_hash: bool = True) -> Da
     """path, size, extension, time, sha256 and whether the type is supported.
 
     Every file has its hash: contents up to ``HASHED_BYTES`` in the reader, longer ones by ``stream_digests``.
+    Spark's file listing leaves out files of no bytes, so they are not listed.
     """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))

@@ -8,7 +8,7 @@ from slopeline.sources import files
 def test_long_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
     """The streamed digest is that of the whole file, and short and long files are all there."""
     monkeypatch.setattr(files, "HASHED_BYTES", 1000)
-    content = {"a.txt": b"", "b.csv": b"x" * 1000, "sub dir/c%20d.bin": bytes(range(256)) * 40_000, "sub dir/é.json": b"{}" * 700}
+    content = {"a.txt": b"a", "b.csv": b"x" * 1000, "sub dir/c%20d.bin": bytes(range(256)) * 40_000, "sub dir/é.json": b"{}" * 700}
     for name, data in content.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
