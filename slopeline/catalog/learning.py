@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from slopeline.catalog.assembly import _fresh_path
 from slopeline.catalog.quality import BOOKKEEPING
 from slopeline.catalog.registry import query
-from slopeline.functions.scoring import decision, risk_band
+from slopeline.functions.scoring import calibrate, decision, risk_band
 from slopeline.operators import metrics
+from slopeline.operators.isotonic import isotonic_steps
 from slopeline.plans import audit, dataset, model, scoring
 from slopeline.session import durable
 from slopeline.sources import derived, files, sinks
@@ -68,6 +69,18 @@ def isotonic(t):
     return metrics.evaluate(s.select(F.col("label").alias("y"), F.col("calibrated_probability").alias("s")), [])
 
 
+@query("j11_isotonic_values", views="scored", sql="""
+  WITH level AS (SELECT s, sum(y) AS total, count(*) AS n FROM scored GROUP BY 1),
+  run AS (SELECT *, row_number() OVER w AS i, sum(total) OVER w AS t, sum(n) OVER w AS c FROM level WINDOW w AS (ORDER BY s ROWS UNBOUNDED PRECEDING)),
+  mean AS (SELECT a.i AS first, b.i AS last, (b.t - a.t + a.total) / (b.c - a.c + a.n) AS m FROM run a JOIN run b ON b.i >= a.i),
+  least_ AS (SELECT first, i, min(m) AS m FROM mean JOIN (SELECT i FROM run) r ON first <= i AND last >= i GROUP BY 1, 2)
+  SELECT id, round(v, 5) AS calibrated FROM scored JOIN run USING (s) JOIN (SELECT i, max(m) AS v FROM least_ GROUP BY 1) USING (i)""")
+def isotonic_values(t):
+    rows = derived.scored(t)
+    xs, ys = isotonic_steps(rows, "y", "s")
+    return rows.select("id", F.round(calibrate(F.col("s"), xs, ys), 5).alias("calibrated"))
+
+
 @query("j12_multiclass_proxy")
 def multiclass(t):
     rows = dataset.proxy_dataset(derived.segment(t))

@@ -13,11 +13,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopeline.functions.scoring import calibrate, contribution_records, top_factors
+from slopeline.operators.isotonic import isotonic_steps
 from slopeline.operators.quality import count_if
 from slopeline.schema import forbid_columns
 from slopeline.session import durable
@@ -139,9 +139,7 @@ def fit_multiclass(df: DataFrame, numeric: Sequence[str], categorical: Sequence[
 
 def fit_calibration(scored: DataFrame, label: str = "label", score: str = "raw_probability") -> tuple[list[float], list[float]]:
     """Isotonic thresholds (x, y) of the validation scores; the model's step table is small."""
-    rows = scored.select(F.col(label).cast("double").alias("label"), F.col(score).alias("features"))
-    fitted = IsotonicRegression(labelCol="label", featuresCol="features").fit(rows)
-    return [float(v) for v in fitted.boundaries.toArray()], [float(v) for v in fitted.predictions.toArray()]
+    return isotonic_steps(scored, label, score)
 
 
 @dataclass(frozen=True)
