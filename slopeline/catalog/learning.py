@@ -11,7 +11,7 @@ from slopeline.catalog.registry import query
 from slopeline.functions.scoring import calibrate, decision, risk_band
 from slopeline.operators import metrics
 from slopeline.operators.isotonic import isotonic_steps
-from slopeline.plans import audit, dataset, model, scoring
+from slopeline.plans import audit, dataset, folds, model, scoring
 from slopeline.session import durable
 from slopeline.sources import derived, files, sinks
 
@@ -97,17 +97,64 @@ def factors(t):
     return out.select("o_orderkey", F.to_json("top_contributing_factors").alias("factors"))
 
 
+def yearly(t):
+    return labelled(t).withColumn("month", F.trunc("prediction_time", "year")).withColumn("event_id", F.col("month").cast("string"))
+
+
 @query("e17_d25_grouped_cv")
 def grouped_cv(t):
-    rows = labelled(t).withColumn("month", F.trunc("prediction_time", "year")).withColumn("event_id", F.col("month").cast("string"))
-    oof = model.grouped_cv(rows, INPUTS, lambda tr, va: model.fit_logistic(tr, INPUTS, max_iter=10), time="month", min_train=3)
+    oof = folds.expanding_scores(yearly(t), INPUTS, time="month", min_train=3)
     return metrics.pooled_folds(oof, y="label", s="raw_probability")
 
 
+def newton_sql(rows: str, steps: int) -> str:
+    """CTEs of the balanced logistic fit with ridge 1 on one standardised feature, for every fold of ``rows`` (fold, y, x):
+    n0 to n<steps> hold the fold, intercept a and slope b after each Newton step."""
+    out = [f"""stats AS (SELECT fold, avg(x) AS mu, CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END AS sd, count(*) / (2e0 * sum(y)) AS w1,
+        count(*) / (2e0 * (count(*) - sum(y))) AS w0 FROM {rows} GROUP BY 1 HAVING sum(y) BETWEEN 1 AND count(*) - 1),
+    std AS (SELECT fold, y, (x - mu) / sd AS z, CASE WHEN y = 1 THEN w1 ELSE w0 END AS w FROM {rows} JOIN stats USING (fold)),
+    n0 AS (SELECT fold, 0e0 AS a, 0e0 AS b FROM stats)"""]
+    for k in range(steps):
+        out.append(f"""s{k} AS (SELECT fold, any_value(a) AS a, any_value(b) AS b, sum(w * (p - y)) AS ga, sum(w * (p - y) * z) + any_value(b) AS gb, sum(w * p * (1 - p)) AS haa,
+        sum(w * p * (1 - p) * z) AS hab, sum(w * p * (1 - p) * z * z) + 1 AS hbb FROM (SELECT *, 1 / (1 + exp(-(a + b * z))) AS p FROM std JOIN n{k} USING (fold)) GROUP BY 1),
+    n{k + 1} AS (SELECT fold, a - (ga * hbb - gb * hab) / (haa * hbb - hab * hab) AS a, b - (gb * haa - ga * hab) / (haa * hbb - hab * hab) AS b FROM s{k})""")
+    return ",\n    ".join(out)
+
+
+CV_ROWS = """SELECT o_orderkey, state, prediction_time, rainfall_7day AS x, rainfall_30day AS x30, CAST(coalesce(slope_degrees, 0) * rainfall_7day > 5000 AS INT) AS y
+    FROM risk_input WHERE event_id IS NOT NULL AND o_orderkey % 997 <> 0 AND rainfall_1day >= 0 AND rainfall_3day IS NOT NULL AND rainfall_7day <= 10000
+      AND rainfall_30day IS NOT NULL AND o_orderkey % 5 <> 0 AND (slope_degrees IS NULL OR slope_degrees <= 90) AND (elevation_m IS NULL OR elevation_m BETWEEN -500 AND 9000)
+      AND abs(latitude) <= 90 AND abs(longitude) <= 180 AND rainfall_days_available <= 30"""
+
+
+@query("e18_corridor_scores", views="risk_input", sql=f"""
+  WITH r AS ({CV_ROWS}), f AS (SELECT DISTINCT state AS fold FROM r), train AS (SELECT fold, y, x FROM f JOIN r ON state <> fold),
+    {newton_sql("train", 12)}
+  SELECT o_orderkey, state, CAST(y AS DOUBLE) AS label, round(coalesce(1 / (1 + exp(-(a + b * (x - mu) / sd))), 0.5), 5) AS raw_probability,
+    round(coalesce((SELECT count(*) FILTER (o.x <= r.x) / greatest(count(*), 1) FROM r o WHERE o.state <> r.state), 0), 6) AS rainfall_7day_percentile,
+    round(coalesce((SELECT count(*) FILTER (o.x30 <= r.x30) / greatest(count(*), 1) FROM r o WHERE o.state <> r.state), 0), 6) AS rainfall_30day_percentile
+  FROM r LEFT JOIN n12 ON n12.fold = state LEFT JOIN stats ON stats.fold = state""")
+def corridor_scores(t):
+    out = folds.leave_one_out_scores(labelled(t), ["rainfall_7day"], "state", baselines=["rainfall_7day", "rainfall_30day"], key=["o_orderkey"])
+    return out.select("o_orderkey", "state", "label", *[F.round(c, d).alias(c) for c, d in (
+        ("raw_probability", 5), ("rainfall_7day_percentile", 6), ("rainfall_30day_percentile", 6))])
+
+
+@query("e17_fold_scores", views="risk_input", sql=f"""
+  WITH r AS (SELECT *, dense_rank() OVER (ORDER BY year(prediction_time)) AS g FROM ({CV_ROWS})),
+    f AS (SELECT CAST(k AS INT) AS fold FROM (SELECT max(g) AS n FROM r), generate_series(3, n - 2) s(k)), train AS (SELECT fold, y, x FROM f JOIN r ON g <= fold),
+    {newton_sql("train", 12)}
+  SELECT o_orderkey, fold, CAST(y AS DOUBLE) AS label, round(1 / (1 + exp(-(a + b * (x - mu) / sd))), 5) AS raw_probability
+  FROM r JOIN n12 ON fold = g - 2 JOIN stats USING (fold)""")
+def fold_scores(t):
+    out = folds.expanding_scores(yearly(t), ["rainfall_7day"], time="month", min_train=3, key=["o_orderkey"])
+    return out.select("o_orderkey", "fold", "label", F.round("raw_probability", 5).alias("raw_probability"))
+
+
 @query("e18_leave_one_corridor_out")
 def corridor_cv(t):
-    oof = model.leave_one_out_cv(labelled(t), INPUTS, lambda tr, va: model.fit_logistic(tr, INPUTS, max_iter=10), "state")
-    return metrics.ranking_metrics(oof, ["fold"], "label", "raw_probability")
+    oof = folds.leave_one_out_scores(labelled(t), INPUTS, "state")
+    return metrics.ranking_metrics(oof.withColumnRenamed("state", "fold"), ["fold"], "label", "raw_probability")
 
 
 @query("j24_risk_feed")
