@@ -156,8 +156,7 @@ def reachability(t):
 def route_stats(t):
     c = _costs(t)
     tree = graph.shortest_paths(c, _source(c))
-    paths = graph.trace_paths(tree, tree.where("parent IS NOT NULL").select("node"))
-    out = graph.route_statistics(paths, c, derived.nodes(t))
+    out = graph.route_statistics(graph.route_totals(tree, c).where("hops > 0"), derived.nodes(t))
     return out.select("target", "valid", "hops", *[F.round(n, 6).alias(n) for n in (
         "weighted_cost", "straight_km", "base_distance_km", "detour_ratio")])
 

@@ -169,31 +169,39 @@ def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return out
 
 
+# Relaxation steps of one job.
+STEPS = 3
+
+
 def shortest_paths(costs: DataFrame, sources: DataFrame) -> DataFrame:
     """node, cost, parent: least cost from any source, by frontier relaxation.
 
-    Only nodes whose cost improved in the last round relax their edges in the next one.
+    Only nodes whose cost improved in the last step relax their edges in the next one. A job takes ``STEPS``
+    steps and writes one table; the loop ends when a step improves nothing.
     """
     links = durable(costs.select("src", "dst", F.col("cost").alias("w")))
     node_type = costs.schema["src"].dataType
     best = durable(sources.select("node").distinct().select(
-        "node", F.lit(0.0).alias("cost"), F.lit(None).cast(node_type).alias("parent")))
-    frontier = best
+        "node", F.lit(0.0).alias("cost"), F.lit(None).cast(node_type).alias("parent"), F.lit(True).alias("fresh")))
+
+    def relaxed(known: DataFrame) -> DataFrame:
+        offer = known.where("fresh").join(links, F.col("node") == F.col("src")).select(
+            F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("parent"), F.lit(False).alias("old"))
+        both = offer.unionByName(known.select("node", "cost", "parent", F.lit(True).alias("old")))
+        # of equal costs the known one stays
+        new = both.groupBy("node").agg(F.min(F.struct("cost", (~F.col("old")).alias("new"), "parent")).alias("o"))
+        return new.select("node", "o.cost", "o.parent", F.col("o.new").alias("fresh"))
+
     while True:  # costs are positive, so every node settles
-        offer = frontier.join(links, F.col("node") == F.col("src")).select(
-            F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("parent"))
-        offer = offer.groupBy("node").agg(F.min(F.struct("cost", "parent")).alias("o"))
-        known = best.select("node", F.col("cost").alias("_c"))
-        better = durable(offer.join(known, "node", "left").where(F.col("_c").isNull() | (F.col("o.cost") < F.col("_c")))
-                         .select("node", "o.cost", "o.parent"))
-        if frontier is not best:
-            discard(frontier)
-        if better.isEmpty():
-            discard(better, links)
-            return best
-        old, frontier = best, better
-        best = durable(old.join(frontier.select("node"), "node", "left_anti").unionByName(frontier))
-        discard(old)
+        after = best
+        for _ in range(STEPS):
+            after = relaxed(after)
+        after = durable(after)
+        discard(best)
+        best = after
+        if best.where("fresh").isEmpty():
+            discard(links)
+            return best.drop("fresh")
 
 
 def trace_paths(tree: DataFrame, targets: DataFrame) -> DataFrame:
@@ -212,21 +220,41 @@ def trace_paths(tree: DataFrame, targets: DataFrame) -> DataFrame:
     return parts.select("target", "steps_to_target", "node")
 
 
-def route_statistics(paths: DataFrame, costs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per target: hops, base distance, weighted cost, straight line, detour ratio, validity.
+def route_totals(tree: DataFrame, costs: DataFrame) -> DataFrame:
+    """node, source, hops, base_km, cost, valid: sums over each node's path back to its source.
 
-    A path is valid when every consecutive pair is an open edge.
+    Pointers are doubled: after round i a row holds the sums of its first 2^i hops and the node where they end,
+    so the longest path needs log2(hops) joins and no path is listed. Rows that have met their source rest.
+    A path is valid when every hop is an open edge.
     """
-    here = paths.select("target", F.col("steps_to_target").alias("_s"), F.col("node").alias("dst"))
-    prev = paths.select("target", (F.col("steps_to_target") - 1).alias("_s"), F.col("node").alias("src"))
-    hop = here.join(prev, ["target", "_s"]).join(costs, ["src", "dst"], "left")
-    sums = hop.groupBy("target").agg(
-        F.count(F.lit(1)).alias("hops"), F.sum("base_km").alias("base_distance_km"), F.sum("cost").alias("weighted_cost"),
-        (F.count("cost") == F.count(F.lit(1))).alias("valid"))
-    ends = paths.groupBy("target").agg(F.max_by("node", "steps_to_target").alias("source"))
+    known = tree.select("node", "parent")
+    hops = known.where("parent IS NOT NULL").join(costs.select(F.col("src").alias("parent"), F.col("dst").alias("node"), "base_km", "cost"),
+                                                  ["parent", "node"], "left")
+    roots = known.where("parent IS NULL").select(F.col("node").alias("root"))
+    first = hops.join(roots, F.col("parent") == F.col("root"), "left").select(
+        "node", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("hops"), "base_km", "cost", F.col("cost").isNotNull().alias("valid"),
+        F.col("root").isNotNull().alias("met"))
+    start = roots.select(F.col("root").alias("node"), F.col("root").alias("up"), F.lit(0).cast("bigint").alias("hops"), F.lit(0.0).alias("base_km"),
+                         F.lit(0.0).alias("cost"), F.lit(True).alias("valid"), F.lit(True).alias("met"))
+    at = durable(first.unionByName(start))
+    while not at.where("NOT met").isEmpty():
+        a, b = at.where("NOT met").alias("a"), at.alias("b")
+        both = lambda c: (F.coalesce(f"a.{c}", F.lit(0.0)) + F.coalesce(f"b.{c}", F.lit(0.0))).alias(c)
+        further = a.join(b, F.col("a.up") == F.col("b.node")).select(
+            "a.node", "b.up", (F.col("a.hops") + F.col("b.hops")).alias("hops"), both("base_km"), both("cost"),
+            (F.col("a.valid") & F.col("b.valid")).alias("valid"), "b.met")
+        longer = durable(at.where("met").unionByName(further))
+        discard(at)
+        at = longer
+    return at.select("node", F.col("up").alias("source"), "hops", "base_km", "cost", "valid")
+
+
+def route_statistics(totals: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Per target of ``route_totals``: hops, base distance, weighted cost, straight line, detour ratio, validity."""
     p = nodes.select(F.col("id").alias("source"), F.col("lon").alias("_x1"), F.col("lat").alias("_y1"))
     q = nodes.select(F.col("id").alias("target"), F.col("lon").alias("_x2"), F.col("lat").alias("_y2"))
-    out = sums.join(ends, "target").join(p, "source").join(q, "target").withColumn(
+    routes = totals.select(F.col("node").alias("target"), "source", "hops", F.col("base_km").alias("base_distance_km"), F.col("cost").alias("weighted_cost"), "valid")
+    out = routes.join(p, "source").join(q, "target").withColumn(
         "straight_km", geo.haversine(F.col("_x1"), F.col("_y1"), F.col("_x2"), F.col("_y2")))
     return out.withColumn("detour_ratio", F.when(F.col("straight_km") > 0, F.col("base_distance_km") / F.col("straight_km"))
                           ).drop("_x1", "_y1", "_x2", "_y2")

@@ -101,11 +101,25 @@ def test_shortest_paths_and_routes(spark):
     paths = graph.trace_paths(tree, spark.createDataFrame([(5,)], "node long"))
     assert [r.node for r in paths.orderBy(F.desc("steps_to_target")).collect()] == [1, 2, 3, 4, 5]
     nodes = spark.createDataFrame([(i, 90.0 + i, 25.0) for i in range(1, 9)], "id long, lon double, lat double")
-    r = graph.route_statistics(paths, e, nodes).first()
+    r = graph.route_statistics(graph.route_totals(tree, e).where("node = 5"), nodes).first()
     assert r.valid and r.hops == 4 and r.weighted_cost == got[5]
     assert {r.node: r.hops for r in graph.reachable(e, src).collect()} == {1: 0, 2: 1, 3: 2, 4: 3, 5: 4}
 
 
+def test_long_routes_by_doubling(spark, monkeypatch):
+    """A chain of 150 hops, a hop that is no open edge, and two sources."""
+    e = spark.createDataFrame([(i, i + 1, 1.0 + i % 3, 0.5) for i in range(150)], "src long, dst long, cost double, base_km double")
+    tree = spark.createDataFrame([(0, None), *[(i, i - 1) for i in range(1, 151)], (500, None), (501, 500)], "node long, parent long")
+    written = []
+    real = graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: written.append(1) or real(df))
+    got = {r.node: r for r in graph.route_totals(tree, e).collect()}
+    assert len(written) <= 9 and len(got) == 153
+    for i in range(151):
+        assert (got[i].source, got[i].hops, got[i].base_km, got[i].cost, got[i].valid) == (0, i, 0.5 * i, sum(1.0 + k % 3 for k in range(i)), True)
+    assert (got[501].source, got[501].hops, got[501].valid) == (500, 1, False) and got[500].hops == 0
+
+
 def test_ways_as_arrays(spark):
     ways = spark.createDataFrame([(1, [5, 6, 7]), (2, [9])], "way_id long, nodes array<bigint>")
     assert sorted((r.pos, r.a, r.b) for r in graph.hops_of_arrays(ways).collect()) == [(1, 5, 6), (2, 6, 7)]
