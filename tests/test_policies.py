@@ -181,15 +181,17 @@ def test_reissue(spark):
     assert sorted(r.observation_id for r in out.collect()) == ["n1", "old_2", "x"]
 
 
-def test_files_too_large_to_hash_are_listed(spark, tmp_path, monkeypatch):
+def test_files_too_long_for_the_reader_are_verified(spark, tmp_path, monkeypatch):
     from slopeline.sources import files
     (tmp_path / "small.txt").write_text("a")
     (tmp_path / "large.txt").write_text("b" * 100)
     monkeypatch.setattr(files, "HASHED_BYTES", 10)
     inventory = files.file_inventory(spark, str(tmp_path))
-    assert {r.size_bytes: r.sha256 is None for r in inventory.collect()} == {1: False, 100: True}
+    assert {r.size_bytes: r.sha256 is None for r in inventory.collect()} == {1: False, 100: False}
     manifest = files.build_manifest(inventory, tmp_path.name)
-    assert sorted(r.status for r in files.verify_manifest(manifest, manifest).collect()) == ["OK", "UNHASHED"]
+    assert [r.status for r in files.verify_manifest(manifest, manifest).collect()] == ["OK", "OK"]
+    unknown = manifest.withColumn("sha256", F.when(F.col("size_bytes") < 10, F.col("sha256")))
+    assert sorted(r.status for r in files.verify_manifest(unknown, manifest).collect()) == ["OK", "UNHASHED"]
 
 
 def test_features_that_leak_the_target_are_refused(spark):
