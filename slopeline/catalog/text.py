@@ -258,8 +258,8 @@ def segment_identity(t):
   SELECT lang, sha256('["' || array_to_string(list_sort(list(DISTINCT source)), '","') || '"]') AS schema_hash
   FROM documents GROUP BY lang""")
 def schema_hash(t):
-    return t.documents.groupBy("lang").agg(
-        tx.schema_hash(F.sort_array(F.collect_set("source"))).alias("schema_hash"))
+    return t.documents.select("lang", "source").distinct().groupBy("lang").agg(
+        tx.schema_hash(F.sort_array(F.collect_list("source"))).alias("schema_hash"))
 
 
 @query("h18_observation_id", views="hazard", sql="""

@@ -86,26 +86,25 @@ def dataset_errors(df: DataFrame, sources: Sequence[str] | None = None) -> DataF
     """One row: every violated dataset rule in ``errors`` (empty when the dataset is valid)."""
     key = ["event_id", "osm_id", "prediction_time"]
     require_columns(df, [*key, "label", "slope_degrees", *RAINFALL], "dataset")
-    bad_source = F.lit(False) if sources is None else ~F.coalesce(
-        F.col("label_source").isin(list(sources)), F.lit(False))
+    bad_source = ~F.coalesce(F.col("label_source").isin(list(sources)), F.lit(False)) if sources is not None else None
     per_key = df.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"),
         count_if(F.col("label").isNotNull() & ~F.col("label").isin(0, 1)).alias("bad_label"),
         count_if(F.least(*[F.col(c) for c in RAINFALL]) < 0).alias("bad_rain"),
-        count_if((F.col("slope_degrees") < 0) | (F.col("slope_degrees") > 90)).alias("bad_slope"),
-        F.collect_set(F.when(bad_source, F.coalesce(F.col("label_source"), F.lit("null"))) if sources is not None
-                      else F.lit(None).cast("string")).alias("bad_sources"))
+        count_if((F.col("slope_degrees") < 0) | (F.col("slope_degrees") > 90)).alias("bad_slope"))
     total = per_key.agg(
         count_if(F.greatest(*[F.col(c).isNull() for c in key])).alias("null_key"),
         count_if(F.col("n") > 1).alias("dup"), F.sum("bad_label").alias("bad_label"),
-        F.sum("bad_rain").alias("bad_rain"), F.sum("bad_slope").alias("bad_slope"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("bad_sources")))).alias("bad_sources"))
+        F.sum("bad_rain").alias("bad_rain"), F.sum("bad_slope").alias("bad_slope"))
     rules = [("null_key", "sample identity contains null values"),
              ("dup", "duplicate event/road/prediction samples detected"),
              ("bad_label", "labels must be binary"), ("bad_rain", "negative rainfall values detected"),
              ("bad_slope", "slope outside [0, 90] degrees")]
     out = [F.when(F.col(c) > 0, m) for c, m in rules]
     if sources is not None:
+        # one name per source reaches the message; two single-row tables
+        names = df.where(bad_source).groupBy(F.coalesce(F.col("label_source"), F.lit("null")).alias("s")).count()
+        total = total.join(names.agg(F.array_sort(F.collect_list("s")).alias("bad_sources")))
         out.append(F.when(F.size("bad_sources") > 0, F.concat(
             F.lit("unsupported label_source values: "), F.array_join("bad_sources", ", "))))
     return total.select(F.array_compact(F.array(*out)).alias("errors"))
