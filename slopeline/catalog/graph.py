@@ -111,6 +111,34 @@ def graph_summary(t):
     return graph.graph_summary(e, graph.weak_components(e)).withColumn("total_km", F.round("total_km", 3))
 
 
+@query("i3_component_histogram", views="edge segment", sql=f"""{COMPONENTS},
+  every AS (SELECT component FROM cc UNION ALL SELECT osm_id FROM segment WHERE osm_id NOT IN (SELECT node FROM cc)),
+  sizes AS (SELECT component, count(*) AS size FROM every GROUP BY 1),
+  per AS (SELECT size, count(*) AS components, CAST(sum(size) AS BIGINT) AS nodes FROM sizes GROUP BY 1)
+  SELECT *, CAST(sum(components) OVER (ORDER BY size DESC) AS BIGINT) AS components_at_least FROM per""")
+def component_histogram(t):
+    return graph.component_histogram(graph.weak_components(_open(t), derived.nodes(t)))
+
+
+@query("i12_edges_per_class", views="edge", sql="""
+  SELECT coalesce(highway, '(none)') AS class, count(*) AS edges, count(*) FILTER (src = dst) AS self_loops, round(sum(km), 3) AS total_km
+  FROM edge GROUP BY 1""")
+def edges_per_class(t):
+    return graph.edges_per_class(_edges(t)).withColumn("total_km", F.round("total_km", 3))
+
+
+@query("f6_extreme_nodes", views="edge segment", sql=f"""{COMPONENTS},
+  big AS (SELECT component FROM cc GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+  m AS (SELECT osm_id AS node, lon, lat FROM segment WHERE osm_id IN (SELECT node FROM cc WHERE component IN (SELECT component FROM big)))
+  (SELECT 'west' AS side, * FROM m ORDER BY lon, node LIMIT 1) UNION ALL (SELECT 'east', * FROM m ORDER BY lon DESC, node LIMIT 1)
+  UNION ALL (SELECT 'south', * FROM m ORDER BY lat, node LIMIT 1) UNION ALL (SELECT 'north', * FROM m ORDER BY lat DESC, node LIMIT 1)""")
+def extreme_nodes(t):
+    cc = graph.weak_components(_open(t))
+    largest = graph.component_sizes(cc).agg(F.min_by("component", F.struct(-F.col("size"), "component")).alias("_big"))
+    # the largest component is a single row
+    return graph.extreme_nodes(cc.join(F.broadcast(largest), F.col("component") == F.col("_big")), derived.nodes(t))
+
+
 def _source(costs):
     return costs.agg(F.min("src").alias("node"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopeline.functions import geo
+from slopeline.operators.ordered import running_sums
 from slopeline.operators.quality import count_if
 from slopeline.session import discard, durable
 
@@ -147,6 +148,29 @@ def component_sizes(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
+def component_histogram(components: DataFrame) -> DataFrame:
+    """size, components, nodes, components_at_least: how many components have each size, and that size or more."""
+    per = component_sizes(components).groupBy("size").agg(F.count(F.lit(1)).alias("components"), F.sum("size").alias("nodes"))
+    return running_sums(per, [], [("size", False)], {"components_at_least": "components"})
+
+
+def edges_per_class(edges: DataFrame, column: str = "highway") -> DataFrame:
+    """Edges, self-loops and kilometres of every road class; edges without one are a class of their own."""
+    return edges.groupBy(F.coalesce(F.col(column), F.lit("(none)")).alias("class")).agg(
+        F.count(F.lit(1)).alias("edges"), F.count(F.when(F.col("src") == F.col("dst"), 1)).alias("self_loops"),
+        F.sum("base_distance_km").alias("total_km"))
+
+
+def extreme_nodes(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """side, node, lon, lat: the west-, east-, south- and northernmost of the nodes; of equal ones the lowest id."""
+    at = members.select(F.col("node").alias("id")).join(nodes, "id")
+    whole = F.struct(F.col("id").alias("node"), "lon", "lat")
+    picks = {"west": F.col("lon"), "east": -F.col("lon"), "south": F.col("lat"), "north": -F.col("lat")}
+    found = at.agg(*[F.min_by(whole, F.struct(v.alias("v"), "id")).alias(s) for s, v in picks.items()])
+    return found.select(F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("n")) for s in picks])).alias("e")).where(
+        "e.n IS NOT NULL").select("e.side", "e.n.*")
+
+
 def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """node, hops: breadth-first levels from the source nodes (column ``node``), until a level finds nothing new."""
     links = durable(edges.select("src", "dst").distinct())
