@@ -21,9 +21,8 @@ def flat(df, column: str, sep: str = "; "):
 @query("b2_state_filter", sql="""
   SELECT c_custkey, c_mktsegment FROM customer WHERE upper(coalesce(c_mktsegment, '')) = 'BUILDING'""")
 def state_filter(t):
-    from slopeline.operators.lookup import equals_ignoring_case
-    return t.customer.where(equals_ignoring_case(F.col("c_mktsegment"), "Building")).select(
-        "c_custkey", "c_mktsegment")
+    from slopeline.operators.lookup import rows_of
+    return rows_of(t.customer, "c_mktsegment", "Building").select("c_custkey", "c_mktsegment")
 
 
 @query("b3_class_filter_counts", views="segment", sql="""

@@ -8,15 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopeline.operators.asof import DAY_SECONDS, micros, time_slices
+from slopeline.schema import require_rows
 
 
-def qualifying_events(events: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
-    """Events with a parsable time and, when given, one of the wanted types."""
+def qualifying_events(events: DataFrame, types: Sequence[str] | None = None, required: bool = False) -> DataFrame:
+    """Events with a parsable time and, when given, one of the wanted types. ``required``: reading them fails
+    when no event has a parsable time."""
     timed = events.withColumn("event_time", F.expr("try_cast(event_time AS timestamp_ntz)"))
     for c in ("event_type", "affected_segment_id", "latitude", "longitude"):
         if c not in timed.columns:
             timed = timed.withColumn(c, F.lit(None).cast("string"))
     timed = timed.where(F.col("event_time").isNotNull())
+    if required:
+        timed = require_rows(timed, "no event has a usable time")
     return timed if types is None else timed.where(F.col("event_type").isin(list(types)))
 
 

@@ -8,12 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopeline.functions.validate import CONFIRMED_REF, FIRST_EVENT_DAY, messages
+from slopeline.schema import require_rows
 
 
 def equals_ignoring_case(c: Column, value: str) -> Column:
     return F.upper(F.coalesce(c, F.lit(""))) == value.upper()
 
 
+def rows_of(df: DataFrame, column: str, value: str) -> DataFrame:
+    """The rows whose column equals a text, ignoring case; reading them fails when there is none."""
+    return require_rows(df.where(equals_ignoring_case(F.col(column), value)), f"no row with {column} = {value!r}")
+
+
 def in_classes(c: Column, classes: Sequence[str]) -> Column:
     return F.lower(F.coalesce(c, F.lit(""))).isin([x.lower() for x in classes])
 

@@ -39,3 +39,13 @@ def finite(value: Column) -> Column:
     """True for a number that is neither NULL, NaN nor infinite; text that is no number is not."""
     v = value.try_cast("double")
     return F.coalesce(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False))
+
+
+def require_rows(df: DataFrame, message: str) -> DataFrame:
+    """``df``, failing the job that reads it with ``message`` when it has no row.
+
+    The check is a branch of the same plan, a count that yields no row or the error, so nothing runs before.
+    """
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    failed = n.where(F.when(F.col("_n") == 0, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(False)))
+    return df.unionByName(failed.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]))

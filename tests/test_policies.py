@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from slopeline.functions import scoring as sc
 from slopeline.functions import text as tx
 from slopeline.functions import validate as va
-from slopeline.operators import alerts, lookup, metrics, missing, quality, sets
+from slopeline.operators import alerts, intervals, lookup, metrics, missing, quality, sets
 
 
 def scored(spark, ys, ss):
@@ -174,6 +174,16 @@ def test_static_join_rejects_duplicate_keys(spark):
         lookup.join_static(left, right, ["k"]).collect()
 
 
+def test_empty_results_fail_when_read(spark):
+    df = spark.createDataFrame([("Assam", "2024-01-02"), (None, "never")], "state string, event_time string")
+    assert [r.state for r in lookup.rows_of(df, "state", "ASSAM").collect()] == ["Assam"]
+    with pytest.raises(Exception, match="no row with state"):
+        lookup.rows_of(df, "state", "Bihar").collect()
+    assert intervals.qualifying_events(df, required=True).count() == 1
+    with pytest.raises(Exception, match="no event has a usable time"):
+        intervals.qualifying_events(df.where("state IS NULL"), required=True).collect()
+
+
 def test_reissue(spark):
     ex = spark.createDataFrame([("old_1", 1), ("old_2", 2), ("x", 3)], "observation_id string, k long")
     inc = spark.createDataFrame([("n1", 1), ("n3", 3)], "observation_id string, k long")
