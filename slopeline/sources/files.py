@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,8 +120,10 @@ def file_inventory(spark: SparkSession, path: str, with_hash: bool = True) -> Da
 
 def build_manifest(inventory: DataFrame, root: str, excluded: Sequence[str] = (), minimum_files: int = 1) -> DataFrame:
     """relative path -> sha256; too few files fail the job."""
-    at = F.instr("path", root.rstrip("/") + "/")
-    rel = F.when(at > 0, F.substr(F.col("path"), at + len(root.rstrip("/")) + 1)).otherwise(F.col("path"))
+    # a root may be a whole path with a scheme or without, or its last folders
+    root = "".join(f"/{part}" for part in re.sub("^[A-Za-z0-9+.-]+:", "", root).split("/") if part not in ("", ".", "..")) + "/"
+    at = F.instr("path", root)
+    rel = F.when(at > 0, F.substr(F.col("path"), at + len(root))).otherwise(F.col("path"))
     out = inventory.select(rel.alias("relative_path"), "sha256", "size_bytes")
     for prefix in excluded:
         out = out.where(~F.col("relative_path").startswith(prefix))
@@ -130,6 +133,18 @@ def build_manifest(inventory: DataFrame, root: str, excluded: Sequence[str] = ()
     return out
 
 
+def table_manifest(manifest: DataFrame, suffix: str = ".parquet") -> DataFrame:
+    """One line per table: a table written as a folder of files has the digest of its files' names and digests, in
+    order of their names; tables of one file keep theirs. A file without a hash leaves its table without one."""
+    name = F.regexp_extract("relative_path", "^(.*?" + suffix.replace(".", "[.]") + ")/", 1)
+    table = F.when(name != "", name).otherwise(F.col("relative_path"))
+    lines = F.array_sort(F.collect_list(F.concat_ws(" ", "relative_path", "sha256")))
+    whole = F.when(F.count("sha256") == F.count(F.lit(1)), F.sha2(F.array_join(lines, "\n"), 256))
+    alone = F.max(F.when(name == "", F.col("sha256")))
+    return manifest.groupBy(table.alias("_table")).agg(F.coalesce(alone, whole).alias("sha256"), F.sum("size_bytes").alias("size_bytes")).select(
+        F.col("_table").alias("relative_path"), "sha256", "size_bytes")
+
+
 def verify_manifest(manifest: DataFrame, actual: DataFrame) -> DataFrame:
     """OK, MISSING, MISMATCH, UNLISTED or UNHASHED (on either side) per path."""
     a = actual.select("relative_path", F.col("sha256").alias("actual_sha256"), F.lit(True).alias("_here"))
