@@ -98,22 +98,30 @@ def nearest_per_event(events: DataFrame, roads: DataFrame, n: int = 50, *, event
     dividing their numbers. Every event goes down the levels and keeps the occupied cells whose least distance
     does not exceed the greatest distance of cells that surely hold n roads. So an event far from all roads
     reads the nearest cells only, like any other. Events and roads without coordinates take no part.
+
+    Roads with the same coordinates are equally far from everything: they are one shape, which carries its n lowest
+    ids, as no other of its roads can be among the n nearest. Events at one place are answered once. An id names one road.
     """
+    at, shape = "_at", "_shape"
     segments = F.when(F.size("coords") == 1, F.array(F.struct(F.col("coords")[0].alias("a"), F.col("coords")[0].alias("b")))).otherwise(
         geo.pairs(F.col("coords")))
-    shaped = roads.where(F.size("coords") > 0).select(road, F.posexplode(segments).alias("_i", "_s")).select(
-        road, "_i", *[F.col(f"_s.{p}.{c}").alias(f"_{p}{n}") for p in ("a", "b") for c, n in (("lon", "x"), ("lat", "y"))])
+    lowest = first_rows(roads.where(F.size("coords") > 0).select(road, "coords").distinct(), ["coords"], [road], n)
+    shapes = durable(lowest.groupBy("coords").agg(F.array_sort(F.collect_list(road)).alias("_ids")).withColumn(shape, F.monotonically_increasing_id()))
+    shaped = shapes.select(shape, F.size("_ids").alias("_roads"), F.posexplode(segments).alias("_i", "_s")).select(
+        shape, "_roads", "_i", *[F.col(f"_s.{p}.{c}").alias(f"_{p}{n}") for p in ("a", "b") for c, n in (("lon", "x"), ("lat", "y"))])
     ext = shaped.agg(F.min(F.least("_ax", "_bx")), F.max(F.greatest("_ax", "_bx")), F.min(F.least("_ay", "_by")), F.max(F.greatest("_ay", "_by")),
-                     F.count(F.when(F.col("_i") == 0, 1))).first()
-    pts = events.where("longitude IS NOT NULL AND latitude IS NOT NULL").select(event, F.col("longitude").alias("_ex"), F.col("latitude").alias("_ey"))
+                     F.sum(F.when(F.col("_i") == 0, F.col("_roads")))).first()
+    place = F.struct(F.col("longitude").alias("x"), F.col("latitude").alias("y")).alias(at)
+    asking = events.where("longitude IS NOT NULL AND latitude IS NOT NULL").select(event, place).distinct()
+    pts = asking.select(at).distinct().select(at, F.col(f"{at}.x").alias("_ex"), F.col(f"{at}.y").alias("_ey"))
     if not ext[4]:
-        return pts.limit(0).select(event, F.lit(None).cast(roads.schema[road].dataType).alias(road),
+        return asking.limit(0).select(event, F.lit(None).cast(roads.schema[road].dataType).alias(road),
                                    F.lit(None).cast("double").alias("distance_m"), F.lit(0).alias("rank"), F.lit(False).alias("within_search_radius"))
     width, height = max(ext[1] - ext[0], 1e-3), max(ext[3] - ext[2], 1e-3)
     size = (n * width * height / ext[4]) ** 0.5 / 2
     home = (F.col("_i") == 0) & (F.col("_cx") == F.floor(F.col("_ax") / size)) & (F.col("_cy") == F.floor(F.col("_ay") / size))
     fine = durable(box_cells(shaped, F.least("_ax", "_bx"), F.least("_ay", "_by"), F.greatest("_ax", "_bx"), F.greatest("_ay", "_by"), size).select(
-        road, "_ax", "_ay", "_bx", "_by", "_cx", "_cy", home.cast("int").alias("_home")))
+        shape, "_ax", "_ay", "_bx", "_by", "_cx", "_cy", F.when(home, F.col("_roads")).otherwise(0).alias("_home")))
     occupied = durable(fine.groupBy("_cx", "_cy").agg(F.sum("_home").alias("_own")))
 
     def level(k: int) -> DataFrame:
@@ -123,25 +131,27 @@ def nearest_per_event(events: DataFrame, roads: DataFrame, n: int = 50, *, event
     levels = max(0, math.ceil(math.log2(max(width, height) / size + 1) / LEVEL_BITS) - 1)
     # a few cells cover the extent at the top
     top = [F.struct(F.lit(r._cx).alias("_cx"), F.lit(r._cy).alias("_cy"), F.lit(r._own).alias("_own")) for r in level(levels).collect()]
-    pairs = pts.withColumn("_c", F.explode(F.array(*top))).select(event, "_ex", "_ey", "_c.*", F.lit(None).cast("double").alias("_reach"))
+    pairs = pts.withColumn("_c", F.explode(F.array(*top))).select(at, "_ex", "_ey", "_c.*", F.lit(None).cast("double").alias("_reach"))
     for k in range(levels, -1, -1):
-        pairs = _within_reach(pairs, event, n, size * (1 << k * LEVEL_BITS))
+        pairs = _within_reach(pairs, at, n, size * (1 << k * LEVEL_BITS))
         if k:
             below = level(k - 1).select(F.shiftright("_cx", LEVEL_BITS).alias("_px"), F.shiftright("_cy", LEVEL_BITS).alias("_py"),
                                         F.col("_cx").alias("_nx"), F.col("_cy").alias("_ny"), "_own")
             pairs = pairs.join(below, (F.col("_cx") == F.col("_px")) & (F.col("_cy") == F.col("_py"))).select(
-                event, "_ex", "_ey", F.col("_nx").alias("_cx"), F.col("_ny").alias("_cy"), "_own", "_reach")
-    # both sides are projected before they meet: an event once, a segment of a cell once per zone that asks for it
+                at, "_ex", "_ey", F.col("_nx").alias("_cx"), F.col("_ny").alias("_cy"), "_own", "_reach")
+    # both sides are projected before they meet: a place once, a segment of a cell once per zone that asks for it
     asked = durable(pairs.withColumn("_zone", geo.utm_zone(F.col("_ex"))))
     meridian = geo.central_meridian(F.col("_zone"))
-    shapes = fine.join(asked.select("_cx", "_cy", "_zone").distinct(), ["_cx", "_cy"]).select(
-        "_cx", "_cy", "_zone", road, geo.project(F.col("_ax"), F.col("_ay"), meridian).alias("_a"), geo.project(F.col("_bx"), F.col("_by"), meridian).alias("_b"))
-    placed = asked.select(event, "_cx", "_cy", "_zone", geo.project(F.col("_ex"), F.col("_ey"), meridian).alias("_p"))
-    met = placed.join(shapes, ["_cx", "_cy", "_zone"]).select(
-        event, road, geo.point_segment(F.col("_p.x"), F.col("_p.y"), F.col("_a"), F.col("_b")).alias("distance_m"))
-    # of a road, the segments in reach
-    found = first_rows(met.groupBy(event, road).agg(F.min("distance_m").alias("distance_m")), [event], ["distance_m", road], n)
-    return found.withColumn("within_search_radius", F.col("distance_m") <= radius_m)
+    drawn = fine.join(asked.select("_cx", "_cy", "_zone").distinct(), ["_cx", "_cy"]).select(
+        "_cx", "_cy", "_zone", shape, geo.project(F.col("_ax"), F.col("_ay"), meridian).alias("_a"), geo.project(F.col("_bx"), F.col("_by"), meridian).alias("_b"))
+    placed = asked.select(at, "_cx", "_cy", "_zone", geo.project(F.col("_ex"), F.col("_ey"), meridian).alias("_p"))
+    met = placed.join(drawn, ["_cx", "_cy", "_zone"]).select(
+        at, shape, geo.point_segment(F.col("_p.x"), F.col("_p.y"), F.col("_a"), F.col("_b")).alias("distance_m"))
+    # of a shape, the segments in reach; of n shapes, the first n roads
+    ids = shapes.select(shape, "_ids", F.col("_ids")[0].alias("_low"))
+    near = first_rows(met.groupBy(at, shape).agg(F.min("distance_m").alias("distance_m")).join(ids, shape), [at], ["distance_m", "_low"], n)
+    found = first_rows(near.select(at, F.explode("_ids").alias(road), "distance_m"), [at], ["distance_m", road], n)
+    return asking.join(found, at).select(event, road, "distance_m", "rank", (F.col("distance_m") <= radius_m).alias("within_search_radius"))
 
 
 def nearby_by_ref(roads: DataFrame, ref: str, lon: float, lat: float, radius_km: float = 30.0, k: int = 8) -> DataFrame:

@@ -59,6 +59,23 @@ def test_nearest_per_event_matches_brute_force(spark):
         assert [(x.osm_id) for x in sorted((g for g in got if g.event_id == e), key=lambda g: g.rank)] == [i for _, i in want]
 
 
+def test_nearest_of_stacked_roads_and_events(spark, monkeypatch):
+    """Many roads on the same coordinates and many events at the same place: no pair of them meets more than once."""
+    coords = {i: [(88.0 + i % 3, 22.0 + i % 4), (88.05 + i % 3, 22.1 + i % 4)] for i in range(600)}
+    r = spark.createDataFrame(list(coords.items()), "osm_id long, coords array<struct<lon:double,lat:double>>")
+    ev = spark.createDataFrame([(e, 89.0 + e % 2, 23.3) for e in range(200)], "event_id long, longitude double, latitude double")
+    written = []
+    real = spatial.durable
+    monkeypatch.setattr(spatial, "durable", lambda df: written.append(real(df)) or written[-1])
+    got = spatial.nearest_per_event(ev, r, 60).collect()
+    assert max(df.count() for df in written) < 600
+    d = spatial.event_road_distance(F.col("longitude"), F.col("latitude"), F.col("coords"))
+    every = ev.where("event_id < 2").crossJoin(r).select("event_id", "osm_id", d.alias("d")).collect()
+    for e in range(200):
+        want = sorted((x.d, x.osm_id) for x in every if x.event_id == e % 2)[:60]
+        assert [(g.osm_id, g.rank) for g in sorted((g for g in got if g.event_id == e), key=lambda g: g.rank)] == [(i, k + 1) for k, (_, i) in enumerate(want)]
+
+
 def test_overlap_share(spark):
     sq = F.expr("array(named_struct('x',0D,'y',0D), named_struct('x',2D,'y',0D), named_struct('x',2D,'y',2D), named_struct('x',0D,'y',2D))")
     pt = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
