@@ -195,21 +195,28 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str,
 
 def consecutive(df: DataFrame, by: Sequence[str], order: Sequence[OrderItem],
                 value: str) -> DataFrame:
-    """Consecutive pairs (by..., pos, a, b) of ``value`` along a unique order in each group.
+    """Consecutive pairs (by..., pos, a, b) of ``value`` along an order in each group; rows equal in all of it
+    have equal values.
 
-    In small inputs the next value is read in the window that numbers the rows. Others are numbered in slices,
-    and neighbours meet by position.
+    The next value is read in the window that numbers the rows, so rows are shuffled once. Only groups large enough
+    to have bounds go another way: their equal rows are counted, numbered in slices, and neighbours meet by position.
     """
     by = list(by)
+    w = Window.partitionBy(*by).orderBy(*sort_columns(df, order))
+    pairs = [*by, F.row_number().over(w).cast("bigint").alias("pos"), F.col(value).alias("a"), F.lead(value).over(w).alias("b")]
     if is_small(df):
-        w = Window.partitionBy(*by).orderBy(*sort_columns(df, order))
-        both = df.select(*by, F.row_number().over(w).cast("bigint").alias("pos"), F.col(value).alias("a"), F.lead(value).over(w).alias("b"))
-        return both.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    ranked = rank_rows(df, by, order, "pos").select(*by, "pos", F.col(value).alias("_v"))
+        return df.select(*pairs).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    # one row for each group of millions
+    cut = F.broadcast(slice_bounds(df, by, order).select(*[f"_b_{b}" for b in by]))
+    large = [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by] or F.lit(True)
+    whole = df.join(cut, large, "left_anti").select(*pairs)
+    same = [*by, *[c for c, _ in _items(order) if c not in by]]
+    counted = df.join(cut, large, "left_semi").groupBy(*same).agg(F.max(value).alias("_v"), F.count(F.lit(1)).alias("_copies"))
+    lines = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).drop("_copies")
+    ranked = rank_rows(lines, by, [*order, "_copy"], "pos").select(*by, "pos", "_v")
     role = F.explode(F.array(F.struct(F.col("pos").alias("p"), F.lit(0).alias("r")),
                              F.struct((F.col("pos") - 1).alias("p"), F.lit(1).alias("r"))))
-    both = ranked.select(*by, "_v", role.alias("_e"))
-    met = both.groupBy(*by, F.col("_e.p").alias("pos")).agg(
+    met = ranked.select(*by, "_v", role.alias("_e")).groupBy(*by, F.col("_e.p").alias("pos")).agg(
         F.max(F.when(F.col("_e.r") == 0, F.col("_v"))).alias("a"),
         F.max(F.when(F.col("_e.r") == 1, F.col("_v"))).alias("b"))
-    return met.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    return whole.unionByName(met).where(F.col("a").isNotNull() & F.col("b").isNotNull())

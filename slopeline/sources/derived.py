@@ -164,21 +164,14 @@ def points(t) -> DataFrame:
         _spread("o_orderkey", 17, 800, 22).alias("lat"))
 
 
-# The full order of a way; the line number alone is not unique.
-WAY_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
-
-
 def way_hops(t) -> DataFrame:
-    """Consecutive node pairs of the ways: the parts of an order in line order."""
-    # order values count copies, so that fully equal lines keep one position each
-    lines = (t.lineitem.groupBy("l_orderkey", *WAY_ORDER).agg(F.count(F.lit(1)).alias("_copies"))
-             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))
-    lines = lines.select(F.col("l_orderkey").alias("way_id"), "l_linenumber", "l_partkey", "l_suppkey",
+    """Consecutive node pairs of the ways: the parts of an order in line order; the line number alone is not unique."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("way_id"), "l_linenumber", "l_partkey", "l_suppkey",
                          F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                                           F.col("l_shipdate")).alias("shipped"),
-                         "l_extendedprice", "l_quantity", "_copy", F.col("l_partkey").alias("node"))
+                         "l_extendedprice", "l_quantity", F.col("l_partkey").alias("node"))
     return consecutive(lines, ["way_id"], ["l_linenumber", "l_partkey", "l_suppkey", "shipped",
-                                           "l_extendedprice", "l_quantity", "_copy"], "node")
+                                           "l_extendedprice", "l_quantity"], "node")
 
 
 def nodes(t) -> DataFrame:

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entrypoint
 from slopeline.catalog import QUERIES, run
@@ -51,6 +52,28 @@ def test_twin_with_sliced_groups(spark, small, monkeypatch, name):
     assert oracle.compare(name, spark, small) == []
 
 
+def test_hops_shuffle_lines_once(spark, small, monkeypatch):
+    """Only ways of millions of lines, of which there are none, are counted and numbered in slices."""
+    monkeypatch.setattr(ordered, "SMALL_BYTES", -1)
+    df = run("e24_consecutive_nodes", spark, small)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning(way_id") == 1
+
+
+def test_equal_rows_of_sliced_groups_keep_their_positions(spark, monkeypatch):
+    rows = [(g, i // 3) for g in (1, None) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, o int").withColumn("v", F.col("o"))
+    want = sorted((g or 0, i + 1, i // 3, (i + 1) // 3) for g in (1, None) for i in range(299))
+    found = []
+    for small_bytes, one_in in ((1 << 30, 3), (-1, 3), (-1, 1 << 30)):
+        monkeypatch.setattr(ordered, "SMALL_BYTES", small_bytes)
+        monkeypatch.setattr(ordered, "PICK_ONE_IN", one_in)
+        monkeypatch.setattr(ordered, "PICKS_PER_SLICE", 4)
+        found.append(sorted((r.g or 0, r.pos, r.a, r.b) for r in ordered.consecutive(df, ["g"], ["o"], "v").collect()))
+    assert found == [want] * 3
+
+
 def test_the_risk_feed_is_planned_at_once(spark, small):
     """Rules do not ride through the joins and windows above them."""
     from slopeline.catalog.learning import BOOKKEEPING, RELEASED, derived, scoring
