@@ -46,9 +46,9 @@ def edges_of_ways(hops: DataFrame, nodes: DataFrame, attributes: DataFrame, way:
     na = nodes.select(F.col("id").alias("a"), F.col("lon").alias("_x1"), F.col("lat").alias("_y1"))
     nb = nodes.select(F.col("id").alias("b"), F.col("lon").alias("_x2"), F.col("lat").alias("_y2"))
     km = geo.haversine(F.col("_x1"), F.col("_y1"), F.col("_x2"), F.col("_y2"))
-    placed = (hops.where(F.col("a") != F.col("b")).join(na, "a").join(nb, "b").withColumn("base_distance_km", km)
-              .where("base_distance_km > 0").drop("_x1", "_y1", "_x2", "_y2"))
-    known = placed.join(attributes, way, "left")
+    # hops come dealt by their way
+    known = (hops.where(F.col("a") != F.col("b")).join(attributes, way, "left").join(na, "a").join(nb, "b").withColumn("base_distance_km", km)
+             .where("base_distance_km > 0").drop("_x1", "_y1", "_x2", "_y2"))
     known = known.withColumn("risk_multiplier", F.coalesce("risk_multiplier", F.lit(1.0))).withColumn(
         "blocked", F.coalesce("blocked", F.lit(False)))
     return _directed(known).drop("a", "b")
@@ -285,30 +285,39 @@ def route_statistics(totals: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def largest_strong_component(edges: DataFrame) -> DataFrame:
-    """Nodes of the largest strongly connected component.
+    """Nodes of the largest strongly connected component; of equally large ones, that with the smallest node.
 
-    Nodes without an incoming or outgoing edge are trimmed. A pivot with many edges is chosen; what it
-    reaches and what reaches it meet in its component. The component is removed and the search goes on
-    until the remaining nodes cannot beat the best one.
+    Nodes without an incoming or outgoing edge are trimmed. In every part that hangs together a pivot with many
+    edges is chosen; what it reaches and what reaches it meet in its component. All parts are searched together, so
+    rounds do not grow with their number. The components are removed and the search goes on in the parts that can
+    still beat the best one.
     """
     live = durable(edges.select("src", "dst").where("src <> dst").distinct())
-    best, best_size = None, 1
-    while True:  # every round removes a component
+    best, best_size, best_low = None, 1, None
+    while True:  # every round removes a component of each part
         live = _trim(live)
-        d = degrees(live)
-        left, pivot = d.agg(F.count(F.lit(1)), F.max(F.struct((F.col("in_degree") * F.col("out_degree")).alias("k"),
-                                                              F.col("node").alias("node")))).first()
-        if left <= best_size:
+        parts = weak_components(live)
+        size = F.count(F.lit(1))
+        pivot = F.max_by("node", F.struct(F.col("in_degree") * F.col("out_degree"), "node"))
+        found = parts.join(degrees(live), "node").groupBy("component").agg(pivot.alias("pivot"), size.alias("size"))
+        # a part's name is its smallest node
+        open_ = F.col("size") > best_size
+        if best is not None:
+            open_ = open_ | ((F.col("size") == best_size) & (F.col("component") < F.lit(best_low)))
+        hopeful = durable(found.where(open_))
+        if hopeful.isEmpty():
             break
-        start = live.where(F.col("src") == F.lit(pivot.node)).select(F.col("src").alias("node"))
+        inside = parts.join(hopeful.select("component"), "component", "left_semi").select("node")
+        live = durable(live.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst"))
+        start = hopeful.select(F.col("pivot").alias("node"))
         ahead = reachable(live, start).select("node")
         back = reachable(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start).select("node")
-        comp = durable(ahead.join(back, "node", "left_semi"))
-        size = comp.count()
-        if size > best_size:
-            best, best_size = comp, size
-        live = live.join(comp.withColumnRenamed("node", "src"), "src", "left_anti").join(
-            comp.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+        comps = durable(ahead.join(back, "node", "left_semi").join(parts, "node").select("node", "component"))
+        first = comps.groupBy("component").agg(size.alias("size"), F.min("node").alias("low")).orderBy(F.desc("size"), "low").first()
+        if first["size"] > best_size or (first["size"] == best_size and best is not None and first["low"] < best_low):
+            best, best_size, best_low = comps.where(F.col("component") == F.lit(first["component"])).select("node"), first["size"], first["low"]
+        live = live.join(comps.select(F.col("node").alias("src")), "src", "left_anti").join(
+            comps.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
     if best is None:
         # no cycle: every component is a single node
         return edges.select(F.least("src", "dst").alias("node")).agg(F.min("node").alias("node")).where("node IS NOT NULL")

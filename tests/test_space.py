@@ -108,6 +108,19 @@ def test_strong_component(spark):
     assert graph.largest_strong_component(edges(spark, [(1, 2), (2, 3)])).count() == 1
 
 
+def test_strong_components_of_many_parts(spark, monkeypatch):
+    """Parts are searched together, and of equally large components that with the smallest node is returned."""
+    rings = [(100 * p + i, 100 * p + (i + 1) % 5) for p in range(12) for i in range(5)] + [(100 * p + 4, 100 * p + 50) for p in range(12)]
+    written = []
+    real = graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: written.append(1) or real(df))
+    assert sorted(r.node for r in graph.largest_strong_component(edges(spark, rings)).collect()) == [0, 1, 2, 3, 4]
+    assert len(written) < 60
+    # the part of the best pivot holds two smaller components, another part the largest
+    two = [(a, b) for a in range(4) for b in range(4) if a != b] + [(3, 10)] + [(10 + i, 10 + (i + 1) % 3) for i in range(3)]
+    assert sorted(r.node for r in graph.largest_strong_component(edges(spark, two + [(30 + i, 30 + (i + 1) % 6) for i in range(6)])).collect()) == list(range(30, 36))
+
+
 def test_shortest_paths_and_routes(spark):
     e = edges(spark, EDGES).withColumn("base_km", F.col("cost"))
     src = spark.createDataFrame([(1,)], "node long")
