@@ -170,18 +170,23 @@ EVENT_RADIUS, ANCHOR_RADIUS, CORRIDOR_RADIUS, SEARCH_RADIUS = 1500.0, 350.0, 300
 def anchor_distances(roads: DataFrame, event: tuple[float, float], a: tuple[float, float], b: tuple[float, float]
                      ) -> DataFrame:
     """Distances of every road to an event, two anchors and the straight corridor between the anchors,
-    with the review flags."""
+    with the review flags.
+
+    A road file of few megabytes holds a million roads, so they are dealt to all tasks before they are measured.
+    Distances are written once: filters on the flags would repeat the geometry for every flag and row.
+    """
     zone = min(max(int((event[0] + 180) // 6) + 1, 1), 60)
     meridian = zone * 6 - 183.0
     xy = geo.project_line(F.col("coords"), meridian)
     pt = {n: geo.project(F.lit(p[0]), F.lit(p[1]), meridian) for n, p in (("e", event), ("a", a), ("b", b))}
-    base = roads.withColumn("_xy", xy)
+    dealt = roads.repartition(int(roads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "osm_id")
+    base = dealt.withColumn("_xy", xy)
     for n, p in pt.items():
         base = base.withColumn(f"_{n}", p)
     d = lambda n: geo.point_line(F.col(f"_{n}.x"), F.col(f"_{n}.y"), F.col("_xy"))
-    out = base.select(
+    out = durable(base.select(
         *roads.columns, d("e").alias("distance_to_event_m"), d("a").alias("distance_to_a_m"),
-        d("b").alias("distance_to_b_m"), geo.segment_line(F.col("_a"), F.col("_b"), F.col("_xy")).alias("distance_to_corridor_m"))
+        d("b").alias("distance_to_b_m"), geo.segment_line(F.col("_a"), F.col("_b"), F.col("_xy")).alias("distance_to_corridor_m")))
     out = out.select(
         "*", (F.col("distance_to_event_m") <= EVENT_RADIUS).alias("near_event"),
         (F.col("distance_to_a_m") <= ANCHOR_RADIUS).alias("near_a"),

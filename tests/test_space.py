@@ -76,6 +76,14 @@ def test_nearest_of_stacked_roads_and_events(spark, monkeypatch):
         assert [(g.osm_id, g.rank) for g in sorted((g for g in got if g.event_id == e), key=lambda g: g.rank)] == [(i, k + 1) for k, (_, i) in enumerate(want)]
 
 
+def test_anchor_distances_are_measured_once(spark):
+    """Filters on the flags read written distances, and a small file of roads is spread over tasks."""
+    out = spatial.anchor_distances(roads(spark, 50).coalesce(1), (93.2, 26.1), (93.0, 26.0), (93.5, 26.3))
+    text = out.where("within_anchor_search_radius OR corridor_consistent")._jdf.queryExecution().executedPlan().toString()
+    assert "coords" in text and "transform" not in text and "Scan parquet" in text
+    assert out.count() == 50 and out.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_overlap_share(spark):
     sq = F.expr("array(named_struct('x',0D,'y',0D), named_struct('x',2D,'y',0D), named_struct('x',2D,'y',2D), named_struct('x',0D,'y',2D))")
     pt = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
