@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,19 +108,39 @@ def effective_costs(edges: DataFrame) -> DataFrame:
                                        F.min("base_distance_km").alias("base_km")))
 
 
+# A graph with so few edges left is finished in one task: its rounds would be many small jobs.
+LAST_EDGES = 20_000
+
+
+def _representatives(edges: pa.Table) -> pa.Table:
+    """u, to: of each node of a few edges one node of its component."""
+    root: dict = {}
+
+    def find(v):
+        while (up := root.setdefault(v, v)) != v:
+            root[v] = root[up]
+            v = up
+        return v
+    for u, v in zip(edges["u"].to_pylist(), edges["v"].to_pylist(), strict=True):
+        root[find(u)] = find(v)
+    kind = edges.schema.field("u").type
+    return pa.table({"u": pa.array(list(root), kind), "to": pa.array([find(v) for v in list(root)], kind)})
+
+
 def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, component (its smallest node id).
 
     Every round hands each node to the best node of its closed neighbourhood under a fresh hash order
     and keeps the edges between different representatives. The graph shrinks by a constant factor per
     round in expectation whatever its shape, and only minima are aggregated, so hubs are no problem.
-    Rounds end when no edge is left; every round removes at least one node.
+    Rounds end when at most LAST_EDGES edges are left, which one task joins up; every round removes at least
+    one node.
     """
     links = durable(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct())
     live = links.where("u <> v")
     steps: list[DataFrame] = []
     i = 0
-    while not live.isEmpty():
+    while (left := live.count()) > LAST_EDGES:
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(i)).alias("h"), F.col(c).alias("n"))  # noqa: E731, B023
         best = both.groupBy("u").agg(F.min(order("v")).alias("m"))
@@ -131,6 +152,9 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
         discard(live)
         live = smaller
         i += 1
+    if left:
+        kind = live.schema["u"].dataType.simpleString()
+        steps.append(durable(live.groupBy(F.lit(0).alias("_all")).applyInArrow(_representatives, f"u {kind}, to {kind}")))
     everyone = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
     if nodes is not None:
         everyone = everyone.unionByName(nodes.select(F.col("id").alias("node")))

@@ -111,6 +111,19 @@ def test_weak_components_path_and_pairs(spark):
     assert {out[i] for i in range(61)} == {0} and out[101] == 100
 
 
+def test_weak_components_rounds_and_last_task_agree(spark, monkeypatch):
+    """A graph with few edges takes no rounds; whatever is left to the last task, the components are the same."""
+    chain = edges(spark, [(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (200, 200)])
+    written = []
+    real = graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: written.append(1) or real(df))
+    want = {(r.node, r.component) for r in graph.weak_components(chain).collect()}
+    assert len(written) == 3 and want == {(i, 0) for i in range(61)} | {(100, 100), (101, 100), (200, 200)}
+    for left in (0, 10):
+        monkeypatch.setattr(graph, "LAST_EDGES", left)
+        assert {(r.node, r.component) for r in graph.weak_components(chain).collect()} == want
+
+
 def test_strong_component(spark):
     assert sorted(r.node for r in graph.largest_strong_component(edges(spark, EDGES)).collect()) == [1, 2, 3]
     assert graph.largest_strong_component(edges(spark, [(1, 2), (2, 3)])).count() == 1
