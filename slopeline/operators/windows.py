@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slopeline.session import dealt
+
 # The window lengths in days.
 WINDOWS = (1, 3, 7, 14, 30)
 LOOKBACK_DAYS = 30
@@ -35,7 +37,7 @@ def trailing_features(daily: DataFrame, anchors: DataFrame | None = None, *, key
 
     Series are cut into blocks of days, each with a halo of the preceding lookback, so a window
     task holds at most two blocks of one key however hot the key is; one shuffle on (key, block)
-    serves all windows, and the five frames share one sort.
+    serves all windows, and the five frames share one sort. The tasks' number follows the input.
     """
     lookback = lookback or max(max(windows), LOOKBACK_DAYS)
     block = max(lookback, 64)
@@ -57,6 +59,7 @@ def trailing_features(daily: DataFrame, anchors: DataFrame | None = None, *, key
             "_is_anchor", F.lit(True))
         rows = obs.withColumn("_is_anchor", F.lit(False)).unionByName(
             wanted, allowMissingColumns=True)
+    rows = dealt(rows, key, "_block")
     order = Window.partitionBy(key, "_block").orderBy("_n")
     out = []
     for w in windows:

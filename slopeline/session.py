@@ -65,6 +65,28 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
+# Rows that a task takes of a table that is dealt anew, and bytes of input behind them.
+TASK_ROWS, TASK_BYTES = 100_000, 4 << 20
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` over tasks of about TASK_ROWS rows, however few files hold it; small tables stay as they are.
+
+    ``df`` should be a projection of a table, whose rows are counted from the footers of its files.
+    """
+    n = df.count() // TASK_ROWS
+    return df.repartition(n, *by) if n > 1 else df
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt by ``by`` into partitions whose number follows the bytes of its tables; starts no job.
+
+    Partitions of a given number are not merged again at run time, so a task's memory does not grow with the input.
+    """
+    n = input_bytes(df) // TASK_BYTES
+    return df.repartition(n, *by) if n > 1 else df
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the tables below ``df``, as the leaves of its analysed plan give them.
 

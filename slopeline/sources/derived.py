@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopeline.operators.ordered import consecutive
+from slopeline.session import dealt
 
 # Road class per part type (one type is left without a known class).
 HIGHWAY_BY_TYPE = {
@@ -33,7 +34,8 @@ def daily_obs(t) -> DataFrame:
 
 def daily_big(t) -> DataFrame:
     """Daily quantity per supplier, the same shape at a larger size."""
-    return (t.lineitem.groupBy(F.col("l_suppkey").alias("key"), _as_date("l_shipdate").alias("d"))
+    lines = t.lineitem.select(F.col("l_suppkey").alias("key"), _as_date("l_shipdate").alias("d"), "l_quantity")
+    return (dealt(lines, "key", "d").groupBy("key", "d")
             .agg(F.when(F.max("l_quantity") < 50, F.sum("l_quantity")).alias("v")))
 
 
