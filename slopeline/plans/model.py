@@ -20,7 +20,7 @@ from slopeline.functions.scoring import calibrate, contribution_records, top_fac
 from slopeline.operators.isotonic import isotonic_steps
 from slopeline.operators.quality import count_if
 from slopeline.schema import forbid_columns
-from slopeline.session import durable
+from slopeline.session import durable, spread
 
 # Size and pace of the boosted ensemble, and the early-stopping floor.
 BOOSTING = {"maxIter": 200, "maxDepth": 2, "stepSize": 0.03, "subsamplingRate": 0.8, "minInstancesPerNode": 5, "seed": 2026}
@@ -130,8 +130,10 @@ def _quote(v: str) -> str:
 
 def fit_multiclass(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str = "risk_class",
                    trees: int = 60, depth: int = 8) -> PipelineModel:
-    """Forest on the four proxy classes (Spark's boosted trees are binary)."""
+    """Forest on the four proxy classes (Spark's boosted trees are binary). The forest keeps each task's rows in
+    memory, so they are dealt to tasks by their number."""
     guarded(df, [*numeric, *categorical], label)
+    df = spread(df.select(*numeric, *categorical, label))
     prep = preprocess(df, numeric, categorical)
     forest = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=2026)
     return Pipeline(stages=[*prep.getStages(), forest]).fit(df.withColumn(label, F.col(label).cast("double")))
