@@ -12,16 +12,16 @@ from slopeline.functions.scoring import calibrate, decision, risk_band
 from slopeline.operators import metrics
 from slopeline.operators.isotonic import isotonic_steps
 from slopeline.plans import audit, dataset, folds, model, scoring
-from slopeline.session import durable
+from slopeline.session import durable, spread
 from slopeline.sources import derived, files, sinks
 
 INPUTS = ["elevation_m", "slope_degrees", "rainfall_1day", "rainfall_3day", "rainfall_7day", "rainfall_14day",
           "rainfall_30day"]
 
 
-def labelled(t):
+def labelled(t, rows=None):
     """Valid scoring rows with a learnable label and a chronological split by date."""
-    valid, _ = scoring.validate_inputs(derived.risk_input(t), BOOKKEEPING)
+    valid, _ = scoring.validate_inputs(derived.risk_input(t) if rows is None else rows, BOOKKEEPING)
     rows = scoring.derive_inputs(valid).where("event_id IS NOT NULL")
     steep = F.coalesce("slope_degrees", F.lit(0.0)) * F.col("rainfall_7day") > 5000
     cut = F.lit("2000-01-01").cast("date")
@@ -98,7 +98,7 @@ def factors(t):
 
 
 def yearly(t):
-    return labelled(t).withColumn("month", F.trunc("prediction_time", "year")).withColumn("event_id", F.col("month").cast("string"))
+    return labelled(t, spread(derived.risk_input(t), "o_orderkey")).withColumn("month", F.trunc("prediction_time", "year")).withColumn("event_id", F.col("month").cast("string"))
 
 
 @query("e17_d25_grouped_cv")

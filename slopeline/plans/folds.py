@@ -67,8 +67,11 @@ def fit_folds(rows: DataFrame, width: int, folds: Folds, ridge: float = 1.0, ste
     ``rows``: x (array of ``width`` doubles), y (0 or 1), tag.
     """
     n, p = folds.n, width
-    sums = rows.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"), *[F.sum(F.get("x", i)).alias(f"s{i}") for i in range(p)],
-                                   *[F.sum(F.pow(F.get("x", i), 2)).alias(f"q{i}") for i in range(p)]).collect()
+    # the steps read equal rows as one, with their number
+    rows = durable(rows.groupBy("x", "y", "tag").agg(F.count(F.lit(1)).cast("double").alias("times")))
+    sums = rows.groupBy("tag").agg(F.sum("times").alias("n"), F.sum(F.col("y") * F.col("times")).alias("pos"),
+                                   *[F.sum(F.get("x", i) * F.col("times")).alias(f"s{i}") for i in range(p)],
+                                   *[F.sum(F.pow(F.get("x", i), 2) * F.col("times")).alias(f"q{i}") for i in range(p)]).collect()
     tags, parts = np.array([r.tag for r in sums], np.int64), np.array([tuple(r)[1:] for r in sums], np.float64).reshape(-1, 2 * p + 2)
     per = folds.trains(tags).T.astype(np.float64) @ parts
     count, pos = per[:, 0], per[:, 1]
@@ -95,8 +98,8 @@ def fit_folds(rows: DataFrame, width: int, folds: Folds, ridge: float = 1.0, ste
             g, h = np.zeros((len(some), p + 1)), np.zeros((len(some), p + 1, p + 1))
             for batch in batches:
                 x = np.hstack([np.ones((batch.num_rows, 1)), _matrix(batch.column(0), p)])
-                y, tag = np.asarray(batch.column(1)), np.asarray(batch.column(2))
-                member = folds.trains(tag)[:, some] * np.where(y[:, None] > 0, weigh[1, some], weigh[0, some])
+                y, tag, times = (np.asarray(batch.column(c)) for c in (1, 2, 3))
+                member = folds.trains(tag)[:, some] * times[:, None] * np.where(y[:, None] > 0, weigh[1, some], weigh[0, some])
                 q = _probability(x @ given.T)
                 g += (member * (q - y[:, None])).T @ x
                 second = member * q * (1 - q)
@@ -109,7 +112,7 @@ def fit_folds(rows: DataFrame, width: int, folds: Folds, ridge: float = 1.0, ste
             total = sum(np.frombuffer(b) for b in table.column("sums").to_pylist())
             return pa.table({"fold": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-        back = rows.select("x", "y", "tag").mapInArrow(work, "fold int, sums binary").groupBy("fold").applyInArrow(add, "fold int, sums binary").collect()
+        back = rows.select("x", "y", "tag", "times").mapInArrow(work, "fold int, sums binary").groupBy("fold").applyInArrow(add, "fold int, sums binary").collect()
         found = np.array([np.frombuffer(r.sums) for r in sorted(back, key=lambda r: r.fold)])
         g = np.einsum("kij,kj->ki", t, found[:, :p + 1]) + theta[live] @ penalty
         h = t @ found[:, p + 1:].reshape(-1, p + 1, p + 1) @ t.transpose(0, 2, 1) + penalty
@@ -188,6 +191,8 @@ def expanding_scores(df: DataFrame, features: Sequence[str], *, event: str = "ev
     """Out-of-fold scores of expanding-window folds over event groups: ``key``, fold (the last training group),
     label and raw_probability. Folds whose training rows hold one class score nothing."""
     from slopeline.operators.splits import event_groups
+    # the rows are read for their groups, times and means: their rules are worked out once
+    df = durable(df.select(*dict.fromkeys([*key, *features, event, time, label])))
     groups = event_groups(df, event, time, label).select("first_time", "group_no")
     first = df.groupBy(F.col(event).alias("_e")).agg(F.min(time).alias("first_time"))
     inputs, known = _inputs(df, features, label)
