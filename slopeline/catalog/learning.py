@@ -31,7 +31,7 @@ def labelled(t, rows=None):
 
 
 def parts(t):
-    rows = durable(labelled(t))
+    rows = durable(labelled(t).select("o_orderkey", "label", "split", *INPUTS))
     return tuple(rows.where(F.col("split") == s) for s in ("train", "validation", "test"))
 
 
@@ -161,8 +161,9 @@ def corridor_cv(t):
 def risk_feed(t):
     train, _, test = parts(t)
     fitted = model.fit_logistic(train, INPUTS)
-    rows = derived.risk_input(t).withColumn("_year", F.year("prediction_time"))
-    newest = rows.join(rows.agg(F.max("_year").alias("_year")), "_year").drop("_year")
+    rows = derived.risk_input(t)
+    # before the rules, so that these are worked out for the rows of one year only; a join would let them pass below it
+    newest = rows.where(F.year("prediction_time") == F.lit(rows.agg(F.max(F.year("prediction_time"))).first()[0]))
     seen = F.timestamp_add("HOUR", -(F.col("o_orderkey") % 200).cast("int"), F.col("prediction_time").cast("timestamp_ntz"))
     out = scoring.risk_feed(newest.withColumn("observed_at", seen), fitted, INPUTS, ignore=BOOKKEEPING, window=["ref"], key="o_orderkey",
                             profile={"rainfall_30day": (12.0, 600.0)}, observed="observed_at")

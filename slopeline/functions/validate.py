@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slopeline.functions.scoring import HIGHWAY_PRIOR
 from slopeline.schema import finite
@@ -16,6 +20,8 @@ MAX_RAINFALL_MM = 10000
 ELEVATION_RANGE = (-500, 9000)
 SLOPE_RANGE = (0, 90)
 MAX_DAYS = 30
+# The largest finite double.
+MAX_NUMBER = sys.float_info.max
 # Fields a scoring request may carry.
 METADATA = ["osm_id", "road_segment_id", "latitude", "longitude", "highway", "road_type", "category",
             "highway_prior", "bridge_flag", "rainfall_days_available"]
@@ -95,6 +101,27 @@ def scoring_errors(df: DataFrame, ignore: Sequence[str] = (), metadata: bool = T
     return messages(scoring_rules([c for c in df.columns if c not in ignore], metadata))
 
 
+def scoring_valid(df: DataFrame, ignore: Sequence[str] = (), metadata: bool = True, nan_is_null: bool = False) -> Column:
+    """Whether a row breaks no rule of ``scoring_errors``; never NULL. ``nan_is_null``: as after ``nan_to_null``.
+
+    One comparison for each column: an unknown or NaN value lies in no range. The messages of all rules, under a filter that
+    Spark moves down to where the columns are computed, are more code than the JVM compiles.
+    """
+    columns = [c for c in df.columns if c not in ignore]
+    within = lambda c, lo, hi: F.coalesce(F.col(c).try_cast("double").between(lo, hi), F.lit(False))
+    fractional = {f.name for f in df.schema.fields if nan_is_null and isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    absent = lambda c: F.col(c).isNull() | F.isnan(c) if c in fractional else F.col(c).isNull()
+    rules = [F.lit(not unknown_fields(columns))]
+    if metadata:
+        rules += [within(c, -limit, limit) for c, limit in (("latitude", 90), ("longitude", 180)) if c in columns]
+        rules += [absent(c) | F.lower(F.trim(F.col(c))).isin(list(HIGHWAY_PRIOR)) for c in ("highway", "road_type", "category") if c in columns]
+    rules += [within(c, 0, MAX_RAINFALL_MM) for c in RAINFALL]
+    rules += [absent(c) | within(c, *span) for c, span in (("slope_degrees", SLOPE_RANGE), ("elevation_m", ELEVATION_RANGE))]
+    rules += [absent(c) | within(c, 0, MAX_DAYS if c == "rainfall_days_available" else MAX_NUMBER)
+              for c in ("highway_prior", "bridge_flag", "rainfall_days_available") if c in columns]
+    return reduce(and_, rules)
+
+
 def event_entry_errors(states: Sequence[str], types: Sequence[str] = EVENT_TYPES) -> Column:
     """Problems of a collected event whose fields arrive as text."""
     required = ["event_id", "event_date", "event_type", "state", "location_name", "latitude", "longitude",

@@ -22,7 +22,7 @@ from slopeline.session import durable
 def validate_inputs(df: DataFrame, ignore: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejected rows with their errors)."""
     checked = df.withColumn("errors", va.scoring_errors(df, ignore))
-    return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
+    return df.where(va.scoring_valid(df, ignore)), checked.where(F.size("errors") > 0)
 
 
 def derive_inputs(df: DataFrame, prediction: str = "prediction_time") -> DataFrame:
@@ -59,12 +59,11 @@ def risk_feed(segments: DataFrame, model: PipelineModel | FrozenLogistic, featur
     of the newest observation's time, from which the freshness follows; unknown without it.
     feed_position counts from 1 by falling probability, unknown ones last.
 
-    The checked rows and the scores are written: the rule expressions would otherwise ride through every join
+    The valid rows and the scores are written: the rule expressions would otherwise ride through every join
     and window above them, and the model would run once for each ranking.
     """
-    known = nan_to_null(segments)
-    errors = va.scoring_errors(known, [*ignore, *([observed] if observed else [])])
-    valid = durable(known.withColumn("_errors", errors)).where(F.size("_errors") == 0).drop("_errors")
+    ok = va.scoring_valid(segments, [*ignore, *([observed] if observed else [])], nan_is_null=True)
+    valid = durable(nan_to_null(segments.where(ok)))
     ready = derive_inputs(valid)
     seen = F.col(observed).cast("timestamp_ntz") if observed else F.lit(None).cast("timestamp_ntz")
     flagged = quality_flags(ready, profile or {}, F.col("prediction_time").cast("timestamp_ntz"), seen)
