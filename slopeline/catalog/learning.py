@@ -30,8 +30,9 @@ def labelled(t, rows=None):
         .otherwise("test"))
 
 
-def parts(t):
-    rows = durable(labelled(t).select("o_orderkey", "label", "split", *INPUTS))
+def parts(t, *more):
+    """Training, validation and test rows: key, label, split, the inputs and the columns named in ``more``."""
+    rows = durable(labelled(t).select("o_orderkey", "label", "split", *INPUTS, *more))
     return tuple(rows.where(F.col("split") == s) for s in ("train", "validation", "test"))
 
 
@@ -248,7 +249,7 @@ def trace_summary(t):
 
 @query("h56_a20_trace_records")
 def trace_records(t):
-    train, _, test = parts(t)
+    train, _, test = parts(t, "osm_id", "ref", "state", "prediction_time", "terrain_known")
     fitted = model.fit_logistic(train, INPUTS)
     s = model.linear_factors(fitted, scoring.score_table(fitted, test, INPUTS, threshold=0.5), INPUTS)
     s = scoring.quality_flags(s, {}, F.col("prediction_time").cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz"))

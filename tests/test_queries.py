@@ -3,6 +3,7 @@
 import subprocess
 import sys
 import time
+from collections import Counter
 from pathlib import Path
 
 import oracle
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entrypoint
-from slopeline.catalog import QUERIES, run
+from slopeline.catalog import QUERIES, learning, registry, run
 from slopeline.operators import ordered
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -32,6 +33,14 @@ def test_runs(spark, small, name):
     assert run(name, spark, small).count() >= 1
 
 
+def test_trace_records(spark, small):
+    """The records name their segment, place and time, one for each test row."""
+    rows = run("h56_a20_trace_records", spark, small).collect()
+    tests = learning.parts(registry.Tables(spark, small), "osm_id", "prediction_time")[2].collect()
+    assert rows and len(rows[0]) == 22
+    assert Counter((r.road_segment_id, r.prediction_timestamp[:10]) for r in rows) == Counter((str(r.osm_id), str(r.prediction_time)[:10]) for r in tests)
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
