@@ -7,29 +7,37 @@ block. In each block a range join finds candidates: pivots cut the block into ce
 the cell of its nearest pivot and visits each other cell whose border is within the block's radius. The
 union of the candidates is verified by the cosine of the original vectors in double precision.
 
-Equal vectors are one row with a weight. The residents of a cell are cut into chunks and those who meet
-a chunk into splits, so a cell that holds a third of all vectors is many tasks of bounded size. A task
-sends back link counts and a spanning set of links, never its pairs. Vectors without structure are hard for any
-exact join: cells then hold back little, and the work is that of blocked products.
+Equal vectors are one row with a weight. Distinct vectors are written once, as plain arrays in the shared folder, and
+cut into chunks. A task maps one chunk and holds a run of others against it, cell by cell in every block, so vectors
+are not shuffled to the cells they visit and the disk grows with the vectors alone. A task sends back link counts
+and a spanning set of links, never its pairs. Vectors without structure are hard for any exact join: cells then hold
+back little, and the work is that of blocked products.
 """
 
 from __future__ import annotations
 
 import math
+import os
+import shutil
+import uuid
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slopeline.llm.vectors import float_kind, lengths, matrix, packed, unpacked, whole
+from slopeline.llm.vectors import float_kind, lengths, matrix, whole
 from slopeline.operators.graph import weak_components
-from slopeline.session import durable
+from slopeline.session import durable, shared_folder
 
-#: Vectors for each pivot, most pivots, rows of a chunk and of a split, side of a tile.
-PIVOT_ROWS, MAX_PIVOTS, CHUNK, SPLIT, TILE = 4096, 2048, 4096, 8192, 1024
+#: Vectors for each pivot, most pivots, most rows of a chunk and of those that a task holds against it, side of a tile.
+PIVOT_ROWS, MAX_PIVOTS, CHUNK, SPLIT, TILE = 4096, 2048, 16_384, 65_536, 1024
+#: A table has about so many chunks at least, unless they would be below so many rows; most components of a chunk and most tasks.
+CHUNKS, SMALL_CHUNK, CHUNK_VALUES, TASKS = 24, 1024, 1 << 22, 20_000
 #: Room for rounding; it only adds candidates.
 SLACK = 1e-5
 
@@ -81,163 +89,234 @@ class Blocks:
             near = np.minimum(near, ((rows - rows[far[0]]) ** 2).sum(1))
         return np.array(chosen)
 
-    def cells(self, turned: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each block the home cells, and (row, cell) of the visits to cells of smaller number."""
-        for k, (a, b) in enumerate(self.spans):
-            x, p = turned[:, a:b], self.pivots[k]
-            d = (x ** 2).sum(1)[:, None] + (p ** 2).sum(1)[None, :] - 2 * x @ p.T
-            home = d.argmin(1)
-            apart = np.sqrt(np.maximum(((p[home][:, None, :] - p[None, :, :]) ** 2).sum(2), 1e-12))
-            border = (d - d[np.arange(len(x)), home][:, None]) / (2 * apart)
-            row, cell = np.nonzero((border <= math.sqrt(self.share[k]) + SLACK) & (np.arange(len(p))[None, :] < home[:, None]))
-            yield k, home, row, cell
+    def cells(self, k: int, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The home cells in block ``k``, and by cell the rows that visit it from a cell of larger number."""
+        (a, b), p = self.spans[k], self.pivots[k]
+        square = (p ** 2).sum(1)
+        twice = 2 * np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * p @ p.T, 1e-12))
+        home, visit = np.zeros(len(turned), np.int64), np.zeros((len(p), len(turned)), bool)
+        for i in range(0, len(turned), TILE):
+            x = turned[i:i + TILE, a:b]
+            d = (x ** 2).sum(1)[:, None] + square[None, :] - 2 * x @ p.T
+            h = d.argmin(1)
+            border = (d - d[np.arange(len(x)), h][:, None]) / twice[h]
+            home[i:i + TILE] = h
+            visit[:, i:i + TILE] = ((border <= math.sqrt(self.share[k]) + SLACK) & (np.arange(len(p))[None, :] < h[:, None])).T
+        return home, visit
 
     def owner(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The first block in which pairs of turned rows are near, the same wherever it is asked."""
+        """The first block in which pairs of turned rows are near."""
         near = [((left[:, a:b] - right[:, a:b]) ** 2).sum(1) <= s for (a, b), s in zip(self.spans, self.share, strict=True)]
         return np.argmax(np.array(near), axis=0)
 
 
-def _assigned(vectors: DataFrame, blocks: Blocks, dim: int, kind: str, splits: dict[tuple[int, int], tuple[int, int]] | None) -> DataFrame:
-    """Without ``splits``: counts of residents and visitors by block and cell. With it: a row for every
-    chunk that a vector belongs to or meets."""
-    def places(uid: np.ndarray, turned: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        for k, home, row, cell in blocks.cells(turned):
-            for c in np.unique(np.concatenate([home, cell])):
-                yield k, int(c), np.flatnonzero(home == c), row[cell == c]
+def write_chunks(vectors: DataFrame, dim: int, kind: str, folder: str) -> DataFrame:
+    """``vectors`` (vec, weight and others) without vec, with a uid. Each task appends its vectors and weights to a file of its
+    own; the uid is the number of the task's attempt, which names the file, and the row in it."""
+    rest = [c for c in vectors.columns if c != "vec"]
+    at = rest.index("weight")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, n = TaskContext.get().taskAttemptId(), 0
         for batch in batches:
-            turned = unit(matrix(batch.column(2), dim)) @ blocks.turn
-            for k, c, home, visit in places(np.asarray(batch.column(0)), turned):
-                total[k, c] = total.get((k, c), 0) + np.array([len(home), len(visit)])
-        if total:
-            k, c = zip(*total, strict=True)
-            n = np.array(list(total.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(c, pa.int32()), pa.array(n[:, 0], pa.int64()), pa.array(n[:, 1], pa.int64())],
-                                             names=["block", "cell", "residents", "visitors"])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            uid, weight = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            rows = matrix(batch.column(2), dim)
-            turned = unit(rows) @ blocks.turn
-            for k, c, home, visit in places(uid, turned):
-                chunks, cut = splits.get((k, c), (1, 1))
-                own = uid[home] % chunks
-                at, chunk, split, base = [], [], [], []
-                for i in range(chunks):
-                    mine, later = home[own == i], home[own > i]
-                    for s in range(cut):  # the chunk itself goes to all of its splits
-                        at.append(mine)
-                        split.append(np.full(len(mine), s))
-                        base.append(np.ones(len(mine), bool))
-                    other = np.concatenate([later, visit])
-                    at.append(other)
-                    split.append(uid[other] // chunks % cut)
-                    base.append(np.zeros(len(other), bool))
-                    chunk.append(np.full(len(mine) * cut + len(other), i))
-                at, chunk, split, base = (np.concatenate(x) for x in (at, chunk, split, base))
-                if len(at):
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, k), pa.int32()), pa.array(np.full(n, c), pa.int32()), pa.array(chunk, pa.int32()), pa.array(split, pa.int32()),
-                         pa.array(base, pa.bool_()), pa.array(uid[at], pa.int64()), pa.array(weight[at], pa.int64()), packed(rows[at], kind)],
-                        names=["block", "cell", "chunk", "split", "base", "uid", "weight", "vec"])
-
-    slim = vectors.select("uid", "weight", "vec")
-    if splits is None:
-        return slim.mapInArrow(count, "block int, cell int, residents bigint, visitors bigint").groupBy("block", "cell").agg(
-            F.sum("residents").alias("residents"), F.sum("visitors").alias("visitors"))
-    return slim.mapInArrow(deal, "block int, cell int, chunk int, split int, base boolean, uid bigint, weight bigint, vec binary")
-
-
-def found_links(vectors: DataFrame, dim: int, kind: str, cosine: float, blocks: int = 4, sample: int = 16_384, seed: int = 7) -> DataFrame:
-    """uid, n, other: weighted link counts (``other`` NULL) and links that span each connected part (n 0).
-
-    ``vectors``: uid (distinct and not negative), weight, vec (whole, of one length).
+            if batch.num_rows:
+                for end, rows in (("vec", np.ascontiguousarray(matrix(batch.column(0), dim), kind)), ("weight", np.asarray(batch.column(1 + at)).astype("<i8"))):
+                    with open(f"{folder}/{name}.{end}", "ab") as file:
+                        file.write(rows.tobytes())
+                uid = (name << 32) + np.arange(n, n + batch.num_rows, dtype=np.int64)
+                n += batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(uid), *batch.columns[1:]], names=["uid", *rest])
+
+    kinds = ", ".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in rest)
+    return durable(vectors.select("vec", *rest).mapInArrow(write, f"uid bigint, {kinds}"))
+
+
+Stretch = tuple[int, int, int]
+
+
+def cut_files(files: list[tuple[int, int]], rows: int) -> list[list[Stretch]]:
+    """Chunks of ``rows`` rows, the last one shorter, as stretches (file, first row, end) of the files (name, rows)."""
+    out: list[list[Stretch]] = []
+    room = 0
+    for name, n in files:
+        first = 0
+        while first < n:
+            if not room:
+                out.append([])
+                room = rows
+            end = min(n, first + room)
+            out[-1].append((name, first, end))
+            room -= end - first
+            first = end
+    return out
+
+
+class Chunk:
+    """A chunk's rows as a task sees them, and their links: how many, and spanning ones."""
+
+    def __init__(self, cut: Blocks, folder: str, chunk: list[Stretch], dim: int, kind: str):
+        self.cut = cut
+        self.uid = np.concatenate([(name << 32) + np.arange(a, b) for name, a, b in chunk])
+        self.weight = np.concatenate([np.memmap(f"{folder}/{name}.weight", "<i8", "r")[a:b] for name, a, b in chunk])
+        self.rows = unit(stored(folder, chunk, dim, kind))
+        self.turned = self.rows @ cut.turn
+        self.n = np.zeros(len(self.uid), np.int64)
+        self.sides: dict[int, tuple] = {}
+
+    def side(self, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """Of block ``k`` both factors of the squared distances, the residents of each cell and its visitors."""
+        if k not in self.sides:
+            a, b = self.cut.spans[k]
+            low = self.turned[:, a:b].astype(np.float32)
+            square = (low ** 2).sum(1)[:, None]
+            # one product gives the squared distances: (x, |x|^2, 1) . (-2y, 1, |y|^2)
+            one = np.ones_like(square)
+            home, visit = self.cut.cells(k, self.turned)
+            order = np.argsort(home, kind="stable")
+            edge = np.searchsorted(home[order], np.arange(1, len(visit)))
+            self.sides[k] = np.hstack([low, square, one]), np.hstack([-2 * low, one, square]), np.split(order, edge), visit
+        return self.sides[k]
+
+
+def stored(folder: str, chunk: list[Stretch], dim: int, kind: str) -> np.ndarray:
+    return np.concatenate([np.memmap(f"{folder}/{name}.vec", kind, "r").reshape(-1, dim)[a:b] for name, a, b in chunk])
+
+
+def meet(cut: Blocks, cosine: float, left: Chunk, right: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Counts the links between two chunks, or within one, and returns a spanning set of them as pairs of uids."""
+    same = left is right
+    uid = left.uid if same else np.concatenate([left.uid, right.uid])
+    first, second = [], []
+
+    def tile(k: int, x: Chunk, s: np.ndarray, y: Chunk, t: np.ndarray, upper: bool) -> None:
+        near = np.flatnonzero(x.side(k)[0][s] @ y.side(k)[1][t].T <= np.float32(cut.share[k] + 10 * SLACK))
+        i, j = np.divmod(near, len(t))
+        if upper:
+            i, j = i[i < j], j[i < j]
+        for z in range(0, len(i), 1 << 16):
+            p, q = s[i[z:z + (1 << 16)]], t[j[z:z + (1 << 16)]]
+            linked = np.einsum("ij,ij->i", x.rows[p], y.rows[q]) >= cosine
+            p, q = p[linked], q[linked]
+            mine = cut.owner(x.turned[p], y.turned[q]) == k
+            p, q = p[mine], q[mine]
+            if not len(p):
+                continue
+            np.add.at(x.n, p, y.weight[q])
+            np.add.at(y.n, q, x.weight[p])
+            nodes, place = np.unique(np.concatenate([p + (0 if x is left else len(left.uid)), q + (0 if y is left else len(left.uid))]), return_inverse=True)
+            low, high = spanning(len(nodes), place[:len(p)], place[len(p):])
+            first.append(nodes[low])
+            second.append(nodes[high])
+
+    def product(k: int, x: Chunk, s: np.ndarray, y: Chunk, t: np.ndarray) -> None:
+        for i in range(0, len(s), TILE):
+            part = s[i:i + TILE]
+            step = TILE * TILE // len(part)
+            for j in range(0, len(t), step):
+                tile(k, x, part, y, t[j:j + step], False)
+
+    for k in range(len(cut.spans)):
+        (_, _, ours, our_visits), (_, _, theirs, their_visits) = left.side(k), right.side(k)
+        for c, (s, t) in enumerate(zip(ours, theirs, strict=True)):
+            if same:
+                for i in range(0, len(s), TILE):
+                    tile(k, left, s[i:i + TILE], left, s[i:i + TILE], True)
+                    product(k, left, s[i:i + TILE], left, s[i + TILE:])
+            if len(s):
+                product(k, left, s, right, np.flatnonzero(their_visits[c]))
+            if len(t) and not same:
+                product(k, left, s, right, t)
+                product(k, right, t, left, np.flatnonzero(our_visits[c]))
+    p, q = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second))
+    low, high = spanning(len(uid), p, q)
+    return uid[low], uid[high]
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each node to the smallest of its connected part."""
+    label = parts(n, a, b)
+    far = np.flatnonzero(label != np.arange(n))
+    return label[far], far
+
+
+def partners(chunks: int, base: int, first: int, end: int) -> list[int]:
+    """Of the chunks at or behind ``base`` on a ring those ``first`` to ``end``; every pair of chunks has one base."""
+    half = chunks // 2
+    return [(base + o) % chunks for o in range(first, min(end, half + 1)) if chunks % 2 or o < half or base < half]
+
+
+def found_links(vectors: DataFrame, folder: str, dim: int, kind: str, cosine: float, blocks: int = 4, sample: int = 16_384, seed: int = 7) -> DataFrame:
+    """uid, n, other: weighted link counts (``other`` NULL) and links that span each connected part (n 0), written.
+
+    ``vectors``: the rows of ``write_chunks`` in ``folder``, of one length. One row for each of its files comes to the driver,
+    and a sample for the pivots.
     """
-    total = vectors.count()
-    some = np.array([r.vec for r in vectors.orderBy(F.xxhash64("uid")).limit(sample).collect()], np.float64)
-    if not total:
-        some = np.eye(1, dim)
+    files = sorted((r.name, r.n) for r in vectors.groupBy(F.shiftright("uid", 32).alias("name")).agg(F.count(F.lit(1)).alias("n")).collect())
+    total = sum(n for _, n in files)
+    chunks = cut_files(files, min(CHUNK, max(SMALL_CHUNK, min(CHUNK_VALUES // dim, -(-total // CHUNKS)))))
+    some = np.eye(1, dim)
+    if total:
+        picked = np.unique(np.random.default_rng(seed).integers(total, size=sample)) if total > sample else np.arange(total)
+        ends = np.cumsum([n for _, n in files])
+        file = np.searchsorted(ends, picked, "right")
+        starts = ends - [n for _, n in files]
+        some = np.concatenate([np.memmap(f"{folder}/{files[f][0]}.vec", kind, "r").reshape(-1, dim)[picked[file == f] - starts[f]] for f in np.unique(file)])
+        some = some[np.random.default_rng(seed).permutation(len(some))]
     cut = Blocks(dim, cosine, min(blocks, dim), some, min(MAX_PIVOTS, max(1, math.ceil(total / PIVOT_ROWS))), seed)
-    counts = _assigned(vectors, cut, dim, kind, None).collect()  # blocks x pivots rows at most
-    splits = {(r.block, r.cell): (max(1, math.ceil(r.residents / CHUNK)), max(1, math.ceil((r.residents + r.visitors) / SPLIT))) for r in counts}
-
-    def verify(key: tuple, table: pa.Table) -> pa.Table:
-        k, split = key[0].as_py(), key[3].as_py()
-        base = np.asarray(table.column("base"))
-        uid, weight = (np.asarray(table.column(c)) for c in ("uid", "weight"))
-        rows = unit(unpacked(table.column("vec"), dim, kind))
-        # not a blocked product: a row turns to the same values in every task
-        turned = np.einsum("ij,jk->ik", rows, cut.turn)
-        a, b = cut.spans[k]
-        low = turned[:, a:b].astype(np.float32)
-        square = (low ** 2).sum(1)[:, None]
-        # one product gives the squared distances: (x, |x|^2, 1) . (-2y, 1, |y|^2)
-        one = np.ones_like(square)
-        this, that = np.hstack([low, square, one]), np.ascontiguousarray(np.hstack([-2 * low, one, square]).T)
-        most = np.float32(cut.share[k] + 10 * SLACK)
-        n = np.zeros(len(uid), np.int64)
-        first, second = [], []
-
-        def tile(s: np.ndarray, t: np.ndarray, upper: bool) -> None:
-            near = np.flatnonzero(this[s] @ that[:, t] <= most)
-            i, j = np.divmod(near, len(t))
-            if upper:
-                i, j = i[i < j], j[i < j]
-            links = []
-            for x in range(0, len(i), 1 << 16):
-                p, q = s[i[x:x + (1 << 16)]], t[j[x:x + (1 << 16)]]
-                linked = np.einsum("ij,ij->i", rows[p], rows[q]) >= cosine
-                p, q = p[linked], q[linked]
-                mine = cut.owner(turned[p], turned[q]) == k
-                links.append((p[mine], q[mine]))
-            if not links:
-                return
-            p, q = (np.concatenate(x) for x in zip(*links, strict=True))
-            np.add.at(n, p, weight[q])
-            np.add.at(n, q, weight[p])
-            nodes, place = np.unique(np.concatenate([p, q]), return_inverse=True)
-            label = parts(len(nodes), place[:len(p)], place[len(p):])
-            far = np.flatnonzero(label != np.arange(len(nodes)))
-            first.append(nodes[label[far]])
-            second.append(nodes[far])
-
-        ours, others = np.flatnonzero(base), np.flatnonzero(~base)
-        steps = [ours[x:x + TILE] for x in range(0, len(ours), TILE)]
-        for x, s in enumerate(steps):
-            if split == 0:
-                tile(s, s, True)
-                for t in steps[x + 1:]:
-                    tile(s, t, False)
-            for y in range(0, len(others), TILE):
-                tile(s, others[y:y + TILE], False)
-        some = np.flatnonzero(n)
-        p, q = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second))
-        return pa.table({"uid": pa.array(np.concatenate([uid[some], uid[p]]), pa.int64()),
-                         "n": pa.array(np.concatenate([n[some], np.zeros(len(p), np.int64)]), pa.int64()),
-                         "other": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(uid[q], pa.int64())])})
-
-    dealt = _assigned(vectors, cut, dim, kind, splits)
-    return dealt.groupBy("block", "cell", "chunk", "split").applyInArrow(verify, "uid bigint, n bigint, other bigint")
+    n = len(chunks)
+    run = max(1, SPLIT // sum(b - a for _, a, b in chunks[0])) if n else 1
+    units = n * -(-(n // 2 + 1) // run)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                base, first = number % n, number // n * run
+                left = Chunk(cut, folder, chunks[base], dim, kind)
+                for other in partners(n, base, first, first + run):
+                    right = left if other == base else Chunk(cut, folder, chunks[other], dim, kind)
+                    low, high = meet(cut, cosine, left, right)
+                    yield links(low, np.zeros(len(low), np.int64), pa.array(high))
+                    if right is not left:
+                        yield counts(right)
+                yield counts(left)
+
+    spark = vectors.sparkSession
+    return durable(spark.range(0, units, 1, max(1, min(units, TASKS))).mapInArrow(work, "uid bigint, n bigint, other bigint"))
+
+
+def counts(chunk: Chunk) -> pa.RecordBatch:
+    some = np.flatnonzero(chunk.n)
+    return links(chunk.uid[some], chunk.n[some], pa.nulls(len(some), pa.int64()))
+
+
+def links(uid: np.ndarray, n: np.ndarray, other: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(n, pa.int64()), other], names=["uid", "n", "other"])
 
 
 def _known(rows: DataFrame, dim: int, kind: str, cosine: float, blocks: int) -> DataFrame:
-    """vec, n, best: links and smallest reached id of the vectors of one length; written, so that both sides of a
+    """key, n, best: links and smallest reached id of the vectors of one length; written, so that both sides of a
     join with it are plain exchanges and a hot vector's rows are split."""
+    spark = rows.sparkSession
+    place = urlparse(shared_folder(spark))
+    if place.scheme not in ("", "file"):
+        raise ValueError("the vectors need a shared folder that workers can map into memory")
+    folder = os.path.join(unquote(place.path), f"slopeline-{spark.sparkContext.applicationId}", f"vectors-{uuid.uuid4().hex}")
+    os.makedirs(folder)
     distinct = rows.groupBy("vec").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("low"))
-    distinct = durable(distinct.withColumn("uid", F.monotonically_increasing_id()))
-    found = durable(found_links(distinct, dim, kind, cosine, blocks))
+    distinct = write_chunks(distinct.withColumn("key", vector_key("vec")), dim, kind, folder)
+    found = found_links(distinct, folder, dim, kind, cosine, blocks)
+    shutil.rmtree(folder)
     number = found.groupBy(F.col("uid").alias("u")).agg(F.sum("n").alias("n"))
     group = weak_components(found.where("other IS NOT NULL").select(F.col("uid").alias("src"), F.col("other").alias("dst")))
-    named = distinct.select("uid", "low").join(group.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
-        "component", F.coalesce("component", "uid"))
+    named = distinct.join(group.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     best = named.groupBy("component").agg(F.min("low").alias("best"))
-    named = named.join(best, "component").join(number, F.col("uid") == F.col("u"), "left").select("uid", "best", F.coalesce("n", F.lit(0)).alias("n"))
-    return durable(distinct.join(named, "uid").select("vec", "best", (F.col("n") + F.col("weight") - 1).alias("n")))
+    named = named.join(best, "component").join(number, F.col("uid") == F.col("u"), "left")
+    return durable(named.select("key", "best", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n")))
+
+
+def vector_key(vector: str) -> Column:
+    """128 bits that stand for a vector where only equality counts."""
+    return F.struct(F.xxhash64(vector).alias("a"), F.xxhash64(F.lit(1), vector).alias("b"))
 
 
 def near_vectors(df: DataFrame, cosine: float = 0.9, blocks: int = 4, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -255,7 +334,7 @@ def near_vectors(df: DataFrame, cosine: float = 0.9, blocks: int = 4, id_col: st
     rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("vec"), whole(F.col(vector)).alias("take"))
     parts = [_known(rows.where("take").where(F.size("vec") == dim), dim, kind, cosine, blocks) for dim in lengths(df, vector) or [1]]
     known = reduce(DataFrame.unionByName, parts)
-    out = rows.where("take").select("id", "vec").join(known, "vec").select("id", "n", "best").unionByName(
+    out = rows.where("take").select("id", vector_key("vec").alias("key")).join(known, "key").select("id", "n", "best").unionByName(
         rows.where(~F.col("take")).select("id", F.lit(0).cast("bigint").alias("n"), F.col("id").alias("best")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_links"), F.col("best").alias("component_id"),
                       F.coalesce(F.col("id") == F.col("best"), F.lit(False)).alias("kept"))

@@ -1,6 +1,7 @@
 """Nearest neighbours and embedding near-dedup against brute force."""
 
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -78,6 +79,46 @@ def test_links_of_queries_and_empty_tables(llm_spark, small):
     assert found(embed_dedup.near_vectors(table(llm_spark, twice))) == Counter({(1, 2, 1, True): 2, (None, 2, 1, False): 1, (None, 0, None, False): 1})
 
 
+def test_vectors_are_written_once(llm_spark, monkeypatch):
+    """Vectors without structure visit most cells, but are not sent there."""
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(9).standard_normal((700, 12)).astype(np.float32))]
+    rows += [(1000 + i, v) for i, v in rows[:40]]
+    for name, value in (("PIVOT_ROWS", 20), ("CHUNK", 64), ("SPLIT", 128)):
+        monkeypatch.setattr(embed_dedup, name, value)
+    plans, sizes, durable, delete = [], [], embed_dedup.durable, embed_dedup.shutil.rmtree
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return durable(df)
+
+    def deleted(folder):
+        sizes.append({end: sum(f.stat().st_size for f in Path(folder).glob(f"*.{end}")) for end in ("vec", "weight")})
+        delete(folder)
+
+    monkeypatch.setattr(embed_dedup, "durable", kept)
+    monkeypatch.setattr(embed_dedup.shutil, "rmtree", deleted)
+    assert found(embed_dedup.near_vectors(table(llm_spark, rows))) == brute_links(rows, 0.9)
+    assert sizes == [{"vec": 700 * 12 * 4, "weight": 700 * 8}]
+    assert sum("hashpartitioning(vec" in p for p in plans) == 1 and not any("FlatMapGroupsInArrow" in p for p in plans)
+
+
+def test_chunks_and_their_partners():
+    """Every row lies in one chunk, and every pair of chunks meets once."""
+    files = [(3, 10), (5, 1), (9, 25), (12, 7)]
+    chunks = embed_dedup.cut_files(files, 8)
+    assert [sum(b - a for _, a, b in c) for c in chunks] == [8, 8, 8, 8, 8, 3]
+    assert [(name, i) for c in chunks for name, a, b in c for i in range(a, b)] == [(name, i) for name, n in files for i in range(n)]
+    for n in range(1, 12):
+        for run in (1, 2, 5):
+            pairs = [frozenset((i, j)) for i in range(n) for first in range(0, n // 2 + 1, run) for j in embed_dedup.partners(n, i, first, first + run)]
+            assert len(pairs) == len(set(pairs)) == n * (n + 1) // 2
+
+
+def test_signed_zeros_are_equal(llm_spark):
+    got = found(embed_dedup.near_vectors(table(llm_spark, [(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [1.0, -0.0]), (4, [1.0, 0.0])])))
+    assert got == Counter([(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False)])
+
+
 def test_near_in_some_block():
     """Every linked pair has a block that owns it."""
     rng = np.random.default_rng(4)
