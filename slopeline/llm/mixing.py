@@ -16,6 +16,7 @@ from math import lcm
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,10 +132,24 @@ def mixed_rows(docs: DataFrame, weights: dict[Name, float] | None = None, power:
 
 def in_order(mixed: DataFrame, rows_per_part: int = 20_000) -> DataFrame:
     """Rows of ``mixed`` in the order of slot and place, partitions following each other, without those two
-    columns and block."""
+    columns and block. Written to files, the order is that of ``with_place``."""
     last, n = mixed.agg(F.max("slot"), F.count(F.lit(1))).first()
     if not n:
         return mixed.drop("block", "slot", "place")
     parts = max(1, -(-n // rows_per_part))
     dealt = mixed.repartitionById(parts, F.floor(F.col("slot") * parts / (last + 1)).cast("int"))
     return dealt.sortWithinPartitions("slot", "place").drop("block", "slot", "place")
+
+
+def with_place(docs: DataFrame, name: str = "_mixed") -> DataFrame:
+    """``docs`` with its rows' place in the files that it is read from: number and name of the file, and row in it.
+
+    Spark reads files by their size, not one after the other; the place tells the order in which they were filled. Rows that
+    come from no files have the place that the table's partitions give them.
+    """
+    try:
+        at = docs.metadataColumn("_metadata")
+    except AnalysisException:
+        return docs.withColumn(name, F.monotonically_increasing_id())
+    number = F.regexp_extract(at["file_name"], r"part-(\d+)", 1).try_cast("bigint")
+    return docs.withColumn(name, F.struct(number.alias("number"), at["file_path"].alias("file"), at["row_index"].alias("row")))

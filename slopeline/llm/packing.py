@@ -1,8 +1,8 @@
 """Packing token pieces into windows by multiway differencing.
 
 Every document is tokenised once. Whole windows are cut off its front and stand alone; the rest is cut
-into pieces of at most a quarter window. Pieces are dealt evenly into groups, and each group is split over as few windows
-as its tokens need by the largest-differencing method: two partial partitions with the largest spreads are merged,
+into pieces of at most a quarter window. Pieces are dealt evenly into groups, or into stretches of a given order, and each
+group is split over as few windows as its tokens need by the largest-differencing method: two partial partitions with the largest spreads are merged,
 the fullest window of one with the emptiest of the other. While a window exceeds the capacity, the
 group gets one window more.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slopeline.llm.common import pieces as pieces_of
-from slopeline.llm.common import utf8
+from slopeline.llm.common import row_numbers, utf8
 from slopeline.llm.token_counts import SETTLED, Merges
 from slopeline.session import durable
 
@@ -79,11 +79,12 @@ class Ids:
         return [b"".join(map(ids, words)) for words in split]
 
 
-def token_pieces(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, text: str = "text") -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: documents with an end id, cut after each full window
+def token_pieces(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, text: str = "text", order: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens and the columns ``order``: documents with an end id, cut after each full window
     and what remains into pieces of a quarter window, which even out far better. NULL text is empty and gives the end id alone; every document has at least one piece."""
-    slim = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    slim = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), *order)
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in order)
     end = np.array([end_id], "<u4").tobytes()
     rest = max(1, window // 4)
 
@@ -105,10 +106,12 @@ def token_pieces(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1
                     length.append(b - a)
                     crc.append(zlib.crc32(out[4 * a:4 * b]))
                     total.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))],
-                                             names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), *(c.take(at) for c in batch.columns[2:])],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *order])
 
-    return slim.mapInArrow(run, f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return slim.mapInArrow(run, f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint{more}")
 
 
 def differencing(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
@@ -148,14 +151,20 @@ def fitted(sizes: list[int], window: int) -> list[tuple[int, list[int]]]:
         k += 1
 
 
-def pack(pieces: DataFrame, window: int = 2048, group_rows: int = 1024) -> DataFrame:
+def pack(pieces: DataFrame, window: int = 2048, group_rows: int = 1024, order: tuple[str, ...] = ()) -> DataFrame:
     """``pieces`` (length within the window) with sequence_id and offset; window_tokens is the sum of its sequence.
 
     Groups hold about ``group_rows`` rows whatever the documents' ids, lengths and copies, since rows are
-    dealt by their place in the written table. An empty table stays empty.
+    dealt by their place in the written table. With ``order``, columns that are dropped, groups are stretches of
+    that order, then of start, and a group's sequences are numbered by their first piece, so the sequences follow it. An empty table stays empty.
     """
-    kept = durable(pieces.withColumn("_place", F.monotonically_increasing_id()))
-    groups = max(1, math.ceil(kept.count() / group_rows))
+    if order:
+        # written before they are numbered, which reads its rows twice
+        kept = row_numbers(durable(pieces), [], [F.col(c) for c in (*order, "start")], "_place").drop(*order)
+        group = F.floor(F.col("_place") / group_rows)
+    else:
+        kept = durable(pieces.withColumn("_place", F.monotonically_increasing_id()))
+        group = F.pmod(F.xxhash64("_place"), F.lit(max(1, math.ceil(kept.count() / group_rows))))
     fields = kept.drop("_place").schema
     names = fields.names
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["sequence_id bigint", "offset bigint", "window_tokens bigint"])
@@ -171,12 +180,15 @@ def pack(pieces: DataFrame, window: int = 2048, group_rows: int = 1024) -> DataF
             at = rest[items]
             sequence[at], filled[at] = w, total
             offset[at] = np.cumsum(size[at]) - size[at]
+        if order:
+            first = np.unique(sequence, return_index=True)[1]
+            sequence = np.argsort(np.argsort(first))[sequence]
         return rows[names].assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset, window_tokens=filled)
 
-    dealt = kept.withColumn("_group", F.pmod(F.xxhash64("_place"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(run, schema)
+    return kept.withColumn("_group", group).groupBy("_group").applyInPandas(run, schema)
 
 
-def pack_documents(docs: DataFrame, path: str, window: int = 2048) -> DataFrame:
-    """One row per piece of every document with its sequence; see ``token_pieces`` and ``pack``."""
-    return pack(token_pieces(docs, path, window), window)
+def pack_documents(docs: DataFrame, path: str, window: int = 2048, order: tuple[str, ...] = ()) -> DataFrame:
+    """One row per piece of every document with its sequence; see ``token_pieces`` and ``pack``. With ``order``, columns of
+    ``docs``, the sequences follow the documents in that order."""
+    return pack(token_pieces(docs, path, window, order=order), window, order=order)

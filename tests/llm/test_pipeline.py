@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from test_near_text import kept_ids
 from test_text_operators import check_packed
 
 import corpus_pipeline
-from slopeline.llm import mixing, quality_rules
+from slopeline.llm import mixing, packing, quality_rules
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -81,6 +82,30 @@ def test_packing(stages):
     assert check_packed(out.collect(), [(r.doc_id, r.text) for r in docs.collect()]) > 0.95
 
 
+def test_sequences_follow_the_mix(llm_spark, stages, tmp_path):
+    """Also when the last files are the largest, which Spark reads first."""
+    docs = stages["mixing"][0]
+    mixed = mixing.mixed_rows(docs, block_rows=4)
+    place = {r.doc_id: (r.slot, r.place) for r in mixed.collect()}
+    rank = {i: n for n, i in enumerate(sorted(place, key=place.get))}
+    path = str(tmp_path / "mixed")
+    mixing.in_order(mixed, 60).write.parquet(path)
+    written = llm_spark.read.parquet(path)
+    small = packing.token_pieces(mixing.with_place(written), public_tokenizers.path("word_bpe_49k.json"), order=("_mixed",))
+    for out, most in ((corpus_pipeline.packing(llm_spark, written, ""), 1024), (packing.pack(small, group_rows=100, order=("_mixed",)), 100)):
+        rows = out.collect()
+        assert check_packed(rows, [(r.doc_id, r.text) for r in docs.collect()]) > 0.9
+        sequences, groups = {}, {}
+        for r in rows:
+            sequences.setdefault(r.sequence_id, []).append((rank[r.doc_id], r.start))
+            groups.setdefault(r.sequence_id >> 32, []).append((rank[r.doc_id], r.start))
+        assert len(groups) == -(-len(rows) // most) and max(map(len, groups.values())) <= most
+        for a, b in zip(sorted(groups), sorted(groups)[1:], strict=False):
+            assert max(groups[a]) < min(groups[b])
+        first = [min(sequences[s]) for s in sorted(sequences)]
+        assert first == sorted(first)
+
+
 def test_run(llm_spark, stages):
     out = corpus_pipeline.run(llm_spark, "/root/testdata/sf0.001")
     assert out.columns == stages["packing"][1].columns and out.count() == stages["packing"][1].count()
