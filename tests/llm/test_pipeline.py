@@ -91,9 +91,12 @@ def test_sequences_follow_the_mix(llm_spark, stages, tmp_path):
     path = str(tmp_path / "mixed")
     mixing.in_order(mixed, 60).write.parquet(path)
     written = llm_spark.read.parquet(path)
-    small = packing.token_pieces(mixing.with_place(written), public_tokenizers.path("word_bpe_49k.json"), order=("_mixed",))
-    for out, most in ((corpus_pipeline.packing(llm_spark, written, ""), 1024), (packing.pack(small, group_rows=100, order=("_mixed",)), 100)):
-        rows = out.collect()
+    for most in (1024, 100):
+        if most == 1024:
+            rows = corpus_pipeline.packing(llm_spark, written, "").collect()
+        else:
+            pieces = packing.token_pieces(mixing.with_place(written), public_tokenizers.path("word_bpe_49k.json"), order=("_mixed",))
+            rows = packing.pack(pieces, group_rows=most, order=("_mixed",)).collect()
         assert check_packed(rows, [(r.doc_id, r.text) for r in docs.collect()]) > 0.9
         sequences, groups = {}, {}
         for r in rows:

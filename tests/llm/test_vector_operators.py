@@ -1,5 +1,6 @@
 """Nearest neighbours and embedding near-dedup against brute force."""
 
+import shutil
 from collections import Counter
 from pathlib import Path
 
@@ -85,7 +86,7 @@ def test_vectors_are_written_once(llm_spark, monkeypatch):
     rows += [(1000 + i, v) for i, v in rows[:40]]
     for name, value in (("PIVOT_ROWS", 20), ("CHUNK", 64), ("SPLIT", 128)):
         monkeypatch.setattr(embed_dedup, name, value)
-    plans, sizes, durable, delete = [], [], embed_dedup.durable, embed_dedup.shutil.rmtree
+    plans, sizes, durable, delete = [], [], embed_dedup.durable, shutil.rmtree
 
     def kept(df):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
@@ -96,10 +97,10 @@ def test_vectors_are_written_once(llm_spark, monkeypatch):
         delete(folder)
 
     monkeypatch.setattr(embed_dedup, "durable", kept)
-    monkeypatch.setattr(embed_dedup.shutil, "rmtree", deleted)
+    monkeypatch.setattr(shutil, "rmtree", deleted)
     assert found(embed_dedup.near_vectors(table(llm_spark, rows))) == brute_links(rows, 0.9)
-    assert sizes == [{"vec": 700 * 12 * 4, "weight": 700 * 8}]
     assert sum("hashpartitioning(vec" in p for p in plans) == 1 and not any("FlatMapGroupsInArrow" in p for p in plans)
+    assert sizes == [{"vec": 700 * 12 * 4, "weight": 700 * 8}]
 
 
 def test_chunks_and_their_partners():
